@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.llm.docpairs import documented_symbols
 from corvane.llm.provenance import CODE, classify_files, machine_made
 from corvane.llm.registry import ORACLES, QUERIES, query
 from corvane.llm.splitting import split_oversized
+from corvane.llm.syntax import check_syntax, invalid_rates
 from corvane.tables import load
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,3 +44,28 @@ def p2_rates(spark, folder):
     """Code files by repository, language and origin."""
     kinds = classify_files(load(spark, folder, "raw_files")).where(F.col("language").isin(*CODE))
     return kinds.groupBy("repo_id", "language", "origin").agg(F.countDistinct("file_id").alias("n_files"))
+
+
+@query("p3_found")
+def p3_found(spark, folder):
+    """Files whose text does not obey the grammar of their language."""
+    checked = check_syntax(load(spark, folder, "raw_files"))
+    return checked.where(F.col("error").isNotNull()).select("file_id").distinct()
+
+
+@query("p3_rates")
+def p3_rates(spark, folder):
+    """Invalid files by repository and language."""
+    return invalid_rates(check_syntax(load(spark, folder, "raw_files")))
+
+
+@query("p5_found")
+def p5_found(spark, folder):
+    """Functions and methods whose documentation says something."""
+    return documented_symbols(load(spark, folder, "symbols"), load(spark, folder, "raw_files"), with_code=False).select("symbol_id")
+
+
+@query("p5_pairs")
+def p5_pairs(spark, folder):
+    """Code and description of all documented functions."""
+    return documented_symbols(load(spark, folder, "symbols"), load(spark, folder, "raw_files"))

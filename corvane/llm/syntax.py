@@ -44,7 +44,8 @@ _DOUBLE = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SINGLE = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}]|\{[^`{}]*\}|`[^`]*`)*\})*`"
 _REGEX = (
-    r"(?:(?<=[=(,:;!&|?{}\[+\n>])|(?<=return))[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+    r"(?:(?<=[=(,:;!&|?{}\[+\n>])|(?<=[=(,:;!&|?{}\[+\n>][ \t])|(?<=return )|(?<=return))"
+    r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 )
 _LEXERS = {
     "javascript": re.compile(rf"(?P<c>{_BLOCK}|{_LINE})|(?P<s>{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|{_REGEX})|(?P<bad>/\*|[\"'`])"),
@@ -61,6 +62,10 @@ _LEXERS = {
     ),
 }
 _LEXERS["typescript"] = _LEXERS["javascript"]
+_LEXERS["python"] = re.compile(
+    r"""(?P<c>\#[^\n]*)|(?P<s>(?:\"{3}(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"""
+    r"""\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'))|(?P<bad>[\"'])"""
+)
 
 # Words, as fixed values of the languages.
 _JS_BEFORE = (
@@ -89,76 +94,143 @@ _CS_WORDS = (
 _GO_WORDS = "chan const defer else func go goto import interface map package range return struct type var case select".split()
 
 
-def _either(words: list[str]) -> str:
-    return "|".join(sorted(words))
+_JS_BEFORE_SET, _JS_AFTER_SET = frozenset(_JS_BEFORE), frozenset(_JS_AFTER)
+#: Neighbouring words of one line; the rules on them are looked up in sets.
+_PAIR = re.compile(r"(?<![\w$.#@])([\w$]++)[ \t]++(?=([\w$]++|\"\"))")
+_TRIPLE = re.compile(r"(?<![\w.:>])([^\W\d]\w*+)(?=[ \t]++([^\W\d]\w*+)[ \t]++([^\W\d]\w*+))")
+_THREE_NAMES = {"cpp": frozenset(_CPP_WORDS), "c_sharp": frozenset(_CS_WORDS), "go": frozenset(_GO_WORDS)}
 
-
-_WORD = r"[^\W\d][\w$]*"
-#: Two operands side by side on one line, which JavaScript has nowhere.
-_JS_SIDE = re.compile(
-    rf"(?<![\w$.#@])(?!(?:{_either(_JS_BEFORE)})\b)[\w$]+[ \t]+(?!(?:{_either(_JS_AFTER)})\b)(?:[\w$]+|\"\")"
+# Rules on how lines begin, one expression a language.
+_C_LINES = (
+    r"def \w+\(|async def|from [\w.]+ import\b|import[ \t]+[\w.]+[ \t]*$|import[ \t]*[{*]|import[ \t]+\"\"|"
+    r"package \w+[ \t]*$|func[ \t(]|elif\b|<[!/a-zA-Z]|export[ \t]+(?:const|class|function|default|interface|async)\b|"
+    r"(?:const|let|var)[ \t]+\w+[ \t]*=[ \t]*[\[{]|interface[ \t]+\w+[ \t]*\{[^}]*\w+\??[ \t]*:|"
+    r"function\b|(?:if|for|while|with|try|else|class|match|except)\b[^\n;{}]*:[ \t]*$"
 )
-_JS_ALIEN = re.compile(
-    r"(?m)^[ \t]*(?:\#(?:include|define|pragma|if|endif)\b|def \w|using [\w.]+;|package \w+\s*$|func \w|elif\b|"
-    r"from [\w.]+ import\b|@\w+\n[ \t]*(?:async )?def |<[!/a-zA-Z])|:=|::|"
-    r"\bexport[ \t]+(?!default\b|const\b|let\b|var\b|function\b|class\b|async\b|type\b|interface\b|enum\b|abstract\b|"
-    r"declare\b|namespace\b|import\b|as\b)\w|^[ \t]*import[ \t]+[\w.]+[ \t]*\r?$|\)[ \t]*->"
+_LINES = {
+    "javascript": (
+        r"\#(?:include|define|pragma|if|endif)\b|def \w|using [\w.]+;|package \w+[ \t]*$|func \w|elif\b|"
+        r"from [\w.]+ import\b|@\w+\n[ \t]*(?:async )?def |<[!/a-zA-Z]|import[ \t]+[\w.]+[ \t]*$"
+    ),
+    "cpp": _C_LINES
+    + r"|using[ \t]+(?!namespace\b|enum\b)[\w.]+;|namespace[ \t]+\w+\.\w|(?:public|private|protected|internal)[ \t]+(?!:)\w",
+    "c_sharp": _C_LINES + r"|(?:public|private|protected)[ \t]*:|\#[ \t]*(?:include|pragma once)",
+    "go": r"class[ \t]+\w|while[ \t(]|def[ \t]+\w+\(|try\b[ \t]*\{|public[ \t]|private[ \t]|\#",
+}
+_LINES["typescript"] = _LINES["javascript"]
+_LINES = {k: re.compile(rf"(?m)^[ \t]*+(?:{v})") for k, v in _LINES.items()}
+#: Lines that only TypeScript has, not JavaScript.
+_TS_LINES = re.compile(
+    r"(?m)^[ \t]*+(?:(?:export[ \t]+)?(?:interface|declare|abstract[ \t]+class|namespace|enum)[ \t]+\w|"
+    r"(?:export[ \t]+)?type[ \t]+\w+[ \t]*(?:<[^>\n]*>)?[ \t]*=|(?:public|private|protected|readonly)[ \t]+\w)"
 )
-_JS_NOT_TS = re.compile(
-    r"(?m)^[ \t]*(?:export[ \t]+)?(?:interface|declare|abstract[ \t]+class|namespace|enum)[ \t]+\w|"
-    r"^[ \t]*(?:export[ \t]+)?type[ \t]+\w+[ \t]*(?:<[^>\n]*>)?[ \t]*=|"
-    r"\b(?:const|let|var)[ \t]+\w+[ \t]*:|\([ \t]*(?:\.\.\.)?\w+\??[ \t]*:[ \t]*[\w\[{]|"
-    r"\)[ \t]*:[ \t]*[\w<>\[\]|., \t]+[ \t]*(?:\{|=>)|\bas[ \t]+(?:any|const|unknown|string|number|boolean)\b|"
-    r"^[ \t]*(?:public|private|protected|readonly)[ \t]+\w"
+#: Rules on what stands anywhere: a piece of text that has to be there, and the expression.
+_ANYWHERE = {
+    "javascript": [
+        (":=", None),
+        ("::", None),
+        ("export", r"\bexport[ \t]+(?!(?:default|const|let|var|function|class|async|type|interface|enum|abstract|declare|namespace|import|as)\b)\w"),
+        ("->", r"\)[ \t]*->"),
+        ("] ", r"\][ \t]+(?!(?:in|of|instanceof|as|from|is|extends|implements|satisfies|else|catch|finally|while)\b)[\w$]"),
+        ("static", r"(?m)^static\b"),
+        ('""', r"\A\s*\{\s*\"\"\s*:"),
+    ],
+    "cpp": [
+        ("===", None),
+        ("=>", None),
+        (":= ", None),
+        ("foreach", r"\bforeach[ \t]*\("),
+        ("]", r"=[ \t]*\[[ \t]*\][ \t]*;"),
+        ("var", r"\bvar[ \t]+\w+[ \t]*="),
+        ("", r"\A\s*(?:\{|\[(?!\[))"),
+    ],
+    "c_sharp": [
+        ("===", None),
+        (":= ", None),
+        ("::", r"(?<!\bglobal)::"),
+        ("->", r"->[ \t]*\w+[ \t]*\{"),
+        ("auto", r"\bauto[ \t&*]+\w+[ \t]*="),
+        ("const", r"\bstatic[ \t]+const\b"),
+        ("[]", r"\w[ \t]+\w+\[\][ \t]*="),
+        ("", r"\A\s*(?:\{|\[[ \t\n]*(?:\"\"|[-\d\[{]))"),
+    ],
+    "go": [("=>", None), ("===", None), ("??", None), ("else", r";[ \t]*\n[ \t]*else\b")],
+}
+_ANYWHERE["typescript"] = _ANYWHERE["javascript"]
+#: The same for what is TypeScript and not JavaScript.
+_TS_ANYWHERE = [
+    (":", r"\b(?:const|let|var)[ \t]+\w+[ \t]*:"),
+    (":", r"\([ \t]*(?:\.\.\.)?\w+\??[ \t]*:[ \t]*[\w\[{]"),
+    ("):", r"\):[ \t]*[\w<>\[\]|., \t]+(?:\{|=>)"),
+    (" as ", r"\bas[ \t]+(?:any|const|unknown|string|number|boolean)\b"),
+]
+_ANYWHERE, _TS_ANYWHERE = (
+    {k: [(x, re.compile(r) if r else None) for x, r in v] for k, v in _ANYWHERE.items()},
+    [(x, re.compile(r)) for x, r in _TS_ANYWHERE],
 )
 _JS_TAIL = re.compile(
     r"(?:[-+*/%=&|^<>?:,.!~(\[{]|\b(?:import|export|default|function|class|const|let|var|new|return|typeof|throw|"
     r"async|await|extends|if|else|for|while|switch|case|try|catch|in|of|from|interface|type|enum))\Z"
 )
-#: Three names side by side, none of them a word of the language.
-_CPP_SIDE = re.compile(rf"(?<![\w.:>])(?!(?:{_either(_CPP_WORDS)})\b){_WORD}(?:[ \t]+(?!(?:{_either(_CPP_WORDS)})\b){_WORD}){{2}}")
-_CS_SIDE = re.compile(rf"(?<![\w.:>])(?!(?:{_either(_CS_WORDS)})\b){_WORD}(?:[ \t]+(?!(?:{_either(_CS_WORDS)})\b){_WORD}){{2}}")
-_GO_SIDE = re.compile(rf"(?<![\w.])(?!(?:{_either(_GO_WORDS)})\b){_WORD}(?:[ \t]+(?!(?:{_either(_GO_WORDS)})\b){_WORD}){{2}}")
-_C_ALIEN = (
-    r"^[ \t]*(?:def \w+\(|async def|from [\w.]+ import\b|import[ \t]+[\w.]+[ \t]*\r?$|import[ \t]*[{{*]|import[ \t]+\"\"|"
-    r"package \w+[ \t]*\r?$|func[ \t(]|elif\b|<[!/a-zA-Z]|export[ \t]+(?:const|class|function|default|interface|async)\b|"
-    r"(?:const|let|var)[ \t]+\w+[ \t]*=[ \t]*[\[{{]|interface[ \t]+\w+[ \t]*\{{[^}}]*\w+\??[ \t]*:|"
-    r"function\b|(?:if|for|while|with|try|else|class|match|except)\b[^\n;{{}}]*:[ \t]*\r?$)|===|:=[ \t]|{more}"
-)
-_CPP_ALIEN = re.compile(
-    "(?m)" + _C_ALIEN.format(
-        more=r"^[ \t]*using[ \t]+(?!namespace\b|enum\b)[\w.]+;|^[ \t]*namespace[ \t]+\w+\.\w|\bforeach[ \t]*\(|"
-        r"^[ \t]*(?:public|private|protected|internal)[ \t]+(?!:)\w|=>|=[ \t]*\[[ \t]*\][ \t]*;|\bvar[ \t]+\w+[ \t]*="
-    )
-)
-_CS_ALIEN = re.compile("(?m)" + _C_ALIEN.format(more=r"::(?<!global::)|->[ \t]*\w+[ \t]*\{|\bauto[ \t&*]+\w+[ \t]*=|^[ \t]*(?:public|private|protected)[ \t]*:|^[ \t]*\#[ \t]*(?:include|pragma once)"))
-_GO_ALIEN = re.compile(r"(?m)^[ \t]*(?:class[ \t]+\w|while[ \t(]|def[ \t]+\w+\(|try\b[ \t]*\{|public[ \t]|private[ \t]|\#)|=>|===|\?\?|;[ \t]*\r?\n[ \t]*else\b")
-_GO_HEAD = re.compile(r"\A﻿?\s*package[ \t]+[^\W\d]\w*[ \t]*(?:[;\r\n]|\Z)")
+_GO_HEAD = re.compile(r"\A\s*package[ \t]+[^\W\d]\w*[ \t]*(?:[;\n]|\Z)")
 _GO_TAIL = re.compile(r"(?:[-+*/%=&|^<>!,.:(\[{]|\b(?:import|func|type|var|const|package|struct|return|if|for|switch|case|go|defer|range|else))\Z")
 _GO_LINE = re.compile(r"(?m)^(?!package\b|import\b|func\b|type\b|var\b|const\b|[})\s]|\Z)")
-_STATEMENT = re.compile(r"(?m)^[ \t]+[^\W\d][\w.]*[ \t]+[^\W\d]\w*[ \t]*\r?$")
+_MAY_BEGIN = {"javascript": re.compile(r"[\"'`/]"), "go": re.compile(r"[\"'`/]"), "cpp": re.compile(r"[\"'/#]"), "c_sharp": re.compile(r"[\"'/#$@]"), "python": re.compile(r"[\"'#]")}
+_MAY_BEGIN["typescript"] = _MAY_BEGIN["javascript"]
+
+
+def _anywhere(code: str, rules: list[tuple[str, re.Pattern | None]]) -> int:
+    """Where the first of the rules holds, or -1."""
+    for must, rule in rules:
+        at = code.find(must)
+        if at >= 0 and rule is not None:
+            m = rule.search(code)
+            at = m.start() if m else -1
+        if at >= 0:
+            return at
+    return -1
+
+
+def _side_by_side(code: str, language: str) -> int:
+    """Where words stand side by side that no grammar rule of the language brings together: two
+    operands in JavaScript, three plain names elsewhere. -1 if nowhere."""
+    if language in ("javascript", "typescript"):
+        before, after = _JS_BEFORE_SET, _JS_AFTER_SET
+        if not any(a not in before and b not in after for a, b in _PAIR.findall(code)):
+            return -1
+        return next(m.start() for m in _PAIR.finditer(code) if m[1] not in before and m[2] not in after)
+    words = _THREE_NAMES[language]
+    if not any(a not in words and b not in words and c not in words for a, b, c in _TRIPLE.findall(code)):
+        return -1
+    return next(m.start() for m in _TRIPLE.finditer(code) if not words.intersection(m.groups()))
 
 
 def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def _stripped(text: str, lexer: re.Pattern) -> tuple[str, int]:
+def _stripped(text: str, language: str) -> tuple[str, int]:
     """The code without texts: comments become blanks, literals ``""``; and where a literal begins
     that does not end, or -1. Line ends are kept, so positions of lines stay."""
-    parts, last, bad = [], 0, -1
-    for m in lexer.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "d" else "s"
-        if kind == "bad":
-            bad = m.start()
-            break
+    lexer, begins = _LEXERS[language], _MAY_BEGIN[language]
+    parts, last, at = [], 0, 0
+    while found := begins.search(text, at):
+        m = lexer.match(text, found.start())
+        if not m:
+            at = found.end()
+            continue
+        kind = m.lastgroup
         a, b = m.span()
         parts.append(text[last:a])
+        if kind == "bad":
+            return "".join(parts), a
+        parts.append('""' if kind not in "cp" else " ")
         lines = text.count("\n", a, b)
-        parts.append(('""' if kind == "s" else " ") + "\n" * lines)
-        last = b
-    parts.append(text[last:] if bad < 0 else text[last:bad])
-    return "".join(parts), bad
+        if lines:
+            parts.append("\n" * lines)
+        last = at = b
+    parts.append(text[last:])
+    return "".join(parts), -1
 
 
 def _unbalanced(code: str) -> tuple[str, int] | None:
@@ -187,7 +259,7 @@ def _first(code: str, *rules: tuple[str, re.Pattern]) -> tuple[str, int] | None:
 
 
 def _brace_language(text: str, language: str) -> tuple[str, int] | None:
-    code, bad = _stripped(text, _LEXERS[language])
+    code, bad = _stripped(text, language)
     marker = _first(code, ("merge conflict", _CONFLICT))
     if marker:
         return marker[0], _line(code, marker[1])
@@ -198,29 +270,32 @@ def _brace_language(text: str, language: str) -> tuple[str, int] | None:
         or _template_field(code)
         or _unbalanced(code)
     )
+    if not found:
+        at = m.start() if (m := _LINES[language].search(code)) else _anywhere(code, _ANYWHERE[language])
+        if at < 0 and language == "javascript":
+            at = m.start() if (m := _TS_LINES.search(code)) else _anywhere(code, _TS_ANYWHERE)
+        if at >= 0:
+            found = "another language", at
+    if not found and (at := _side_by_side(code, language)) >= 0:
+        found = "words side by side", at
     if not found:
         end = code.rstrip()
+        tail = end[-80:]
         if language in ("javascript", "typescript"):
-            rules = [("another language", _JS_ALIEN), ("operands side by side", _JS_SIDE)]
-            if language == "javascript":
-                rules.append(("types in JavaScript", _JS_NOT_TS))
-            found = _first(code, *rules) or _first(end, ("premature end", _JS_TAIL))
-        elif language == "cpp":
-            found = _first(code, ("another language", _CPP_ALIEN), ("names side by side", _CPP_SIDE))
-            if not found and end and end[-1] not in "};" and not end.endswith('""') and code.strip():
-                found = "premature end", len(end) - 1
-        elif language == "c_sharp":
-            found = _first(code, ("another language", _CS_ALIEN), ("names side by side", _CS_SIDE))
-            if not found and end and end[-1] not in "};]":
-                found = "premature end", len(end) - 1
-        else:
-            if not end.strip("﻿ \t\r\n"):
+            early = bool(_JS_TAIL.search(tail))
+        elif language == "go":
+            if not end:
                 return None
             if not _GO_HEAD.search(code):
                 return "no package clause", 1
-            found = _first(
-                code, ("another language", _GO_ALIEN), ("names side by side", _GO_SIDE), ("statement outside of functions", _GO_LINE)
-            ) or _first(end, ("premature end", _GO_TAIL))
+            found = _first(code, ("statement outside of functions", _GO_LINE))
+            early = bool(_GO_TAIL.search(tail))
+        else:
+            early = bool(end) and end[-1] not in "};" and not (
+                language == "c_sharp" and re.search(r"\[(?:assembly|module)\b[^\]]*\]\Z", tail)
+            )
+        if not found and early:
+            found = "premature end", len(end) - 1
     if found:
         return found[0], _line(code, found[1])
     return None
@@ -236,33 +311,26 @@ def _template_field(code: str) -> tuple[str, int] | None:
     return None
 
 
-_PY_LEXER = re.compile(
-    r"""(?P<c>\#[^\n]*)|(?P<s>(?:\"{3}(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"""
-    r"""\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'))|(?P<bad>[\"'])"""
-)
-
-
 def _python(text: str) -> tuple[str, int] | None:
-    """Lexer and stack first; what they pass is read by the interpreter's own grammar."""
+    """Lexer and stack first, then the interpreter's own grammar as the exact check."""
+    code, bad = _stripped(text, "python")
+    found = _located(code, _first(code, ("merge conflict", _CONFLICT)))
+    if not found and bad >= 0:
+        found = "unterminated literal", _line(text, bad)
+    if not found:
+        rules = ("listing with line numbers", _LISTING), ("character outside of literals", _STRANGE)
+        found = _located(code, _first(code, *rules) or _template_field(code) or _unbalanced(code))
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text.encode("utf-8", "surrogatepass"))
-        return None
-    except (RecursionError, MemoryError):  # too deep for the parser, which says nothing of the file
-        code, bad = _stripped(text, _PY_LEXER)
-        return ("unterminated literal", _line(text, bad)) if bad >= 0 else _located(code, _unbalanced(code))
     except SyntaxError as error:
-        at = error.lineno or 1
+        return found or ("against the grammar", error.lineno or 1)
     except ValueError:
-        at = 1
-    code, bad = _stripped(text, _PY_LEXER)
-    conflict = _CONFLICT.search(code)
-    if conflict:
-        return "merge conflict", _line(code, conflict.start())
-    if bad >= 0:
-        return "unterminated literal", _line(text, bad)
-    return _located(code, _first(code, ("listing with line numbers", _LISTING), ("character outside of literals", _STRANGE)) or _template_field(code) or _unbalanced(code)) or ("against the grammar", at)
+        return found or ("against the grammar", 1)
+    except (RecursionError, MemoryError):  # too deep for that parser, which tells nothing of the file
+        return found
+    return None
 
 
 def _located(code: str, found: tuple[str, int] | None) -> tuple[str, int] | None:
