@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.llm.docpairs import documented_symbols
+from corvane.llm.leakage import find_leaks
 from corvane.llm.provenance import CODE, classify_files, machine_made
 from corvane.llm.registry import ORACLES, QUERIES, query
 from corvane.llm.splitting import split_oversized
@@ -69,3 +70,18 @@ def p5_found(spark, folder):
 def p5_pairs(spark, folder):
     """Code and description of all documented functions."""
     return documented_symbols(load(spark, folder, "symbols"), load(spark, folder, "raw_files"))
+
+
+@query("p7_found")
+def p7_found(spark, folder):
+    """Documents with the benchmark items that leaked into them."""
+    return find_leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+@query("p7_items")
+def p7_items(spark, folder):
+    """For each benchmark item, in how many documents it leaked and how much of it at most."""
+    leaks = find_leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return leaks.groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("n_documents"), F.max("matched_words").alias("most_words"), F.max("own_words").alias("own_words")
+    )
