@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.llm.abuse import abuse_rates, score_documents, train
 from corvane.llm.docpairs import documented_symbols
 from corvane.llm.leakage import find_leaks
 from corvane.llm.provenance import CODE, classify_files, machine_made
@@ -85,3 +86,26 @@ def p7_items(spark, folder):
     return leaks.groupBy("item_id").agg(
         F.countDistinct("doc_id").alias("n_documents"), F.max("matched_words").alias("most_words"), F.max("own_words").alias("own_words")
     )
+
+
+def _scored(spark, folder):
+    documents = load(spark, folder, "documents")
+    return score_documents(documents, train(documents, load(spark, folder, "labels")))
+
+
+@query("p8_found")
+def p8_found(spark, folder):
+    """Documents with a passage that insults, threatens, demeans a group or is sexually explicit."""
+    return _scored(spark, folder).where(F.col("abusive") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+@query("p8_scores")
+def p8_scores(spark, folder):
+    """The score of every document."""
+    return _scored(spark, folder)
+
+
+@query("p8_rates")
+def p8_rates(spark, folder):
+    """Abusive documents by source."""
+    return abuse_rates(_scored(spark, folder))
