@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.llm.abuse import abuse_rates, score_documents, train
 from corvane.llm.docpairs import documented_symbols
 from corvane.llm.leakage import find_leaks
+from corvane.llm.packing import fill_report, pack, token_counts
 from corvane.llm.provenance import CODE, classify_files, machine_made
 from corvane.llm.registry import ORACLES, QUERIES, query
 from corvane.llm.splitting import split_oversized
@@ -109,3 +110,15 @@ def p8_scores(spark, folder):
 def p8_rates(spark, folder):
     """Abusive documents by source."""
     return abuse_rates(_scored(spark, folder))
+
+
+@query("p6_containers")
+def p6_containers(spark, folder):
+    """Documents in containers of each budget, none split unless it alone exceeds the capacity."""
+    return pack(token_counts(load(spark, folder, "documents")), load(spark, folder, "context_budgets"))
+
+
+@query("p6_fill")
+def p6_fill(spark, folder):
+    """How full the containers of each budget are."""
+    return fill_report(p6_containers(spark, folder))
