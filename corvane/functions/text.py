@@ -52,6 +52,11 @@ IMPORTANT = (
 ENTRY_FILES = ("main.py", "__main__.py", "app.py", "/cli/", "/server/", "manage.py", "index.js", "index.ts", "program.cs")
 
 
+def strip(text: Column) -> Column:
+    """A text without white space of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text; a final line end does not open a further line."""
     plain = F.regexp_replace(text, r"\r\n?", "\n")
@@ -65,7 +70,7 @@ def line_slice(lines: Column, first: Column, last: Column) -> Column:
 
 def normalize_code(text: Column) -> Column:
     """Lines without white space around them, blank lines dropped."""
-    return F.array_join(F.filter(F.transform(lines_of(text), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines_of(text), strip), lambda x: x != ""), "\n")
 
 
 def signature_hash(signature: Column) -> Column:
@@ -77,7 +82,7 @@ def signature_hash(signature: Column) -> Column:
 def fingerprint(code: Column) -> Column:
     """Hash of a body without its first line; null if nothing is left."""
     lines = lines_of(code)
-    body = F.array_join(F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.trim), lambda x: x != ""), "\n")
+    body = F.array_join(F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), strip), lambda x: x != ""), "\n")
     return F.when(body != "", F.sha2(body, 256))
 
 
@@ -95,7 +100,7 @@ def first_sentence(text: Column, limit: int = 160) -> Column:
 
 def chunk_summary(content: Column) -> Column:
     """The first line that is neither blank nor a comment, else the first that is not blank."""
-    lines = F.filter(F.transform(lines_of(content), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(lines_of(content), strip), lambda x: x != "")
     code = F.filter(lines, lambda x: ~x.rlike(r"^(#|//|/\*|\*|<!--)"))
     return F.substring(F.coalesce(F.try_element_at(code, F.lit(1)), F.try_element_at(lines, F.lit(1)), F.lit("")), 1, 120)
 
