@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.paths import code_language
 from corvane.tables import key_of, load
 
 
@@ -49,3 +50,26 @@ c AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(language) AS la
              min(lower(trim(chunk_type))) AS chunk_type, min(start_line) AS start_line, min(content) AS content, min(ref) AS ref,
              min(tags) AS tags, min(qualified_name) AS qualified_name, min(summary) AS summary FROM chunks GROUP BY 1)
 """
+
+
+def graph_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols with the path and language of their file, those of known files only."""
+    s = load(spark, folder, "symbols")
+    wanted = ("name", "qualified_name", "symbol_type", "start_line", "end_line", "signature_hash", "fingerprint")
+    one = s.withColumn("symbol_type", F.lower(F.trim("symbol_type"))).withColumn("file_id", key_of("file_id")).groupBy("id").agg(
+        *[F.min(x).alias(x) for x in ("file_id", *wanted)]
+    )
+    paths = files(spark, folder).select(key_of("id").alias("file_id"), "path", code_language(F.col("path")).alias("language"))
+    return one.join(paths, "file_id").select("id", "file_id", "path", "language", *wanted)
+
+
+_EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
+#: graph_symbols as SQL, after SQL.
+GRAPH_SQL = f"""
+gs AS (SELECT o.*, p.path, p.language FROM (
+  SELECT id, min({_K.format(c='file_id')}) AS file_id, min(name) AS name, min(qualified_name) AS qualified_name, min(lower(trim(symbol_type))) AS symbol_type,
+    min(start_line) AS start_line, min(end_line) AS end_line, min(signature_hash) AS signature_hash, min(fingerprint) AS fingerprint FROM symbols GROUP BY 1) o
+  JOIN (SELECT {_K.format(c='id')} AS file_id, path, CASE WHEN {_EXT} IN ('py', 'pyi') THEN 'python' WHEN {_EXT} IN ('js', 'mjs') THEN 'javascript' WHEN {_EXT} = 'ts' THEN 'typescript'
+    WHEN {_EXT} IN ('cpp', 'cc', 'hpp', 'h') THEN 'cpp' WHEN {_EXT} = 'cs' THEN 'c_sharp' WHEN {_EXT} = 'go' THEN 'go' WHEN {_EXT} = 'json' THEN 'json'
+    WHEN {_EXT} IN ('xml', 'csproj', 'props') THEN 'xml' WHEN {_EXT} = 'md' THEN 'markdown' END AS language FROM f) p ON p.file_id = o.file_id)
+"""
