@@ -17,7 +17,7 @@ def last_wins(files: DataFrame) -> DataFrame:
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """``stored`` with the rows of ``new`` put in place of those of the same key; the last of ``new`` wins."""
-    new = latest(new, key, [F.monotonically_increasing_id()])
+    new = latest(new.withColumn("__seq", F.monotonically_increasing_id()), key, [F.col("__seq")]).drop("__seq")
     return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -101,7 +101,7 @@ def collision_threshold(symbols: DataFrame) -> DataFrame:
     total = by_size.agg(F.sum("c").alias("total"))
     running = by_size.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("c").over(W.orderBy("n")))
     at = F.least(F.col("total") - 1, F.floor(F.col("total") * 9 / 10))
-    return running.where(F.col("upto") > at).agg(F.coalesce(F.greatest(F.lit(8), F.min("n")), F.lit(1 << 30)).cast("bigint").alias("threshold"))
+    return running.where(F.col("upto") > at).agg(F.when(F.min("n").isNotNull(), F.greatest(F.lit(8), F.min("n"))).otherwise(F.lit(1 << 30)).cast("bigint").alias("threshold"))
 
 
 def impact(calls: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:

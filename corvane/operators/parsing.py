@@ -23,6 +23,13 @@ FUNCTION = {
     "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*[<(]",
     "c_sharp": r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|partial)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*\(",
 }
+METHOD = {
+    "javascript": r"^\s+(?:(?:static|async|get|set)\s+)*(\w+)\s*\([^)]*\)\s*\{\s*$",
+    "typescript": r"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(\w+)\s*\([^)]*\)\s*(?::[^{]*)?\{\s*$",
+    "cpp": r"^\s*(?:[\w:<>,*&]+\s+)+[*&]*([\w:~]+)\s*\([^;{]*\)\s*(?:const\s*)?(?:override\s*)?\{\s*$",
+}
+#: Words that look like a method's name before a bracket.
+NO_NAMES = ("if", "for", "while", "switch", "catch", "return", "function", "else", "with", "do")
 CLASS = {
     "python": r"^\s*class\s+(\w+)",
     "go": r"^type\s+(\w+)\s+(?:struct|interface)\b",
@@ -59,38 +66,47 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 def by_language(code: Column, patterns: dict[str, str], language: Column) -> Column:
     """Group 1 of the language's expression on a line; null where it does not match."""
-    out = None
+    out = F.lit(None).cast("string") if not patterns else None
     for name, pattern in patterns.items():
         hit = F.regexp_extract(code, pattern, 1)
         out = F.when(language == name, hit) if out is None else out.when(language == name, hit)
     return F.nullif(out, F.lit(""))
 
 
+def function_name(code: Column, language: Column) -> Column:
+    """The name of the function or method that begins on a line."""
+    method = by_language(code, METHOD, language)
+    return F.coalesce(by_language(code, FUNCTION, language), F.when(~method.isin(*NO_NAMES), method))
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """``file_id, line, end_line, kind, name`` of functions and classes. A span ends before the next
     filled line that is indented as little; closing brackets belong to it."""
     lines = source_lines(files)
     body = F.trim(F.regexp_replace("code", r"\t", "    "))
     indent = F.length(F.regexp_extract(F.regexp_replace("code", r"\t", "    "), r"^( *)", 1))
-    function, klass = by_language(F.col("code"), FUNCTION, F.col("language")), by_language(F.col("code"), CLASS, F.col("language"))
+    function, klass = function_name(F.col("code"), F.col("language")), by_language(F.col("code"), CLASS, F.col("language"))
     marked = lines.select("file_id", "line", indent.alias("indent"), F.coalesce(function, klass).alias("name"), F.when(function.isNotNull(), "function").when(klass.isNotNull(), "class").alias("kind"), body.alias("body")).where("body != ''")
     # For each depth, the next line that is indented no more: the least line so far when a file is
     # read from its end. One sort serves all depths, and each is a running minimum.
     w = W.partitionBy("file_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
-    closing = F.col("body").rlike(r"^[)\]}{]")
     depth = F.least(F.ceil(F.col("indent") / 2), F.lit(MAX_DEPTH)).cast("int")
-    leveled = marked.withColumn("depth", depth).withColumn("ends", F.when(~closing, F.col("line")))
-    stops = [F.min(F.when(F.col("depth") <= d, F.col("ends"))).over(w).alias(f"s{d}") for d in range(MAX_DEPTH + 1)]
+    before = F.lead("line").over(W.partitionBy("file_id").orderBy(F.desc("line")))
+    leveled = marked.withColumn("depth", depth).withColumn("closing", F.col("body").rlike(r"^([)\]}{]|(public|private|protected)\s*:)")).withColumn("before", before)
+    stops = [
+        F.min(F.when((F.col("depth") < d) | ((F.col("depth") == d) & ~F.col("closing")), F.col("before"))).over(w).alias(f"s{d}")
+        for d in range(MAX_DEPTH + 1)
+    ]
     last = F.max("line").over(W.partitionBy("file_id"))
     spans = leveled.select("file_id", "line", "kind", "name", "depth", last.alias("last"), *stops).where("name IS NOT NULL")
     stop = F.element_at(F.array(*[F.col(f"s{d}") for d in range(MAX_DEPTH + 1)]), F.col("depth") + 1)
-    return spans.select("file_id", "line", F.coalesce(stop - 1, "last").alias("end_line"), "kind", "name")
+    return spans.select("file_id", "line", F.coalesce(stop, F.col("last")).alias("end_line"), "kind", "name")
 
 
 def declared_names(files: DataFrame) -> DataFrame:
     """``file_id, line, kind, name`` of functions and classes, without their spans."""
     lines = source_lines(files)
-    function, klass = by_language(F.col("code"), FUNCTION, F.col("language")), by_language(F.col("code"), CLASS, F.col("language"))
+    function, klass = function_name(F.col("code"), F.col("language")), by_language(F.col("code"), CLASS, F.col("language"))
     return lines.select("file_id", "line", F.when(function.isNotNull(), "function").otherwise("class").alias("kind"), F.coalesce(function, klass).alias("name")).where("name IS NOT NULL")
 
 

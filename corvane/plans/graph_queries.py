@@ -80,7 +80,7 @@ def callers_tiers(spark, folder):
     "collision_threshold",
     _S
     + """, sz AS (SELECT language, name, count(*) AS n FROM gs GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT CAST(coalesce(greatest(8, (SELECT list_sort(list(n))[least(count(*) - 1, count(*) * 9 // 10) + 1] FROM sz)), 1073741824) AS BIGINT) AS threshold""",
+    SELECT CAST(CASE WHEN count(*) = 0 THEN 1073741824 ELSE greatest(8, list_sort(list(n))[least(count(*) - 1, count(*) * 9 // 10) + 1]) END AS BIGINT) AS threshold FROM sz""",
 )
 def collision_threshold(spark, folder):
     return G.collision_threshold(base.graph_symbols(spark, folder))

@@ -24,7 +24,7 @@ def _case(patterns: dict[str, str]) -> str:
     "declared_names",
     _LINE
     + f""" SELECT file_id, CAST(line AS INT) AS line, CASE WHEN fn IS NOT NULL THEN 'function' ELSE 'class' END AS kind, coalesce(fn, kl) AS name
-    FROM (SELECT file_id, line, {_case(P.FUNCTION)} AS fn, {_case(P.CLASS)} AS kl FROM ln) WHERE coalesce(fn, kl) IS NOT NULL""",
+    FROM (SELECT file_id, line, coalesce({_case(P.FUNCTION)}, CASE WHEN {_case(P.METHOD)} NOT IN {P.NO_NAMES} THEN {_case(P.METHOD)} END) AS fn, {_case(P.CLASS)} AS kl FROM ln) WHERE coalesce(fn, kl) IS NOT NULL""",
 )
 def declared_names(spark, folder):
     """Functions and classes declared in the sources."""
