@@ -51,7 +51,7 @@ NEUTRAL = "authors"
 #: Digits and signs read as letters.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
 _MIXED = re.compile(r"[a-z][013457$]+[a-z]")
-_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_]){2,}[^\W\d_](?![^\W_])")
+_APART = re.compile(r"(?<![^\W_])[^\W\d_]([ .\-_])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 _MAY_BE_APART = re.compile(r"[ .\-_][a-zß-ÿ][ .\-_][a-zß-ÿ](?![a-zß-ÿ])")
 _REPEATED = re.compile(r"([^\W\d_])\1\1+")
 _MAY_BE_REPEATED = re.compile(r"([a-z])\1\1")
@@ -72,7 +72,7 @@ def _plain(text: str) -> str:
     if _MIXED.search(t):
         t = "".join(p.translate(_LEET) if _MIXED.search(p) else p for p in re.split(r"((?<=[.!?:])\s+|\n)", t))
     if _MAY_BE_APART.search(t):
-        t = _APART.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), t)
+        t = _APART.sub(lambda m: m[0].replace(m[1], ""), t)
     if _MAY_BE_REPEATED.search(t):
         t = _REPEATED.sub(r"\1", t)
     return t

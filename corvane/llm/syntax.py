@@ -55,7 +55,7 @@ _LEXERS = {
         rf"(?P<s>R\"(?P<d>[^(\s]{{0,16}})\([\s\S]*?\)(?P=d)\"|{_DOUBLE}|(?<![0-9a-fA-F]){_SINGLE}|(?<=[0-9a-fA-F])'(?=[0-9a-fA-F]))|(?P<bad>/\*|[\"'])"
     ),
     "c_sharp": re.compile(
-        rf"(?P<c>{_BLOCK}|{_LINE})|(?P<p>(?m:^)[ \t]*\#[a-z][^\n]*)|"
+        rf"(?P<c>{_BLOCK}|{_LINE})|(?P<p>(?m:^)[ \t]*\#[ \t]*(?:if|elif|else|endif|define|undef|warning|error|line|region|endregion|pragma|nullable)\b[^\n]*)|"
         rf"(?P<s>\$*\"{{3,}}[\s\S]*?\"{{3,}}|(?:\$@|@\$|@)\"(?:[^\"]|\"\")*\"|"
         r'\$"(?:[^"\\\n{}]|\\.|\{\{|\}\}|\{(?:[^{}"\n]|"(?:[^"\\\n]|\\.)*")*\})*"|'
         rf"{_DOUBLE}|{_SINGLE})|(?P<bad>/\*|[\"'])"
