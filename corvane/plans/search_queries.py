@@ -55,8 +55,17 @@ def symbol_lookup(spark, folder):
 
 @query("bm25_topk", f"WITH {_ASKED}, {_BM25} SELECT query_id, id, round(score, 6) AS score FROM bm")
 def bm25_topk(spark, folder):
-    index, sizes = R.postings(_documents(spark, folder))
-    return R.bm25(index, sizes, _queries(spark, folder)).withColumn("score", F.round("score", 6))
+    return R.bm25(_documents(spark, folder), _queries(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "postings",
+    f"WITH {_BM25.split('qp AS')[0].rstrip().rstrip(',')} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(tf) AS BIGINT) AS most FROM po GROUP BY 1",
+)
+def postings(spark, folder):
+    """The vocabulary of the inverted index, with document and collection frequencies."""
+    index, _ = R.postings(_documents(spark, folder))
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most"))
 
 
 _DIST = "list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))"
@@ -112,7 +121,7 @@ def _channels(spark, folder):
     wanted = R.hash_embedding(asked.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")
     return {
         "symbol": R.symbol_channel(titled.where(F.col("name").isNotNull()), asked),
-        "keyword": R.bm25(*R.postings(d), asked),
+        "keyword": R.bm25(d, asked),
         "vector": R.vector_channel(vectors, wanted),
     }
 

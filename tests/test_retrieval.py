@@ -60,7 +60,7 @@ def test_bm25_against_loops(spark):
     asked = {"q1": "gre red", "q2": "blue", "q3": "zzz"}
     d = spark.createDataFrame(list(docs.items()), "id string, text string")
     q = spark.createDataFrame(list(asked.items()), "query_id string, query string")
-    got = {(r["query_id"], r["id"]): r["score"] for r in R.bm25(*R.postings(d), q, k=50).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in R.bm25(d, q, k=50).collect()}
     words = {i: (t or "").split() for i, t in docs.items()}
     avg, want = sum(map(len, words.values())) / len(words), Counter()
     for qid, text in asked.items():
