@@ -263,6 +263,10 @@ def fit(
         np.maximum.at(worst, docs, score)
         # What a positive document has to exceed to be believed: nearly all negative documents.
         bar = np.quantile(worst[calm & np.isfinite(worst)], (0.95, 0.97, 0.98, 0.985)[min(r, 3)])
+        if r:  # and the score above which positive labels prevail
+            order = np.argsort(-worst[labelled], kind="stable")
+            lead = np.cumsum(np.where(y[labelled][order] > 0, 1, -1))
+            bar = max(bar, worst[labelled][order][int(np.argmax(lead))] - 1e-9)
         believed = (y > 0) & (worst > bar)
         witness = pos & believed[docs] & (score >= np.minimum(worst[docs], bar + 0.7 * (worst[docs] - bar)) - 1e-9)
         use = witness | ~pos
