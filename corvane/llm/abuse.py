@@ -313,7 +313,8 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
     """``text, toxic`` of labelled documents: null labels are left out, several labels of one
     document count by their majority, ties are left out. Of more than ``max_rows`` documents those
-    with the least hash of their id are taken, the same ones at every run."""
+    with the least hash of their id are taken, the same ones at every run. The ids are broadcast, so
+    that no text is shuffled; there are ``max_rows`` of them at most."""
     votes = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id")
@@ -323,7 +324,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return documents.select("doc_id", "text").where("text IS NOT NULL").join(votes, "doc_id").select("doc_id", "text", "toxic")
+    return documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id").select("doc_id", "text", "toxic")
 
 
 def unlabelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_UNLABELLED) -> DataFrame:
