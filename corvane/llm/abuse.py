@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import ship_package
 #: Labelled documents that are used at most; of more, those with the least hash of their id.
 MAX_LABELLED = 20_000
 #: Documents without label that are used at most, by the same rule: most documents are not abusive,
@@ -352,6 +353,7 @@ def train(
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, source, score, abusive`` of every row of ``documents``; null and empty texts have
     the score of a passage without words. Copies and repeated rows have the same score."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

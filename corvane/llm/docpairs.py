@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
+from corvane.session import ship_package
 from corvane.tables import key_of
 
 LANGUAGES = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
@@ -312,6 +313,7 @@ def extract_functions(raw_files: DataFrame, with_code: bool = True) -> DataFrame
     ``file_key`` is file_id trimmed and in lower case. Null texts and other languages have no
     functions. Repeated rows of a file give repeated rows.
     """
+    ship_package(raw_files.sparkSession)
     kind = "array<struct<name:string,line:int,signature:string,description:string,doc_distance:int" + (
         ",end_line:int,code:string>>" if with_code else ">>"
     )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import basename, code_language
+from corvane.session import ship_package
 
 #: Languages whose files count as code.
 CODE = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
@@ -65,7 +66,7 @@ VENDORED_DIR = (
 )
 GENERATED_NAME = (
     r"(?i)(_pb2(_grpc)?\.pyi?|\.pb\.(go|cc|cpp|h|hpp)|_pb\.m?[jt]s|\.g\.(i\.)?(cs|ts|js)|"
-    r"[._](generated|gen)\.\w+|\.designer\.cs|zz_generated\w*\.go|_zz_generated\.go)$"
+    r"[._]generated\.\w+|\.gen\.\w+|_gen\.go|\.designer\.cs|zz_generated\w*\.go|_moc\.(cpp|cc|h|hpp)|(^|/)moc_\w+\.(cpp|cc|h))$"
 )
 MINIFIED_NAME = r"(?i)[.-]min\.(m?js|css)$"
 LOCKFILE_NAME = (
@@ -127,6 +128,7 @@ def classify_files(raw_files: DataFrame) -> DataFrame:
     too. A null path has no language and decides nothing, a null or empty text is hand-written
     unless its path says otherwise. Text is read whole; only its head goes to Python.
     """
+    ship_package(raw_files.sparkSession)
     path, text = F.col("path"), F.col("text")
     head = F.when(code_language(path).isin(*CODE), F.regexp_extract(text, _HEAD, 1))
     size = F.char_length(text)

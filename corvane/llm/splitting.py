@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import bounded_broadcast
+from corvane.session import bounded_broadcast, ship_package
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
 _PIECES = (
@@ -196,6 +196,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     limited = with_limits(chunks.select(*wanted), limits).where(
         F.char_length("content") > F.col("max_chars")
     )
+    ship_package(chunks.sparkSession)
     find = F.pandas_udf(_positions, _PIECES)
     pieces = limited.select(
         F.col("id").alias("chunk_id"),

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
+from corvane.session import ship_package
 
 #: Languages that are checked; others have no error.
 CHECKED = ("python", "javascript", "typescript", "cpp", "c_sharp", "go", "json", "xml")
@@ -394,6 +395,7 @@ def check_syntax(raw_files: DataFrame) -> DataFrame:
     rows with null or other paths are left out, null texts are valid. Repeated rows are kept.
     """
     files = raw_files.select("file_id", "repo_id", "path", code_language(F.col("path")).alias("language"), "text")
+    ship_package(raw_files.sparkSession)
     read = F.pandas_udf(_errors, "struct<error:string,line:int>")
     checked = files.where(F.col("language").isin(*CHECKED)).select(
         "file_id", "repo_id", "path", "language", read("text", "language").alias("e")
