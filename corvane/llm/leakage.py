@@ -4,11 +4,13 @@ Both sides become words: text is unescaped, stripped of marks and invisible char
 in lower case, so spelling, markup, quoting and line breaks do not matter. Evaluation items are
 indexed by their seeds, hashes of three neighbouring words. The index goes to all tasks; its size
 is checked, and more items than its bound are taken in blocks, each a pass over the documents. A
-document's seeds are looked up in it; for the items that share enough of them, the longest common
-runs are marked one after another without overlap (the seeds that lie on one diagonal are one run,
-as Karp-Rabin hashing finds it), and runs that follow each other in both texts with small gaps are
-chained. Words of an item that appear in another order give no chain. An item leaked if its best
-chain covers a third of its own words; the opening that several items share is not its own.
+document's seeds are looked up in it; for every item of which the found seeds cover as many words
+as a leak needs, the longest common runs are marked one after another without overlap (the seeds
+that lie on one diagonal are one run, as Karp-Rabin hashing finds it), and runs that follow each
+other in both texts with small gaps are chained. Words of an item that appear in another order give
+no chain. An item leaked if its best chain covers a third of its own words; the opening that several
+items share is not its own. Which openings are shared and which words are rare is counted over all
+items, not those of a block.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from corvane.session import rows_at_most, ship_package
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 4_000_000
 #: Words that may differ, be missing or be added between two runs of a chain.
 GAP = 4
+#: Share of the words between the ends of a chain that must be in its runs.
+MATCHED = 0.6
 #: A word is rare if so many items have it at most.
 RARE_ITEMS = 2
 #: An opening counts as shared if so many items have it, of so many words at least.
@@ -70,13 +74,12 @@ class SeedIndex:
     owner: np.ndarray  # item of each seed, by position in ``items``
     place: np.ndarray  # first word of each seed in its item
     rare: list[np.ndarray]  # for each item, which of its words at most RARE_ITEMS items have
-    n_rare: np.ndarray  # how many different such words each item has
-    rare_items: dict[str, list[int]]  # the items of each such word
 
 
 def own_words(texts: list[str]) -> list[list[str]]:
     """The words of each text without an opening that several of them share."""
-    lists = [words_of(t) for t in texts]
+    once: dict[str, str] = {}  # equal words are kept once
+    lists = [[once.setdefault(x, x) for x in words_of(t)] for t in texts]
     groups: dict[tuple, list[list[str]]] = {}
     for x in lists:
         if len(x) > SHARED_WORDS:
@@ -98,10 +101,22 @@ def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | c
 
 
+def item_counts(own: list[list[str]]) -> Counter:
+    """How many items have each word."""
+    return Counter(x for words in own for x in set(words))
+
+
 def build_index(items: list[tuple[int, str]]) -> SeedIndex:
+    """The index of these items as if there were no others."""
+    own = own_words([t for _, t in items])
+    return index_block([i for i, _ in items], own, item_counts(own))
+
+
+def index_block(item_ids: list[int], own_lists: list[list[str]], of: Counter) -> SeedIndex:
+    """The index of one block; ``of`` has the counts of all items."""
     vocabulary: dict[str, int] = {}
-    ids, words, seeds, owner, place = [], [], [], [], []
-    for (item_id, _), own in zip(items, own_words([t for _, t in items])):
+    ids, words, rare, seeds, owner, place = [], [], [], [], [], []
+    for item_id, own in zip(item_ids, own_lists):
         w = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in own], dtype=np.int64)
         n = max(0, len(w) - 2)
         seeds.append(_hash(w[:n], w[1 : n + 1], w[2 : n + 2]))
@@ -109,20 +124,13 @@ def build_index(items: list[tuple[int, str]]) -> SeedIndex:
         place.append(np.arange(n))
         ids.append(item_id)
         words.append(w)
+        rare.append(np.array([of[x] <= RARE_ITEMS for x in own], dtype=bool))
     if len(vocabulary) >= 1 << 21:
         raise ValueError("too many different words in one block of items")
     flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.int64)
     order = np.argsort(flat, kind="stable")
     whole = lambda x: np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int64)
-    rare_items: dict[str, list[int]] = {}
-    names = list(vocabulary)
-    of = Counter(int(x) for w in words for x in np.unique(w))
-    rare = [np.array([of[int(x)] <= RARE_ITEMS for x in w], dtype=bool) for w in words]
-    for k, (w, mask) in enumerate(zip(words, rare)):
-        for x in np.unique(w[mask]):
-            rare_items.setdefault(names[x], []).append(k)
-    n_rare = np.array([len(np.unique(w[mask])) for w, mask in zip(words, rare)])
-    return SeedIndex(vocabulary, ids, words, flat[order], whole(owner), whole(place), rare, n_rare, rare_items)
+    return SeedIndex(vocabulary, ids, words, flat[order], whole(owner), whole(place), rare)
 
 
 def _tiles(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
@@ -167,11 +175,11 @@ def _chain(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-def _candidates(words: list[str], index: SeedIndex, share: float) -> list[int]:
-    """Items of which enough different rare words occur; items without rare words always."""
-    count = Counter(k for x in index.rare_items.keys() & set(words) for k in index.rare_items[x])
-    out = [k for k, n in count.items() if n >= max(1, 0.4 * share * index.n_rare[k])]
-    return out + np.flatnonzero(index.n_rare == 0).tolist()
+def _candidates(owner: np.ndarray, place: np.ndarray, index: SeedIndex, share: float) -> list[int]:
+    """Items whose words within found seeds are as many as the shortest leak has; no chain has more."""
+    at = np.unique((owner << 32 | place)[:, None] + np.arange(3))
+    items, covered = np.unique(at >> 32, return_counts=True)
+    return [int(k) for k, n in zip(items, covered) if n >= MATCHED * share * len(index.words[k]) - 1e-9]
 
 
 def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int, int, int]]:
@@ -182,8 +190,7 @@ def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int,
     items made from one pattern share long runs, but not their names.
     """
     words = words_of(text)
-    items = _candidates(words, index, share)
-    if len(words) < 3 or not items:
+    if len(words) < 3:
         return []
     w = np.array([index.vocabulary.get(x, -1) for x in words], dtype=np.int64)
     known = w >= 0
@@ -191,21 +198,21 @@ def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int,
     h = _hash(w[start], w[start + 1], w[start + 2])
     lo, hi = np.searchsorted(index.seeds, h, "left"), np.searchsorted(index.seeds, h, "right")
     n = hi - lo
+    if not n.any():
+        return []
     at = np.repeat(start, n)
     which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner, place = index.owner[which], index.place[which]
     out = []
-    for item in sorted(items):
+    for item in _candidates(owner, place, index, share):
         of = owner == item
         own = len(index.words[item])
-        if own < 3 or not of.any():
-            continue
         chain = _chain(_tiles(at[of], place[of]))
         first, last = chain[0][1], chain[-1][1] + chain[-1][2]
         matched = sum(k for _, _, k in chain)
         rare = index.rare[item]
         there, hit = rare[first:last].sum(), sum(rare[i : i + k].sum() for _, i, k in chain)
-        if last - first >= share * own and matched >= 0.6 * (last - first) and hit >= 0.5 * there:
+        if last - first >= share * own and matched >= MATCHED * (last - first) and hit >= 0.5 * there:
             out.append((index.items[item], int(matched), own, int(chain[0][0])))
     return out
 
@@ -229,8 +236,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 1 / 3)
     )
     schema = "doc_id bigint, item_id bigint, matched_words int, own_words int, at_word int"
     result = spark.createDataFrame([], schema)
+    own = own_words([t for _, t in items])
+    counts = item_counts(own)
     for first in range(0, len(items), BLOCK_ITEMS):
-        index = build_index(items[first : first + BLOCK_ITEMS])
+        block = slice(first, first + BLOCK_ITEMS)
+        index = index_block([i for i, _ in items[block]], own[block], counts)
         if sum(map(len, index.words)) > BLOCK_WORDS:
             raise ValueError("the items of one block have too many words; make BLOCK_ITEMS smaller")
         shared = spark.sparkContext.broadcast(index)

@@ -69,6 +69,20 @@ def test_no_leaks():
     assert found("") == [] and found("a b") == []
 
 
+def test_leaks_without_the_rare_words():
+    common = "the first part of the plan is kept in the same old place"
+    items = [(1, common + " qua bex dun fip gol hra jud kem lon mip nar oxt pel"), *((k, f"w{k} " * 3 + " ".join(common.split()[::-1])) for k in range(2, 6))]
+    assert L.leaks_of(common, L.build_index(items), 1 / 3) == [(1, 13, 26, 0)]
+
+
+def test_rare_words_are_counted_over_all_blocks(spark, rows, monkeypatch):
+    bench = spark.createDataFrame([(k, t, "q") for k, (_, t) in enumerate(ITEMS * 2)], "item_id bigint, text string, kind string")
+    docs = spark.createDataFrame([(1, ITEMS[0][1], "a", "")], DOC)
+    whole = rows(L.find_leaks(docs, bench))
+    monkeypatch.setattr(L, "BLOCK_ITEMS", 1)
+    assert len(whole) == 2 and rows(L.find_leaks(docs, bench)) == whole
+
+
 def test_find_leaks(spark, rows):
     bench = spark.createDataFrame([*ITEMS, ITEMS[0], (9, None), (None, "x y z")], "item_id bigint, text string").selectExpr("*", "'q' as kind")
     own = ITEMS[0][1].split("all. ")[1]
