@@ -31,10 +31,22 @@ def diff(stored: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def cascade_delete(symbols: DataFrame, chunks: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """How many symbols and chunks are left once deleted files and symbols take theirs along."""
-    gone = tombstones.select("kind", key_of("key").alias("key")).distinct()
-    left_s = symbols.join(gone.where("kind = 'file'").select(F.col("key").alias("file_id")), "file_id", "left_anti")
-    left_c = chunks.join(gone.where("kind = 'symbol'").select(F.col("key").alias("symbol_id")), "symbol_id", "left_anti")
+    """How many symbols and chunks are left once deleted files and symbols take theirs along.
+
+    A symbol goes with its file or by its own tombstone, a chunk with its file or its symbol,
+    whichever way that symbol went.
+    """
+    gone = tombstones.select("kind", key_of("key").alias("key")).where("key IS NOT NULL").distinct()
+    gone_files = gone.where("kind = 'file'").select(F.col("key").alias("file_id"))
+    named = gone.where("kind = 'symbol'").select(F.col("key").alias("symbol_id"))
+    keyed = symbols.select(key_of("id").alias("symbol_id"), key_of("file_id").alias("file_id"))
+    gone_symbols = named.unionByName(keyed.join(gone_files, "file_id", "left_semi").select("symbol_id")).distinct()
+    left_s = keyed.join(gone_files, "file_id", "left_anti").join(named, "symbol_id", "left_anti")
+    left_c = (
+        chunks.select(key_of("file_id").alias("file_id"), key_of("symbol_id").alias("symbol_id"))
+        .join(gone_files, "file_id", "left_anti")
+        .join(gone_symbols, "symbol_id", "left_anti")
+    )
     return left_s.agg(F.count(F.lit(1)).alias("n_kept")).select(F.lit("symbols").alias("table_name"), "n_kept").unionByName(
         left_c.agg(F.count(F.lit(1)).alias("n_kept")).select(F.lit("chunks").alias("table_name"), "n_kept")
     )

@@ -10,7 +10,7 @@ from corvane.operators import changes as C
 from corvane.plans import base
 from corvane.plans.registry import query
 from corvane.plans.text_queries import _BASE, _LANG, _W
-from corvane.tables import load
+from corvane.tables import key_of, load
 
 _L = _LANG.replace("{p}", "path")
 _FOLDER = "CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END"
@@ -151,7 +151,9 @@ def diff_snapshot(spark, folder):
       UNION ALL SELECT 'chunks', count(*) FROM c WHERE symbol_id IS NULL OR symbol_id NOT IN (SELECT lower(trim(key)) FROM tombstones WHERE kind = 'symbol')""",
 )
 def cascade_delete(spark, folder):
-    return C.cascade_delete(base.symbols(spark, folder), base.chunks(spark, folder), load(spark, folder, "tombstones"))
+    chunks = load(spark, folder, "chunks").select("id", key_of("file_id").alias("file_id"), key_of("symbol_id").alias("symbol_id"))
+    chunks = chunks.groupBy("id").agg(F.min("file_id").alias("file_id"), F.min("symbol_id").alias("symbol_id"))
+    return C.cascade_delete(base.symbols(spark, folder), chunks, load(spark, folder, "tombstones"))
 
 
 @query(

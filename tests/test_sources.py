@@ -63,3 +63,13 @@ def test_diff_and_upsert(spark, rows):
     new = spark.createDataFrame([("1", "a", "x"), ("2", "b", "q"), ("4", "d", "n")], old.schema)
     assert rows(Ch.diff(old, new)) == [("a", "unchanged"), ("b", "changed"), ("c", "deleted"), ("d", "new")]
     assert rows(Ch.upsert(old, new), "id", "content_hash") == [("1", "x"), ("2", "q"), ("3", "z"), ("4", "n")]
+
+
+def test_cascade_reaches_all_that_hangs_on_it(spark, rows):
+    symbols = spark.createDataFrame([("S1", "f1"), ("s2", "f2"), ("s3", "f2"), ("s4", None)], "id string, file_id string")
+    chunks = spark.createDataFrame(
+        [("c1", "f9", "s1"), ("c2", " F1 ", None), ("c3", "f2", "s2"), ("c4", "f2", "s3"), ("c5", None, None), ("c6", "f1", "s4")], "id string, file_id string, symbol_id string"
+    )
+    gone = spark.createDataFrame([("file", "F1"), ("symbol", "s2 "), ("file", None)], "kind string, key string")
+    # s1 goes with f1 and s2 by itself; c1 with s1, c2 and c6 with f1, c3 with s2
+    assert rows(Ch.cascade_delete(symbols, chunks, gone)) == [("chunks", 2), ("symbols", 2)]
