@@ -147,13 +147,8 @@ def _merged(mode: str) -> str:
 
 @query("hybrid_modes", f"WITH {_ASKED}, {_TOKENS}, {_BM25}, {_DOCSYM} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({_merged(m)})" for m in R.MODES))
 def hybrid_modes(spark, folder):
-    """The exact channels merged under each mode (the vector channel is left out, as channel isolation does)."""
-    channels = {k: v for k, v in _channels(spark, folder).items() if k != "vector"}
-    out = None
-    for mode, weights in R.MODES.items():
-        part = R.merge_channels(channels, weights).select(F.lit(mode).alias("mode"), "query_id", "id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All three channels merged under each mode."""
+    return R.merge_modes(_channels(spark, folder), R.MODES).select("mode", "query_id", "id", "score")
 
 
 def _cards(spark, folder):

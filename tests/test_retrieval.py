@@ -1,7 +1,10 @@
+import hashlib
 import math
+import re
 from collections import Counter
 
 from corvane.operators import retrieval as R
+from corvane.plans import search_queries as S
 
 
 def hits(spark, *rows):
@@ -83,3 +86,40 @@ def test_vectors(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.9])], "id int, vector array<float>")
     near = R.vector_channel(v, v.where("id = 1").withColumnRenamed("id", "query_id"), k=1, exclude_self=True).first()
     assert near["id"] == 3
+
+
+def test_hybrid_modes_against_loops(spark, tmp_path):
+    docs = [(100, "alpha beta gamma", "alpha plan"), (200, "delta epsilon", "delta"), *((k, f"word{k} filler of row {k % 3}", None if k % 2 else f"alpha {k}") for k in range(1, 31))]
+    spark.createDataFrame([(i, t, n, "s") for i, t, n in docs], "doc_id bigint, text string, title string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = {i: n for i, t, n in docs if i % 100 == 0}
+
+    def vector(text):
+        out = [0.0] * 64
+        for w in re.findall("[a-z0-9_]+", text.lower()):
+            out[int(hashlib.md5(w.encode()).hexdigest()[-8:], 16) % 64] += 1
+        norm = math.sqrt(sum(x * x for x in out))
+        return [x / norm for x in out]
+
+    q = spark.createDataFrame(list(asked.items()), "query_id bigint, query string")
+    d = spark.createDataFrame(docs, "id bigint, text string, name string")
+    value = {name: {} for name in ("symbol", "keyword", "vector")}
+    for r in R.symbol_channel(d.where("name IS NOT NULL"), q).collect():
+        value["symbol"].setdefault(r["query_id"], {})[r["id"]] = r["score"]
+    for r in R.bm25(d, q).collect():
+        value["keyword"].setdefault(r["query_id"], {})[r["id"]] = r["score"]
+    for i, text in asked.items():
+        near = sorted((round(sum((x - y) ** 2 for x, y in zip(vector(t), vector(text))), 6), j) for j, t, _ in docs)[:20]
+        value["vector"][i] = {j: -s for s, j in near}
+    want = {}
+    for mode, weights in R.MODES.items():
+        for i in asked:
+            total = Counter()
+            for name, hits in value.items():
+                own = hits.get(i, {})
+                low, high = min(own.values(), default=0), max(own.values(), default=0)
+                for j, s in own.items():
+                    total[j] += weights[name] * (s if name == "symbol" else 0.7 if high - low < 1e-9 else (s - low) / (high - low))
+            for j, s in sorted(total.items(), key=lambda x: (-round(x[1], 6), x[0]))[:10]:
+                want[mode, i, j] = s
+    got = {(r["mode"], r["query_id"], r["id"]): r["score"] for r in S.hybrid_modes(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
