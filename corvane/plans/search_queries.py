@@ -19,7 +19,7 @@ def _documents(spark, folder):
 
 def _queries(spark, folder):
     d = load(spark, folder, "documents").where(F.col("doc_id") % 100 == 0)
-    return d.select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.substring("text", 1, 80)).alias("query"))
+    return d.select(F.col("doc_id").alias("query_id"), F.coalesce("title", "text").alias("query"))
 
 
 _ASKED = "q AS (SELECT doc_id AS query_id, coalesce(title, left(text, 80)) AS query FROM documents WHERE doc_id % 100 = 0)"

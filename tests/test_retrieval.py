@@ -123,3 +123,10 @@ def test_hybrid_modes_against_loops(spark, tmp_path):
                 want[mode, i, j] = s
     got = {(r["mode"], r["query_id"], r["id"]): r["score"] for r in S.hybrid_modes(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
+def test_query_of_an_untitled_document_is_its_whole_text(spark, tmp_path):
+    docs = [(100, "filler " * 20 + "zebra", None), (200, "zebra", "a title"), (300, None, None), (1, "the zebra crossing", None)]
+    spark.createDataFrame([(*d, "s") for d in docs], "doc_id bigint, text string, title string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["query_id"]: r["query"] for r in S._queries(spark, str(tmp_path)).collect()} == {100: docs[0][1], 200: "a title", 300: None}
+    assert 1 in [r["id"] for r in S.bm25_topk(spark, str(tmp_path)).where("query_id = 100").collect()]
