@@ -36,6 +36,9 @@ MAX_LABELLED = 20_000
 MAX_UNLABELLED = 6_000
 #: Passages of negative documents that are used at most, chosen at random with a fixed seed.
 MAX_PASSAGES = 120_000
+#: Documents of the sample that a word has to occur in, and passages that a pair has to, at any size
+#: of the sample; features as rare as that are damped by ``rare_ridge``.
+LEAST = 2
 
 #: Names of groups of people, as sequences of words, that must not count as such.
 #: The invented ones are those of the test data; pass others for other corpora.
@@ -221,9 +224,8 @@ def fit(
     labelled = np.arange(len(y)) < len(toxic)
     tokens = [tokens_of(t or "") for t in [*texts, *unlabelled]]
     words: dict[str, int] = {}
-    least = 3 if len(toxic) > 2000 else 2  # documents that a word or pair has to occur in
     for w, n in sorted(Counter(w for x in tokens for w in set(x)).items()):
-        if n >= least and w not in _BREAKS and "*" not in w:
+        if n >= LEAST and w not in _BREAKS and "*" not in w:
             words.setdefault(w, len(words) + 2)
     for g in (*identities, NEUTRAL):
         for w in g.split():
@@ -242,10 +244,12 @@ def fit(
     if len(bags) > MAX_PASSAGES:
         keep = (y[docs] > 0) | (rng.random(len(bags)) < MAX_PASSAGES / len(bags))
         docs, bags = docs[keep], [b for b, k in zip(bags, keep) if k]
-    x = _Features(bags, n_words, least)
+    if not (labelled & (y == 0))[docs].any():  # no labelled negative has words
+        return Model(words, stars, np.zeros(0, dtype=np.int64), np.zeros(n_words), np.zeros(0), -9.0, 0.5)
+    x = _Features(bags, n_words, LEAST)
     groups = [g for g in (tuple(words[w] for w in name.split()) for name in identities)]
     before, after = _swaps(bags, groups, words[NEUTRAL], rng)
-    left, right = _Features(before, n_words, least, x.pairs), _Features(after, n_words, least, x.pairs)
+    left, right = _Features(before, n_words, LEAST, x.pairs), _Features(after, n_words, LEAST, x.pairs)
 
     # Weights of features that few passages have are held near zero.
     shrink = ridge / 100 * (1 + rare_ridge / np.maximum(1.0, x.back(np.ones(x.size))))
@@ -257,12 +261,12 @@ def fit(
     w = np.where(here + there < 3, 0.0, w) / 4
     w[_OTHER] = 0
     bias = -2.0
-    calm = labelled & (y == 0) if (labelled & (y == 0)).sum() >= 300 else y == 0
+    calm = labelled & (y == 0)
     for r in range(rounds):
         score = x.dot(w)
         worst = np.full(len(y), -np.inf)
         np.maximum.at(worst, docs, score)
-        # What a positive document has to exceed to be believed: nearly all negative documents.
+        # What a positive document has to exceed to be believed: nearly all documents labelled as negative.
         bar = np.quantile(worst[calm & np.isfinite(worst)], (0.95, 0.97, 0.98, 0.985)[min(r, 3)])
         if r:  # and the score above which positive labels prevail
             order = np.argsort(-worst[labelled], kind="stable")

@@ -125,6 +125,18 @@ def test_held_out_accuracy_with_wrong_labels():
     assert ((model.scores(texts) >= model.threshold) == truth).mean() > 0.97
 
 
+def test_rare_insults_count_at_every_size():
+    for n in (400, 2100):
+        texts, toxic = corpus(n, 1)
+        model = A.fit(texts + ["you are a zorgling idiot."] * 2, toxic + [1, 1])
+        known, unknown = model.scores(["zorgling", "qwertling"])
+        assert "zorgling" in model.words and known > unknown, n
+
+
+def test_bar_is_set_by_labelled_documents():
+    assert A.fit(["", "you idiot", "you idiot"], [0, 1, 1], ["a calm word", "a calm word"]).scores(["you idiot"])[0] < 0.01
+
+
 def test_mentions_do_not_count():
     model = A.fit(*corpus(600, 1))
     same = model.scores([f"the {g} team joined the review today" for g in ("veskari", "ombrians", "authors")])
