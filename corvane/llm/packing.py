@@ -93,9 +93,8 @@ class _Stock:
         two = self.pair(gap)
         if two:
             return two
-        tried = 0
         size = self.largest(gap - 2)
-        while size and tried < 24:  # a triple with each of the largest sizes in turn
+        while size * 3 >= gap:  # a triple whose largest size this is
             self.left[size] -= 1
             self.have[size] = self.left[size] > 0
             rest = self.pair(gap - size)
@@ -103,7 +102,6 @@ class _Stock:
             self.have[size] = True
             if rest:
                 return (size, *rest)
-            tried += 1
             size = self.largest(size - 1)
         return None
 

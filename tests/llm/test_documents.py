@@ -21,6 +21,11 @@ def test_packing_uses_every_item_once(sizes, capacity):
     assert len(got) <= 2 * math.ceil(sum(sizes) / capacity) + 1
 
 
+def test_exact_triple_behind_many_large_sizes():
+    stock = K._Stock(np.array([*range(600, 640), 330, 334, 336]), 1000)
+    assert sorted(stock.complement(1000)) == [330, 334, 336]
+
+
 def test_packing_is_nearly_full():
     rng = random.Random(1)
     sizes = [rng.randint(1, 400) for _ in range(4000)]
