@@ -346,11 +346,46 @@ def _json(text: str) -> tuple[str, int] | None:
         json.loads(text.removeprefix("﻿"), parse_constant=no_constant)
     except json.JSONDecodeError as error:
         return ("merge conflict" if _CONFLICT.search(text) else "against the grammar"), error.lineno
-    except (ValueError, RecursionError):
+    except RecursionError:  # nested deeper than the parser goes
+        return _json_by_stack(text.removeprefix("\ufeff"))
+    except ValueError:
         return "against the grammar", 1
     return None
 
 
+_JSON_TOKEN = re.compile(
+    r'[ \t\n\r]*+(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null))'
+)
+
+
+def _json_by_stack(text: str) -> tuple[str, int] | None:
+    """The grammar of JSON by a lexer and a pushdown stack, for any depth."""
+    text = text.rstrip(" \t\n\r")
+    stack: list[str] = []
+    at, state = 0, "value"
+    while at < len(text):
+        m = _JSON_TOKEN.match(text, at)
+        mark = m[1] if m else None
+        if m and mark is None and (state in ("value", "first value") or m[2] and state in ("key", "first key")):
+            state = "colon" if "key" in state else "after"
+        elif mark and mark in "[{" and state in ("value", "first value"):
+            stack.append(mark)
+            state = "first value" if mark == "[" else "first key"
+        elif mark == ":" and state == "colon":
+            state = "value"
+        elif mark == "," and state == "after" and stack:
+            state = "value" if stack[-1] == "[" else "key"
+        elif mark and stack and stack[-1] + mark in ("[]", "{}") and state in ("after", "first value" if mark == "]" else "first key"):
+            stack.pop()
+            state = "after"
+        else:
+            break
+        at = m.end()
+    if at == len(text) and state == "after" and not stack:
+        return None
+    return ("merge conflict" if _CONFLICT.search(text) else "against the grammar"), text.count("\n", 0, at) + 1
+
+
 def _xml(text: str) -> tuple[str, int] | None:
     parser = xml.parsers.expat.ParserCreate()
     text = re.sub(r"\A(﻿?<\?xml[^>]*?)\s+encoding\s*=\s*(?:\"[^\"]*\"|'[^']*')", r"\1", text)

@@ -112,3 +112,15 @@ def test_documented_symbols(spark, rows):
     got = documented_symbols(symbols, raw)
     assert rows(got, "symbol_id", "name", "description", "code") == [("s1", "F", "Keeps the order of rows.", "func F() {\n\treturn\n}")]
     assert documented_symbols(symbols.limit(0), raw).count() == 0
+
+
+def test_json_of_any_depth():
+    from corvane.llm.syntax import _json_by_stack, syntax_error
+
+    deep = "[" * 200_000 + '{"a": [1, -2.5e3, "\\u00e9", {}, [], null]}' + "]" * 200_000
+    assert syntax_error(deep, "json") is None
+    assert syntax_error(deep[:-1], "json") and syntax_error(deep + "]", "json") and syntax_error(deep.replace("{}", "{,}"), "json")
+    for text in ('', '[1,]', '{"a":}', '{"a" 1}', '{1: 2}', '[1 2]', '[}', '01', '["\t"]', '1 2', 'nul', '{"a": 1,}', '[,1]'):
+        assert _json_by_stack(text) and syntax_error(text, "json"), text
+    for text in ('1', ' [ ] ', '{ }', '{"a": [true, {"b": "x"}]}', '"s"'):
+        assert _json_by_stack(text) is None and syntax_error(text, "json") is None, text
