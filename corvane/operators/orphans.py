@@ -119,7 +119,6 @@ def orphans(
     keys: Sequence[ForeignKey] = INDEX_KEYS,
     tombstones: DataFrame | None = None,
     written_at: Mapping[str, str] = WRITTEN_AT,
-    inherited: bool = True,
 ) -> DataFrame:
     """All orphan references: ``ref_table, ref_column, row_id, period, kind, reason, hops``.
 
@@ -144,39 +143,52 @@ def orphans(
         deleted = None
         if stones is not None and fk.kind is not None:
             deleted = stones.where((F.col("kind") == fk.kind) & F.col("key").isNotNull()).select("key", "at")
-        found.append(_named(direct_orphans(refs[fk], targets, deleted), fk, "direct", 0))
-    result = _union(found)
-    if not inherited:
-        return result
+        found.append(_named(direct_orphans(refs[fk], targets, deleted), fk, 0))
+    direct = _union(found)
     depth = _depth(keys)
-    frontier, hops = result, 0
     if depth is None:
-        frontier = result = checkpointed(result)
-    while depth is None or hops < depth - 1:
-        hops += 1
-        below = []
-        for fk in keys:
-            if depth is not None and not any(up.child == fk.parent for up in keys):
-                continue
-            bad = frontier.where(F.col("ref_table") == fk.parent).select(key_of("row_id").alias("key")).distinct()
-            hit = refs[fk].join(bad, "key", "left_semi").withColumn("reason", F.lit("parent is an orphan"))
-            below.append(_named(hit, fk, "inherited", hops))
+        return _to_fixpoint(direct, refs, keys)
+    frontier, levels = direct, [direct]
+    for hops in range(1, depth):
+        # A child can only be found below a table that is a child itself.
+        below = [_below(refs[fk], frontier, fk, hops) for fk in keys if any(up.child == fk.parent for up in keys)]
         if not below:
             break
-        new = _union(below).join(
-            result.select("ref_table", "ref_column", "row_id"), ["ref_table", "ref_column", "row_id"], "left_anti"
-        )
-        if depth is None:
-            new = checkpointed(new)
-            if new.isEmpty():
-                break
-        frontier, result = new, result.unionByName(new)
-        if depth is None:
-            result = checkpointed(result)
-    return result
+        frontier = _union(below)
+        levels.append(frontier)
+    return _nearest(_union(levels))
+
+
+def _below(refs: DataFrame, frontier: DataFrame, fk: ForeignKey, hops: int) -> DataFrame:
+    """The rows of ``fk.child`` that refer to a record of the frontier: one step of the cascade."""
+    bad = frontier.where(F.col("ref_table") == fk.parent).select(key_of("row_id").alias("key")).distinct()
+    hit = refs.join(bad, "key", "left_semi").withColumn("reason", F.lit("parent is an orphan"))
+    return _named(hit, fk, hops)
+
+
+def _nearest(levels: DataFrame) -> DataFrame:
+    """Each record once, as it was found with the fewest hops; it is direct if that is none."""
+    best = levels.groupBy("ref_table", "ref_column", "row_id").agg(F.min(F.struct("hops", "period", "reason")).alias("v"))
+    kind = F.when(F.col("v.hops") == 0, "direct").otherwise("inherited")
+    return best.select(
+        "ref_table", "ref_column", "row_id", F.col("v.period").alias("period"), kind.alias("kind"), F.col("v.reason").alias("reason"), F.col("v.hops").alias("hops")
+    )
+
+
+def _to_fixpoint(direct: DataFrame, refs: Mapping[ForeignKey, DataFrame], keys: Sequence[ForeignKey]) -> DataFrame:
+    """The cascade over a cyclic key graph: rounds until no record is new, a checkpoint in each."""
+    names = ["ref_table", "ref_column", "row_id"]
+    frontier = found = checkpointed(direct)
+    hops = 0
+    while not frontier.isEmpty():
+        hops += 1
+        below = _union([_below(refs[fk], frontier, fk, hops) for fk in keys])
+        frontier = checkpointed(below.join(found.select(*names), names, "left_anti"))
+        found = checkpointed(found.unionByName(frontier))
+    return _nearest(found)
 
 
-def _named(df: DataFrame, fk: ForeignKey, kind: str, hops: int) -> DataFrame:
+def _named(df: DataFrame, fk: ForeignKey, hops: int) -> DataFrame:
     """One row for each record, however many rows it has: the earliest period and least reason."""
     period = F.expr(f"date_format(timestampadd(MICROSECOND, at, {_EPOCH}), 'yyyy-MM')")
     return (
@@ -188,7 +200,6 @@ def _named(df: DataFrame, fk: ForeignKey, kind: str, hops: int) -> DataFrame:
             F.lit(fk.column).alias("ref_column"),
             "row_id",
             F.col("v.period").alias("period"),
-            F.lit(kind).alias("kind"),
             F.col("v.reason").alias("reason"),
             F.lit(hops).alias("hops"),
         )

@@ -60,21 +60,21 @@ everything AS (
 """
 
 
-def _found(spark, folder, inherited):
+def _cascade(spark, folder):
     tables = {name: load(spark, folder, name) for name in ("files", "symbols", "chunks")}
-    return orphans(tables, INDEX_KEYS, load(spark, folder, "tombstones"), inherited=inherited)
+    return orphans(tables, INDEX_KEYS, load(spark, folder, "tombstones"))
 
 
 @query("p4_found", _CTES + "SELECT ref_table, ref_column, row_id FROM everything WHERE kind = 'direct'")
 def p4_found(spark, folder):
-    """Direct orphan references: one row for each referring record."""
-    return _found(spark, folder, False).select("ref_table", "ref_column", "row_id")
+    """The records at which the cascade begins: those that are orphans themselves, each once."""
+    return _cascade(spark, folder).where("kind = 'direct'").select("ref_table", "ref_column", "row_id")
 
 
 @query("p4_cascade", _CTES + "SELECT * FROM everything")
 def p4_cascade(spark, folder):
     """Direct and inherited orphans with their reason and month."""
-    return _found(spark, folder, True)
+    return _cascade(spark, folder)
 
 
 @query(
@@ -84,4 +84,4 @@ def p4_cascade(spark, folder):
 )
 def p4_report(spark, folder):
     """Counts of orphan references by referring table and month."""
-    return orphan_report(_found(spark, folder, True))
+    return orphan_report(_cascade(spark, folder))
