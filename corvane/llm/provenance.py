@@ -1,13 +1,15 @@
 """Generated, minified, vendored and data files saved as code.
 
-A multi-pattern automaton reads the notices in the comments at the head of each file; path rules
-know vendored folders, lockfiles and the suffixes of generators and minifiers; and two measures of
-the whole text, made by Spark's own string functions, find code that was squeezed and files that
-are nothing but literals. Only the heads, which most files do not have, go to Python.
+A multi-pattern automaton reads the notices in the comments at the head of each file, which a
+comment lexer delimits however long they are; path rules know vendored folders, lockfiles and the
+suffixes of generators and minifiers; and two measures of the whole text, made by Spark's own
+string functions, find code that was squeezed and files that are nothing but literals. Only texts
+that begin with a comment go to Python.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,7 +24,8 @@ from corvane.session import ship_package
 CODE = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
 
 #: Phrases of notices, in lower case. Each names what it tells; ``a & b`` needs both
-#: in one comment block.
+#: in one line. Copies of other projects are told by a grant to copy, or by a copyright that a
+#: project's contributors hold together.
 NOTICES = {
     "do not edit": "generated",
     "do not modify": "generated",
@@ -43,17 +46,22 @@ NOTICES = {
     "changes will be overwritten": "generated",
     "regenerate with": "generated",
     "source: & .proto": "generated",
-    "source: & checksum:": "generated",
     "upstream copy": "vendored",
     "vendored from": "vendored",
     "imported from upstream": "vendored",
     "copied verbatim from": "vendored",
     "permission is granted to copy": "vendored",
-    "part of the & project, release": "vendored",
-    "maintainers. & licence in the": "vendored",
-    "maintainers. & license in the": "vendored",
-    "(c) the & contributors": "vendored",
-    "copyright (c) & contributors": "vendored",
+    "permission is hereby granted": "vendored",
+    "permission to use, copy": "vendored",
+    "redistribution and use in source": "vendored",
+    "copyright & contributors": "vendored",
+    "copyright & maintainers": "vendored",
+    "copyright & developers": "vendored",
+    "copyright & authors": "vendored",
+    "(c) & contributors": "vendored",
+    "(c) & maintainers": "vendored",
+    "(c) & developers": "vendored",
+    "(c) & authors": "vendored",
 }
 
 #: Phrases that take a comment line back.
@@ -73,11 +81,15 @@ LOCKFILE_NAME = (
     r"(?i)^(package-lock\.json|npm-shrinkwrap\.json|packages\.lock\.json|yarn\.lock|pnpm-lock\.yaml|"
     r"poetry\.lock|pdm\.lock|uv\.lock|pipfile\.lock|cargo\.lock|composer\.lock|gemfile\.lock|go\.sum)$"
 )
-#: The comments and blank lines at the head of a file, of at most 40 lines.
-#: Line numbers of a listing and conflict markers before them are passed over.
-_HEAD = (
-    r"^\x{FEFF}?((?:[ \t]*(?:\d+[ \t]*\|[ \t]*)?(?:(?://|#|/\*|\*|<!--|<{7}|={7}|>{7})[^\n]*)?\r?(?:\n|$)){1,40})"
+#: What may stand at the head of a file: blanks, comments, include guards and pragmas, and also line
+#: numbers of a listing and conflict markers. The named groups hold what comments say.
+_LEAD = re.compile(
+    r"[\s\ufeff]+|(?:<{7}|={7}|>{7}|\|{7})[^\n]*|\d+[ \t]*\||\#[ \t]*(?:ifndef|define|pragma|nullable)\b[^\n]*|"
+    r"//(?P<a>[^\n]*)|\#(?P<b>[^\n]*)|/\*(?P<c>.*?)(?:\*/|\Z)|<!--(?P<d>.*?)(?:-->|\Z)",
+    re.S,
 )
+#: How a text begins that has a comment at its head.
+_BEGINS = r"\A[\s\x{FEFF}]*+(?:<{7}|\d+[ \t]*+\||//|#|/\*|<!--)"
 #: A literal with the separators after it.
 _LITERAL = r"""(?:"[^"\n]*"|'[^'\n]*'|[-+]?0[xX][0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?)[\s,;]*"""
 
@@ -95,25 +107,32 @@ def _automaton() -> ahocorasick.Automaton:
     return words
 
 
-def notice_of(head: str | None, words: ahocorasick.Automaton) -> str | None:
-    """What the comments at the head of a file tell: ``generated``, ``vendored`` or nothing."""
-    if not head:
-        return None
-    hits: set[str] = set()
-    for line in head.lower().split("\n"):
-        own = {word for _, word in words.iter(line)}
-        if not own.intersection(DENIALS):
-            hits |= own
-    for rule, kind in NOTICES.items():
-        if hits.issuperset(rule.split(" & ")):
-            return kind
-    return None
+def head_comments(text: str) -> list[str]:
+    """The lines of all comments before the first code of a text, in lower case."""
+    lines: list[str] = []
+    at = 0
+    while m := _LEAD.match(text, at):
+        at = m.end()
+        if m.lastgroup:
+            lines.extend(m[m.lastgroup].lower().split("\n"))
+    return lines
 
 
-def _notices(heads: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def notice_of(text: str | None, words: ahocorasick.Automaton) -> str | None:
+    """What the comments at the head of a file tell: ``generated``, ``vendored`` or nothing. A line
+    that takes it back tells nothing."""
+    kinds = set()
+    for line in head_comments(text or ""):
+        hits = {word for _, word in words.iter(line)}
+        if hits and not hits.intersection(DENIALS):
+            kinds |= {kind for rule, kind in NOTICES.items() if hits.issuperset(rule.split(" & "))}
+    return min(kinds, default=None)
+
+
+def _notices(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     words = _automaton()
-    for batch in heads:
-        yield batch.map(lambda h: notice_of(h, words) if h else None)
+    for batch in texts:
+        yield batch.map(lambda t: notice_of(t, words) if t else None)
 
 
 def _share_outside_literals(text: Column) -> Column:
@@ -126,11 +145,11 @@ def classify_files(raw_files: DataFrame) -> DataFrame:
     ``origin`` is ``lockfile``, ``vendored``, ``generated``, ``data``, ``minified`` or
     ``hand_written``, the first that holds in this order. Rows are kept as they are, repeated ones
     too. A null path has no language and decides nothing, a null or empty text is hand-written
-    unless its path says otherwise. Text is read whole; only its head goes to Python.
+    unless its path says otherwise. Text is read whole, and so are the comments at its head.
     """
     ship_package(raw_files.sparkSession)
     path, text = F.col("path"), F.col("text")
-    head = F.when(code_language(path).isin(*CODE), F.regexp_extract(text, _HEAD, 1))
+    commented = F.when(code_language(path).isin(*CODE) & text.rlike(_BEGINS), text)
     size = F.char_length(text)
     lines = size - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     long_lines = (size >= DATA_CHARS) & (size / lines >= LONG_LINES)
@@ -140,8 +159,8 @@ def classify_files(raw_files: DataFrame) -> DataFrame:
     is_code = F.col("language").isin(*CODE)
     data = F.when((size >= DATA_CHARS) & is_code, _share_outside_literals(text) < DATA_REST).otherwise(False)
     tagged = raw_files.select(
-        "file_id", "repo_id", "path", code_language(path).alias("language"), "text", head.alias("__head")
-    ).select("file_id", "repo_id", "path", "language", "text", F.pandas_udf(_notices, "string")(F.nullif(F.trim("__head"), F.lit(""))).alias("__notice"))
+        "file_id", "repo_id", "path", code_language(path).alias("language"), "text", F.pandas_udf(_notices, "string")(commented).alias("__notice")
+    )
     origin = (
         F.when(basename(path).rlike(LOCKFILE_NAME), "lockfile")
         .when(path.rlike(VENDORED_DIR) | path.rlike("^vendor/") | (F.col("__notice") == "vendored"), "vendored")

@@ -10,8 +10,9 @@ squared again and again; the set of boundaries reachable from the first one doub
 with each square. After log2(n) squares it holds all cuts, without walking from cut to cut.
 
 The items stay rows of a DataFrame: limits are joined by type, only items over their limit go to
-Python, in Arrow batches, and only positions come back. The text of the pieces is cut out by
-Spark. There is no shuffle.
+Python, in Arrow batches, and their pieces come back. The text of an item is read once and each
+piece holds its own part only, so the work grows with the text however many pieces it gives. The
+one shuffle takes out rows that repeat a chunk.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from corvane.session import bounded_broadcast, ship_package
 _LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
 _PIECES = (
     "array<struct<piece_no:int,start_char:int,end_char:int,overlap_chars:int,"
-    "first_line:int,last_line:int>>"
+    "first_line:int,last_line:int,content:string>>"
 )
 
 
@@ -140,12 +141,15 @@ def split_positions(
     return out
 
 
-def _positions(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for text, limit, by_lines, by_chars in batches:
+_FIELDS = ("piece_no", "start_char", "end_char", "overlap_chars", "first_line", "last_line")
+
+
+def _pieces_of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for batch in batches:
         yield pd.Series(
             [
-                [dict(zip(("piece_no", "start_char", "end_char", "overlap_chars", "first_line", "last_line"), p)) for p in split_positions(t, int(m), int(o), int(c))]
-                for t, m, o, c in zip(text, limit, by_lines, by_chars)
+                [dict(zip(_FIELDS, p)) | {"content": text[p[1] : p[2]]} for p in split_positions(text, int(limit), int(by_lines), int(by_chars))]
+                for text, limit, by_lines, by_chars in zip(*batch)
             ]
         )
 
@@ -197,15 +201,16 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
         F.char_length("content") > F.col("max_chars")
     )
     ship_package(chunks.sparkSession)
-    find = F.pandas_udf(_positions, _PIECES)
+    find = F.pandas_udf(_pieces_of, _PIECES)
     pieces = limited.select(
         F.col("id").alias("chunk_id"),
-        "content",
         "start_line",
+        F.sha2("content", 256).alias("__whole"),
         find("content", "max_chars", F.coalesce("overlap_lines", F.lit(0)), F.coalesce("overlap_chars", F.lit(0))).alias("pieces"),
-    ).select("chunk_id", "content", "start_line", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p"))
-    return pieces.select(
+    ).select("chunk_id", "start_line", "__whole", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p"))
+    unique = pieces.select(
         "chunk_id",
+        "__whole",
         F.col("p.piece_no").alias("piece_no"),
         "n_pieces",
         F.col("p.start_char").alias("start_char"),
@@ -213,5 +218,6 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
         F.col("p.overlap_chars").alias("overlap_chars"),
         (F.col("start_line") + F.col("p.first_line")).alias("start_line"),
         (F.col("start_line") + F.col("p.last_line")).alias("end_line"),
-        F.substring("content", F.col("p.start_char") + 1, F.col("p.end_char") - F.col("p.start_char")).alias("content"),
-    ).dropDuplicates(["chunk_id", "piece_no", "start_char", "end_char", "start_line"])
+        F.col("p.content").alias("content"),
+    ).dropDuplicates(["chunk_id", "__whole", "piece_no", "start_char", "end_char", "start_line"])
+    return unique.drop("__whole")

@@ -22,6 +22,12 @@ CASES = [
     ("core/vendor/x.py", CODE, "hand_written"),
     ("vendor_portal/a/x.py", CODE, "hand_written"),
     ("src/q.py", "# lib - upstream copy, rev 12\n" + CODE, "vendored"),
+    ("src/long.py", "# a line of the licence\n" * 45 + "# Code generated by a tool. DO NOT EDIT.\n" + CODE, "generated"),
+    ("src/block.cpp", "#ifndef A_H\n#define A_H\n/*\n   Written by a tool.\n" + "   More words.\n" * 60 + "   Do not edit.\n*/\nint f();\n", "generated"),
+    ("src/after.cpp", "int f();\n// Do not edit this list without the tests.\n", "hand_written"),
+    ("src/open.js", "/* do not edit", "generated"),
+    ("src/many.ts", "// Copyright (c) the Quill authors\n" + "let a = 1;\n", "vendored"),
+    ("src/team.ts", "// Copyright the Quill team. All rights reserved.\n// Ask the maintainers before a release.\nlet a = 1;\n", "hand_written"),
     ("src/d.py", "D = [\n" + "    1, 2, -3, 0x1f,\n" * 60 + "]\n", "data"),
     ("src/t.py", CODE + "T = [1, 2, 3]\n", "hand_written"),
     ("src/m.js", "!function(a){a.b=a.c||{}}(window);var e={f:1};" * 30, "minified"),

@@ -59,3 +59,14 @@ def test_operator(spark, rows):
     assert [r["start_line"] for r in got.where("chunk_id = 'other'").collect()][0] is None
     assert split_oversized(chunks, limits.where("chunk_type = 'function'")).where("chunk_id = 'other'").count() == 0
     assert split_oversized(chunks.limit(0), limits).count() == 0
+
+
+def test_versions_of_a_chunk_and_whole_text(spark):
+    schema = "id string, content string, chunk_type string, start_line int"
+    bodies = ["a = 1\n" * 40, "b = 1\n" * 40, "héé 𝄞 ü\r\n" * 60]
+    chunks = spark.createDataFrame([("x", b, "function", 1) for b in bodies] * 2, schema)
+    limits = spark.createDataFrame([("function", 100, 0, 0)], "chunk_type string, max_chars int, overlap_lines int, overlap_chars int")
+    got = split_oversized(chunks, limits).orderBy("piece_no").collect()
+    for body in bodies:
+        own = [r for r in got if r["content"] == body[r["start_char"] : r["end_char"]]]
+        assert "".join(r["content"] for r in own) == body
