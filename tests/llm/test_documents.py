@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -32,6 +34,43 @@ def test_packing_is_nearly_full():
     assert len(K.pack_sizes(sizes, 1000)) <= math.ceil(sum(sizes) / 1000) + 2
 
 
+def test_sums_of_one_two_and_three_under_availability():
+    stock = K._Stock(np.array([171, 172, 174, *range(200, 230), 400, 400]), 900)
+    assert stock.complement(517) == (174, 172, 171) and stock.complement(800) == (400, 400) and stock.complement(229) == (229,)
+    stock.take(400)
+    assert stock.pair(800) is None and stock.pair(571) == (400, 171)
+    stock.take(172)
+    assert stock.triple(517) is None and stock.complement(516) is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=12), st.integers(1, 60))
+def test_a_complement_is_found_if_there_is_one(sizes, gap):
+    got = K._Stock(np.array(sizes, dtype=np.int64), 60).complement(gap)
+    there = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(sizes, n))
+    assert (got is not None) == there
+    if got:
+        assert sum(got) == gap and not Counter(got) - Counter(sizes)
+
+
+def test_best_fit_takes_the_least_gap():
+    assert K._best_fit([6, 5, 4, 3], 10) == [[6, 4], [5, 3]]
+
+
+def test_fill_by_profile(spark, folder):
+    from corvane.llm.queries import QUERIES
+
+    for r in QUERIES["p6_fill"](spark, folder).collect():
+        assert r["n_containers"] <= math.ceil(r["n_tokens"] / r["capacity_tokens"]) + 1
+
+
+def test_containers_do_not_hang_on_partitions(spark, rows):
+    counts = spark.range(3000).selectExpr("id % 900 as doc_id", "id % 97 + 1 as n_tokens")
+    budgets = spark.createDataFrame([("a", 200)], "profile string, capacity_tokens int")
+    one = rows(K.pack(counts.coalesce(1), budgets, shard_items=500))
+    assert one == rows(K.pack(counts.repartition(7, "n_tokens"), budgets, shard_items=500)) and len(one) == 3000
+
+
 def test_pack(spark, rows):
     counts = spark.createDataFrame([(1, 25), (2, 5), (3, 0), (4, None), (5, 5), (5, 5)], "doc_id bigint, n_tokens bigint")
     budgets = spark.createDataFrame([("small", 10), ("none", 0), (None, None)], "profile string, capacity_tokens int")
