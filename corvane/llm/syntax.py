@@ -1,12 +1,13 @@
 """Source files that do not parse.
 
-Each language has a lexer: one regular expression that knows its comments and literals, also
-nested ones. What it leaves, code without texts, is read by a pushdown stack for brackets and by
-rules on neighbouring tokens. Found are unterminated literals and comments, unbalanced
-delimiters, a premature end, merge-conflict markers, characters that the language does not have,
-unrendered template fields, listings with line numbers, and text of another language. Where the
-standard library has the language's own grammar (Python, JSON, XML), a file that the lexer passes
-is read by it too.
+Each language has a lexer and a pushdown stack, and they alone decide. Python, JSON and XML are read
+by automata of their whole grammar (``syntax_python``, ``syntax_data``). In the brace languages the
+lexer knows comments and literals, also nested ones, and what a preprocessor does to brackets; what
+it leaves, code without texts, is read by a stack of brackets and by rules on neighbouring tokens.
+Found are unterminated literals and comments, unbalanced delimiters, a premature end,
+merge-conflict markers, characters that the language does not have, operators and words that miss
+an operand or a name, unrendered template fields, listings with line numbers, and text of another
+language.
 
 Per row this is a helper over one text; Spark spreads the files. The text goes to Python in Arrow
 batches once, and only the kind and line of the first error come back.
@@ -14,11 +15,7 @@ batches once, and only the kind and line of the first error come back.
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-import warnings
-import xml.parsers.expat
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
+from corvane.llm.syntax_data import json_error, xml_error
+from corvane.llm.syntax_python import python_error
 from corvane.session import ship_package
 
 #: Languages that are checked; others have no error.
@@ -43,13 +42,12 @@ _BLOCK = r"/\*(?:[^*]|\*(?!/))*\*/"
 _LINE = r"//[^\n]*"
 _DOUBLE = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SINGLE = r"'(?:[^'\\\n]|\\[\s\S])*'"
-_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}]|\{[^`{}]*\}|`[^`]*`)*\})*`"
 _REGEX = (
     r"(?:(?<=[=(,:;!&|?{}\[+\n>])|(?<=[=(,:;!&|?{}\[+\n>][ \t])|(?<=return )|(?<=return))"
     r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 )
 _LEXERS = {
-    "javascript": re.compile(rf"(?P<c>{_BLOCK}|{_LINE})|(?P<s>{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|{_REGEX})|(?P<bad>/\*|[\"'`])"),
+    "javascript": re.compile(rf"(?P<c>{_BLOCK}|{_LINE})|(?P<s>{_DOUBLE}|{_SINGLE}|{_REGEX})|(?P<bad>/\*|[\"'`])"),
     "go": re.compile(rf"(?P<c>{_BLOCK}|{_LINE})|(?P<s>{_DOUBLE}|`[^`]*`|{_SINGLE})|(?P<bad>/\*|[\"'`])"),
     "cpp": re.compile(
         rf"(?P<c>{_BLOCK}|{_LINE})|(?P<p>(?m:^)[ \t]*\#(?:[^\n\\]|\\\r?\n|\\)*)|"
@@ -63,10 +61,15 @@ _LEXERS = {
     ),
 }
 _LEXERS["typescript"] = _LEXERS["javascript"]
-_LEXERS["python"] = re.compile(
-    r"""(?P<c>\#[^\n]*)|(?P<s>(?:\"{3}(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"""
-    r"""\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'))|(?P<bad>[\"'])"""
-)
+#: Steps through a template literal, and through the code of its fields.
+_IN_TEMPLATE = re.compile(r"[^`\\$]*+(?:(?P<quote>`)|(?P<open>\$\{)|\\[\s\S]|\$)")
+_IN_FIELD = re.compile(rf"(?:[^`'\"{{}}/]|/(?![/*]))*+(?:(?P<quote>`)|(?P<open>\{{)|(?P<close>\}})|{_BLOCK}|{_LINE}|{_DOUBLE}|{_SINGLE})")
+#: Macros, and directives that choose between branches.
+_DEFINE = re.compile(r"[ \t]*\#[ \t]*define[ \t]+(\w+)(?:\([^)]*\))?(.*)\Z", re.S)
+_BRANCH = re.compile(r"[ \t]*\#[ \t]*(if(?:n?def)?|elif(?:n?def)?|else|endif)\b[ \t]*(0\b)?")
+#: What stands in the code for the beginning of a choice, of another branch, and the end of it.
+_IF, _ELSE, _ENDIF = "\ue000", "\ue001", "\ue002"
+_CHOICE = re.compile(rf"{_IF}([^{_IF}{_ENDIF}{_ELSE}]*)((?:{_ELSE}[^{_IF}{_ENDIF}{_ELSE}]*)*){_ENDIF}")
 
 # Words, as fixed values of the languages.
 _JS_BEFORE = (
@@ -169,6 +172,28 @@ _ANYWHERE, _TS_ANYWHERE = (
     {k: [(x, re.compile(r) if r else None) for x, r in v] for k, v in _ANYWHERE.items()},
     [(x, re.compile(r)) for x, r in _TS_ANYWHERE],
 )
+#: Neighbouring tokens that no grammar rule of the language brings together.
+_JS_NUMBER = r"(?>0[xX][\da-fA-F_]++n?|0[oO][0-7_]++n?|0[bB][01_]++n?|\d[\d_]*+n|(?:\d[\d_]*+\.?[\d_]*+|\.\d[\d_]*+)(?:[eE][-+]?\d[\d_]*+)?)"
+_GO_NUMBER = r"(?>0[xX][\da-fA-F_.]++(?:[pP][-+]?\d++)?i?|0[oO][0-7_]++i?|0[bB][01_]++i?|(?:\d[\d_]*+\.?[\d_]*+|\.\d[\d_]*+)(?:[eE][-+]?\d++)?i?)"
+_CS_NUMBER = r"(?>0[xX][\da-fA-F_]++(?:[uU][lL]?|[lL][uU]?)?|0[bB][01_]++(?:[uU][lL]?|[lL][uU]?)?|\d[\d_]*+(?:\.\d[\d_]*+)?(?:[eE][-+]?\d++)?(?:[uU][lL]?|[lL][uU]?|[fFdDmM])?)"
+_FLAT = r"[^()\[\]{}<>;]*?"
+_NO_OPERAND = (
+    r"(?<![=!<>\[&+\-*/%|^?])(?<!operator)=\s*[;),}]|(?<![-+*/%<.])(?<!operator)[-+%](?![-+=])\s*[;)\]]|\(\s*,(?!\s*\.\.\.)|"
+    r"(?<![A-Z0-9_])\(" + _FLAT + r",\s*,|(?<![\w$.#@])return\s*[)\],]"
+)
+_NO_CONDITION = r"|(?<![\w$.#@>])(?:if|while|switch)\s*(?:\{|\(\s*\)\s*\{)"
+_NO_NAME = r"|(?<![\w$.])(?:var|const)\s*[=;,)]|=\s*\]"
+_DEREFERENCED = r"|[-+%]\s*\*\s*\d"
+_OPEN_LIST = r"|(?<![A-Z0-9_])\(" + _FLAT + r",\s*\)"
+_NEIGHBOURS = {
+    "javascript": _NO_OPERAND + _NO_CONDITION + _NO_NAME + r"|(?<![\w$.#])" + _JS_NUMBER + r"(?=[A-Za-z_$])|"
+    r"(?<![-+])[-+%]\s*[*%](?![*=])|\bfunction[ \t]+[\w$]+\s*\{",
+    "go": _NO_OPERAND + _NO_NAME + _DEREFERENCED + r"|(?<![\w.])" + _GO_NUMBER + r"(?=[A-Za-z_])|\bfunc[ \t]+\w+\s*(?:\(\s*)?\{",
+    "cpp": _NO_OPERAND + _NO_CONDITION + _DEREFERENCED + _OPEN_LIST,
+    "c_sharp": _NO_OPERAND + _NO_CONDITION + _DEREFERENCED + _OPEN_LIST + r"|(?<![\w.])" + _CS_NUMBER + r"(?=[A-Za-z_])|=\s*\]",
+}
+_NEIGHBOURS["typescript"] = _NEIGHBOURS["javascript"]
+_NEIGHBOURS = {k: re.compile(v) for k, v in _NEIGHBOURS.items()}
 _JS_TAIL = re.compile(
     r"(?:[-+*/%=&|^<>?:,.!~(\[{]|\b(?:import|export|default|function|class|const|let|var|new|return|typeof|throw|"
     r"async|await|extends|if|else|for|while|switch|case|try|catch|in|of|from|interface|type|enum))\Z"
@@ -176,7 +201,7 @@ _JS_TAIL = re.compile(
 _GO_HEAD = re.compile(r"\A\s*package[ \t]+[^\W\d]\w*[ \t]*(?:[;\n]|\Z)")
 _GO_TAIL = re.compile(r"(?:[-+*/%=&|^<>!,.:(\[{]|\b(?:import|func|type|var|const|package|struct|return|if|for|switch|case|go|defer|range|else))\Z")
 _GO_LINE = re.compile(r"(?m)^(?!package\b|import\b|func\b|type\b|var\b|const\b|[})\s]|\Z)")
-_MAY_BEGIN = {"javascript": re.compile(r"[\"'`/]"), "go": re.compile(r"[\"'`/]"), "cpp": re.compile(r"[\"'/#]"), "c_sharp": re.compile(r"[\"'/#$@]"), "python": re.compile(r"[\"'#]")}
+_MAY_BEGIN = {"javascript": re.compile(r"[\"'`/]"), "go": re.compile(r"[\"'`/]"), "cpp": re.compile(r"[\"'/#]"), "c_sharp": re.compile(r"[\"'/#$@]")}
 _MAY_BEGIN["typescript"] = _MAY_BEGIN["javascript"]
 
 
@@ -210,28 +235,81 @@ def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def _stripped(text: str, language: str) -> tuple[str, int]:
-    """The code without texts: comments become blanks, literals ``""``; and where a literal begins
-    that does not end, or -1. Line ends are kept, so positions of lines stay."""
+def _template_end(text: str, at: int) -> int:
+    """Behind the template literal that begins at ``at``, by a stack of literals and fields; -1 if
+    it does not end."""
+    stack = ["`"]
+    at += 1
+    while stack:
+        m = (_IN_TEMPLATE if stack[-1] == "`" else _IN_FIELD).match(text, at)
+        if not m:
+            return -1
+        at = m.end()
+        if m["open"]:
+            stack.append("{")
+        elif m["quote"] and stack[-1] != "`":
+            stack.append("`")
+        elif m["quote"] or m.groupdict().get("close"):
+            stack.pop()
+    return at
+
+
+def _stripped(text: str, language: str) -> tuple[str, int, dict[str, str]]:
+    """The code without texts: comments become blanks, literals ``""``; where a literal begins that
+    does not end, or -1; and the brackets that macros leave open or close. Line ends are kept, so
+    positions of lines stay. Branches of the preprocessor are marked."""
     lexer, begins = _LEXERS[language], _MAY_BEGIN[language]
     parts, last, at = [], 0, 0
+    macros: dict[str, str] = {}
     while found := begins.search(text, at):
-        m = lexer.match(text, found.start())
-        if not m:
-            at = found.end()
-            continue
-        kind = m.lastgroup
-        a, b = m.span()
+        a = found.start()
+        if found[0] == "`" and language != "go":
+            kind, b = "s", _template_end(text, a)
+            if b < 0:
+                kind = "bad"
+        else:
+            m = lexer.match(text, a)
+            if not m:
+                at = found.end()
+                continue
+            kind, b = m.lastgroup, m.end()
         parts.append(text[last:a])
         if kind == "bad":
-            return "".join(parts), a
-        parts.append('""' if kind not in "cp" else " ")
+            return "".join(parts), a, macros
+        if kind == "p":
+            parts.append(_directive(text[a:b], macros))
+        else:
+            parts.append(" " if kind == "c" else '""')
         lines = text.count("\n", a, b)
         if lines:
             parts.append("\n" * lines)
         last = at = b
     parts.append(text[last:])
-    return "".join(parts), -1
+    return "".join(parts), -1, macros
+
+
+def _directive(line: str, macros: dict[str, str]) -> str:
+    """What stands for a preprocessor directive; macros with brackets that do not fit are noted."""
+    if m := _DEFINE.match(line):
+        net = re.sub(r"[^()\[\]{}]", "", re.sub(rf"{_DOUBLE}|{_SINGLE}", "", m[2]))
+        while net != (net := net.replace("()", "").replace("[]", "").replace("{}", "")):
+            pass
+        if net:
+            macros[m[1]] = net
+    elif m := _BRANCH.match(line):
+        return _ENDIF if m[1] == "endif" else (_IF + _ELSE if m[2] else _IF) if m[1].startswith("if") else _ELSE
+    return " "
+
+
+def _one_branch(code: str) -> str:
+    """The code with the first branch of each choice only; lines stay."""
+
+    def first(m: re.Match) -> str:
+        return m[1] + "\n" * m[2].count("\n")
+
+    while code != (code := _CHOICE.sub(first, code)):
+        pass
+    return code
 
 
 def _unbalanced(code: str) -> tuple[str, int] | None:
@@ -260,7 +338,13 @@ def _first(code: str, *rules: tuple[str, re.Pattern]) -> tuple[str, int] | None:
 
 
 def _brace_language(text: str, language: str) -> tuple[str, int] | None:
-    code, bad = _stripped(text, language)
+    code, bad, macros = _stripped(text, language)
+    bracketed = code
+    if _IF in code:
+        bracketed = _one_branch(code)
+        code = code.translate({ord(c): " " for c in (_IF, _ELSE, _ENDIF)})
+    if macros:
+        bracketed = re.sub(r"\b(?:" + "|".join(map(re.escape, macros)) + r")\b", lambda m: macros[m[0]], bracketed)
     marker = _first(code, ("merge conflict", _CONFLICT))
     if marker:
         return marker[0], _line(code, marker[1])
@@ -269,7 +353,8 @@ def _brace_language(text: str, language: str) -> tuple[str, int] | None:
     found = (
         _first(code, ("listing with line numbers", _LISTING), ("character outside of literals", _STRANGE))
         or _template_field(code)
-        or _unbalanced(code)
+        or _unbalanced(bracketed)
+        or _first(code, ("operand or name that is missing", _NEIGHBOURS[language]))
     )
     if not found:
         at = m.start() if (m := _LINES[language].search(code)) else _anywhere(code, _ANYWHERE[language])
@@ -280,7 +365,7 @@ def _brace_language(text: str, language: str) -> tuple[str, int] | None:
     if not found and (at := _side_by_side(code, language)) >= 0:
         found = "words side by side", at
     if not found:
-        end = code.rstrip()
+        end = bracketed.rstrip()
         tail = end[-80:]
         if language in ("javascript", "typescript"):
             early = bool(_JS_TAIL.search(tail))
@@ -312,90 +397,6 @@ def _template_field(code: str) -> tuple[str, int] | None:
     return None
 
 
-def _python(text: str) -> tuple[str, int] | None:
-    """Lexer and stack first, then the interpreter's own grammar as the exact check."""
-    code, bad = _stripped(text, "python")
-    found = _located(code, _first(code, ("merge conflict", _CONFLICT)))
-    if not found and bad >= 0:
-        found = "unterminated literal", _line(text, bad)
-    if not found:
-        rules = ("listing with line numbers", _LISTING), ("character outside of literals", _STRANGE)
-        found = _located(code, _first(code, *rules) or _template_field(code) or _unbalanced(code))
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.encode("utf-8", "surrogatepass"))
-    except SyntaxError as error:
-        return found or ("against the grammar", error.lineno or 1)
-    except ValueError:
-        return found or ("against the grammar", 1)
-    except (RecursionError, MemoryError):  # too deep for that parser, which tells nothing of the file
-        return found
-    return None
-
-
-def _located(code: str, found: tuple[str, int] | None) -> tuple[str, int] | None:
-    return (found[0], _line(code, found[1])) if found else None
-
-
-def _json(text: str) -> tuple[str, int] | None:
-    def no_constant(name: str) -> None:
-        raise ValueError(name)
-
-    try:
-        json.loads(text.removeprefix("﻿"), parse_constant=no_constant)
-    except json.JSONDecodeError as error:
-        return ("merge conflict" if _CONFLICT.search(text) else "against the grammar"), error.lineno
-    except RecursionError:  # nested deeper than the parser goes
-        return _json_by_stack(text.removeprefix("\ufeff"))
-    except ValueError:
-        return "against the grammar", 1
-    return None
-
-
-_JSON_TOKEN = re.compile(
-    r'[ \t\n\r]*+(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?|true|false|null))'
-)
-
-
-def _json_by_stack(text: str) -> tuple[str, int] | None:
-    """The grammar of JSON by a lexer and a pushdown stack, for any depth."""
-    text = text.rstrip(" \t\n\r")
-    stack: list[str] = []
-    at, state = 0, "value"
-    while at < len(text):
-        m = _JSON_TOKEN.match(text, at)
-        mark = m[1] if m else None
-        if m and mark is None and (state in ("value", "first value") or m[2] and state in ("key", "first key")):
-            state = "colon" if "key" in state else "after"
-        elif mark and mark in "[{" and state in ("value", "first value"):
-            stack.append(mark)
-            state = "first value" if mark == "[" else "first key"
-        elif mark == ":" and state == "colon":
-            state = "value"
-        elif mark == "," and state == "after" and stack:
-            state = "value" if stack[-1] == "[" else "key"
-        elif mark and stack and stack[-1] + mark in ("[]", "{}") and state in ("after", "first value" if mark == "]" else "first key"):
-            stack.pop()
-            state = "after"
-        else:
-            break
-        at = m.end()
-    if at == len(text) and state == "after" and not stack:
-        return None
-    return ("merge conflict" if _CONFLICT.search(text) else "against the grammar"), text.count("\n", 0, at) + 1
-
-
-def _xml(text: str) -> tuple[str, int] | None:
-    parser = xml.parsers.expat.ParserCreate()
-    text = re.sub(r"\A(﻿?<\?xml[^>]*?)\s+encoding\s*=\s*(?:\"[^\"]*\"|'[^']*')", r"\1", text)
-    try:
-        parser.Parse(text.encode("utf-8", "replace"), True)
-    except xml.parsers.expat.ExpatError as error:
-        return ("merge conflict" if _CONFLICT.search(text) else "against the grammar"), error.lineno
-    return None
-
-
 def syntax_error(text: str | None, language: str | None) -> tuple[str, int] | None:
     """The kind and line of the first error of a text, or None.
 
@@ -404,15 +405,18 @@ def syntax_error(text: str | None, language: str | None) -> tuple[str, int] | No
     """
     if text is None or language not in CHECKED:
         return None
-    if language == "json":
-        return _json(text)
-    if language == "xml":
-        return _xml(text)
-    if not text.strip("﻿ \t\r\n"):
+    text = text.removeprefix("\ufeff")
+    if language in ("json", "xml"):
+        found = (json_error if language == "json" else xml_error)(text)
+    elif not text.strip("\ufeff \t\r\n"):
         return None
-    if language == "python":
-        return _python(text)
-    return _brace_language(text.removeprefix("﻿").replace("\r\n", "\n"), language)
+    elif language == "python":
+        found = python_error(text)
+    else:
+        return _brace_language(text.replace("\r\n", "\n"), language)
+    if found and _CONFLICT.match(text.split("\n", found[1])[found[1] - 1]):
+        return "merge conflict", found[1]
+    return found
 
 
 def _errors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -1,3 +1,9 @@
+import ast
+import json
+import random
+import re
+from xml.parsers import expat
+
 import pytest
 
 from corvane.llm.docpairs import describe, documented_symbols, functions_of
@@ -49,21 +55,23 @@ def test_origins(spark):
 
 
 VALID = {
-    "python": ["x = 1\n", "", "\ufeffx = 'a'\r\n", 's = """\n<<<<<<< HEAD\n"""\n', "# {{ x }} “a”\n", 'f"{x[\'a\']}"\n'],
+    "python": ["match x:\n    case {'a': [1, *_], **rest} if (y := f(x)) else_:\n        pass\n".replace(" else_", ""), 'f"{x!r :>{w}} {d["k"]} {{}} {y=}"\n', "type X[T: int] = list[T]\n@a.b(c)\nasync def f[T](a, /, b=1, *c, d: int = 2, **e) -> T:\n    return await x if y else lambda z=1, *w: (yield)\n", "x = 1\n", "", "\ufeffx = 'a'\r\n", 's = """\n<<<<<<< HEAD\n"""\n', "# {{ x }} “a”\n", 'f"{x[\'a\']}"\n'],
     "javascript": ["const a = `x ${b ? `y` : '}'} z`;\n", "// don't {\nfoo(/[)\"]+/g);\n", "export const x = [1, 2];\n", "\n"],
-    "typescript": ["export function f(a: string[]): number {\n  return a.length as any;\n}\n", "interface A {\n  b?: number;\n}\n"],
+    "typescript": ["export function f(a: string[]): number {\n  return a.length as any;\n}\n", "interface A {\n  b?: number;\n}\n", "const s = `${f({b: {c: `${d ? `}` : e}`}})}`;\nconst a = [1, , 0x1F, 1e5, 10n];\n"],
     "go": ["package a\n\nfunc F(x string, y int) ([]int, error) {\n\ts := `{`\n\treturn nil, nil // (\n}\n", "// only a comment\npackage a\n"],
-    "cpp": ['#include <string>\nstatic const int k = 1;\nclass A {\npublic:\n    int f() const { return \'{\'; }\n};\n', 'auto s = R"(()")";\n'.replace('()")', "x)")],
+    "cpp": ['#include <string>\nstatic const int k = 1;\nclass A {\npublic:\n    int f() const { return \'{\'; }\n};\n', 'auto s = R"(()")";\n'.replace('()")', "x)"),
+        "#define BEGIN namespace a {\n#define END }\nBEGIN\nint f(int* p) { return -*p + operator=(1) + 0x1F + 10_km; }\nEND\n",
+        "void f() {\n#ifdef A\n  if (a) {\n#else\n  if (b) {\n#endif\n  }\n}\n#if 0\n}}}\n#endif\n"],
     "c_sharp": ['using System;\nnamespace A\n{\n    class B { string s = $"{x}: {"}"}"; string p = @"c:\\"; }\n}\n'],
-    "json": ['{"a": [1, null]}'],
+    "json": ['{"a": [1, null]}', '{"a": 1, "b": {"c": [1, 2.5, "x"], "d": {}}, "e": []}'],
     "xml": ['<?xml version="1.0" encoding="utf-16"?><a><b/></a>'],
 }
 INVALID = {
     "python": ["def f(:\n", "x = (1\n", "print 'a'\n", "s = 'a\n", "<<<<<<< HEAD\nx = 1\n", "   1 | x = 1\n   2 | y = 2\n", "x = “a”\n", "x = 1\0\n"],
-    "javascript": ["function f( {\n", "const a = 'x;\n", "let x: string = 'a';\n", "We moved the cache today.\n", "package a\n", "=======\n", "foo(); ]\n", "const x =\n", '{"a": 1}'],
+    "javascript": ["function f( {\n", "const a = 'x;\n", "let x: string = 'a';\n", "We moved the cache today.\n", "package a\n", "=======\n", "foo(); ]\n", "const x =\n", '{"a": 1}', "let 1a = 2;\n", "var = 3;\n", "let x = ;\n", "f(1,,2);\n", "let y = 1 +* 2;\n", "if () {\n}\n"],
     "typescript": ["export class {{ name }} {\n}\n", "using System;\nclass A {}\n", "def f():\n    pass\n"],
-    "go": ["func F() {}\n", "package a\nfunc F() {\n", "package a\nx := “a”\n", "package a\nfunc F() { )\n}\n"],
-    "cpp": ["int f() {\n", "using System;\n", "package a\n", "int x = 1\n", "import logging\n"],
+    "go": ["func F() {}\n", "package a\nfunc F() {\n", "package a\nx := “a”\n", "package a\nfunc F() { )\n}\n", "package a\nfunc F( {\n}\n)\n", "package a\nvar x = 1 + ;\n"],
+    "cpp": ["int f() {\n", "using System;\n", "package a\n", "int x = 1\n", "import logging\n", "int x = ;\n", "int y = f(1,,2);\n", "#define BEGIN namespace a {\nBEGIN\nint x;\n"],
     "c_sharp": ["class A {\n", "#include <string>\nint x;\n", "class A { string s = \"a; }\n"],
     "json": ["", "{'a': 1}", '{"a": 1,}', "// x\n{}", "NaN"],
     "xml": ["", "<a><b></a>", "text"],
@@ -80,6 +88,52 @@ def test_invalid(language):
     assert [t for t in INVALID[language] if not syntax_error(t, language)] == []
 
 
+TOKENS = re.compile(r"\w+|\s+|.", re.S)
+
+
+def mangled(texts, rng, n):
+    """Texts with a token left out, repeated or moved, or without an end."""
+    for text in texts:
+        parts = TOKENS.findall(text)
+        for _ in range(n if len(parts) > 3 else 0):
+            new, k, j = list(parts), rng.randrange(len(parts)), rng.randrange(len(parts))
+            how = rng.randrange(4)
+            if how == 0:
+                del new[k]
+            elif how == 1:
+                new.insert(k, new[j])
+            elif how == 2:
+                new[k], new[j] = new[j], new[k]
+            else:
+                del new[k:]
+            yield "".join(new)
+
+
+def parses(text, language):
+    try:
+        if language == "python":
+            ast.parse(text)
+        elif language == "json":
+            json.loads(text, parse_constant=lambda name: int("x"))
+        else:
+            expat.ParserCreate().Parse(text.encode(), True)
+    except (SyntaxError, ValueError, expat.ExpatError):
+        return False
+    return True
+
+
+@pytest.mark.filterwarnings("ignore")
+@pytest.mark.parametrize(("language", "endings"), [("python", (".py",)), ("json", (".json",)), ("xml", (".xml", ".csproj", ".props"))])
+def test_automata_agree_with_whole_parsers(folder, language, endings):
+    import pandas as pd
+
+    raw = pd.read_parquet(f"{folder}/raw_files.parquet")
+    texts = [t.removeprefix("\ufeff") for p, t in zip(raw["path"], raw["text"]) if t and p.lower().endswith(endings) and "encoding" not in t[:60]]
+    cases = texts + list(mangled(texts, random.Random(5), 20))
+    assert len(cases) > 40
+    assert [t for t in cases if bool(syntax_error(t, language)) == parses(t, language)] == []
+
+
 def test_check_syntax(spark, rows):
     df = files(spark, ("a.py", "x = (\n"), ("a.py", None), ("a.md", "x = ("), (None, "x"), ("b.json", ""), ("c.PY", "x = 1\n"))
     checked = check_syntax(df)
@@ -121,12 +175,12 @@ def test_documented_symbols(spark, rows):
 
 
 def test_json_of_any_depth():
-    from corvane.llm.syntax import _json_by_stack, syntax_error
+    from corvane.llm.syntax_data import json_error
 
     deep = "[" * 200_000 + '{"a": [1, -2.5e3, "\\u00e9", {}, [], null]}' + "]" * 200_000
     assert syntax_error(deep, "json") is None
     assert syntax_error(deep[:-1], "json") and syntax_error(deep + "]", "json") and syntax_error(deep.replace("{}", "{,}"), "json")
     for text in ('', '[1,]', '{"a":}', '{"a" 1}', '{1: 2}', '[1 2]', '[}', '01', '["\t"]', '1 2', 'nul', '{"a": 1,}', '[,1]'):
-        assert _json_by_stack(text) and syntax_error(text, "json"), text
+        assert json_error(text) and syntax_error(text, "json"), text
     for text in ('1', ' [ ] ', '{ }', '{"a": [true, {"b": "x"}]}', '"s"'):
-        assert _json_by_stack(text) is None and syntax_error(text, "json") is None, text
+        assert json_error(text) is None and syntax_error(text, "json") is None, text
