@@ -1,10 +1,11 @@
 """Functions paired with their documentation.
 
-Per file: regular expressions find the signatures, an indentation stack (lines of the signature's
-own indentation close a body, as ``}``, ``end`` or a dedent do) delimits the bodies, and comments
-are attached by their distance in lines: nothing but blank lines may lie between. What a comment
-says is then judged: empty, placeholder, reminder, pointer, directive, bare tag, ruling line,
-disabled code, licence and rewording of the name say nothing.
+Per file, a lexer first blanks out literals and comments. In what is left regular expressions find
+the signatures, and one pass with a stack of (indentation, opener) delimits the bodies: a bracket
+ends at the one that closes it, a Python block at the first line that is indented no deeper.
+Comments are attached by their distance in lines: nothing but blank lines may lie between. What a
+comment says is then judged: empty, placeholder, reminder, pointer, directive, bare tag, ruling
+line, disabled code, licence and rewording of the name say nothing.
 
 Spark spreads the files; a file's text goes to Python once and its functions come back as rows,
 which join the symbols of the index by file and line.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
+from corvane.llm.syntax import texts_of
 from corvane.session import ship_package
 from corvane.tables import key_of
 
@@ -61,20 +63,104 @@ _DOCSTRING = re.compile(
 )
 
 
-def _signature_end(text: str, at: int) -> int:
-    """Behind the parameter list that opens at ``at``; strings in it may hold brackets."""
-    depth = 0
-    for m in re.compile(r"[()\[\]{}]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\n(?=\S)").finditer(text, at):
-        c = m[0]
+#: Comments and literals of Python.
+_PYTHON_TEXTS = re.compile(
+    r"\#[^\n]*|[rRbBuUfF]{0,2}(?:\"{3}(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"
+    r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')"
+)
+_DEFINITION = re.compile(r"[ \t]*(?:async[ \t]+)?(?:def|class)[ \t]+\w+[ \t]*[(:\[]")
+_NOT_BREAK = re.compile(r"[^\n]")
+_BRACKET = re.compile(r"[()\[\]{}]")
+_STOP_AT = re.compile(r"[()\[\]{};]|=>|\n(?=[ \t]*\S)")
+
+
+def _code_only(text: str, language: str) -> str:
+    """The text with literals, comments and directives blanked out; all positions stay."""
+    if language == "python":
+        return _PYTHON_TEXTS.sub(lambda m: _NOT_BREAK.sub(" ", m[0]), text)
+    parts, last = [], 0
+    for kind, a, b in texts_of(text, language):
+        if kind != "bad":
+            parts += [text[last:a], _NOT_BREAK.sub(" ", text[a:b])]
+            last = b
+    return "".join([*parts, text[last:]])
+
+
+def _indent(line: str) -> int:
+    return len(line[: len(line) - len(line.lstrip())].expandtabs(4))
+
+
+def _closers(code: str, lines: list[str], starts: list[int]) -> dict[int, int]:
+    """Where each bracket ends that opens, by a stack of (indentation of its line, opener). A bracket
+    that closes at the head of a line ends none that was opened on a line indented deeper: those
+    are left open by mistake and end before that line."""
+    stack: list[tuple[int, int, str]] = []
+    ends: dict[int, int] = {}
+    for m in _BRACKET.finditer(code):
+        c, at = m[0], m.start()
+        row = bisect_right(starts, at) - 1
         if c in "([{":
-            depth += 1
+            stack.append((_indent(lines[row]), at, {"(": ")", "[": "]", "{": "}"}[c]))
+            continue
+        leads = not code[starts[row] : at].strip()
+        while stack and (stack[-1][2] != c and any(x == c for _, _, x in stack) or leads and stack[-1][0] > _indent(lines[row])):
+            ends[stack.pop()[1]] = starts[row] - 1 if leads else at
+        if stack and stack[-1][2] == c:
+            ends[stack.pop()[1]] = at + 1
+    return ends
+
+
+def _braced_end(code: str, close: int, ends: dict[int, int], language: str, indent: int, arrow: bool) -> int:
+    """Where the body ends of a function whose parameter list, or arrow, ends at ``close``."""
+    at = close
+    while m := _STOP_AT.search(code, at):
+        c = m[0]
+        at = m.end()
+        if c in "([":
+            at = ends.get(m.start(), at)
+        elif c == "{":
+            end = ends.get(m.start(), len(code))
+            behind = code[end : end + 200].lstrip()[:1]
+            if behind != "{" and not (behind == "," and language == "cpp"):
+                return end
+            at = end  # a type or a member was in braces
+        elif c == ";":
+            return at
         elif c in ")]}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-        elif c == "\n" and text[m.end()] not in ")#/":
-            break
-    return text.find("\n", at) if text.find("\n", at) >= 0 else len(text)
+            return m.start()
+        elif c == "=>":
+            arrow = True
+        elif arrow and language != "c_sharp" and _indent(code[at : code.find("\n", at) if code.find("\n", at) >= 0 else len(code)]) <= indent:
+            return m.start()  # an expression without braces or semicolon ends with its lines
+    return len(code)
+
+
+def _block_ends(code: list[str], lines: list[str]) -> list[int]:
+    """For each line of Python the last line of the block that it heads, by a stack of indentations
+    over logical lines: a line that is indented no deeper closes what was opened before it."""
+    last = list(range(len(lines)))
+    stack: list[tuple[int, int]] = []  # indentation, line
+    depth, head = 0, -1
+    for k, line in enumerate(code):
+        if depth > 0 and _DEFINITION.match(line):  # a bracket before it was left open by mistake
+            depth = 0
+        if depth <= 0 and line.strip():
+            indent = _indent(line)
+            while stack and stack[-1][0] >= indent:
+                above, row = stack.pop()
+                end = k - 1
+                while end > row and (not lines[end].strip() or lines[end].lstrip().startswith("#") and _indent(lines[end]) <= above):
+                    end -= 1
+                last[row] = end
+            stack.append((indent, k))
+            depth = 0
+        depth += sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}")
+    for above, row in stack:
+        end = len(lines) - 1
+        while end > row and (not lines[end].strip() or lines[end].lstrip().startswith("#") and _indent(lines[end]) <= above):
+            end -= 1
+        last[row] = end
+    return last
 
 
 def _comment_above(lines: list[str], first: int) -> list[str]:
@@ -100,8 +186,8 @@ def _comment_above(lines: list[str], first: int) -> list[str]:
 
 _MARK = re.compile(r"^\s*(?:///?!?|/\*+!?|\*+(?!/))[ \t]?|\*+/\s*$")
 _XML_TAG = re.compile(r"</?[A-Za-z][\w.]*(?:\s+[\w:]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*/?>")
-#: A tail in which Latin letters with marks and ideographs run into each other, as bad decoding leaves.
-_MOJIBAKE = re.compile(r"(?:[À-ɏ]+[぀-鿿]+|[぀-鿿]+[À-ɏ]+)[À-ɏ぀-鿿]*\s*$")
+#: Latin letters with marks and ideographs that run into each other, as bad decoding leaves them.
+_MOJIBAKE = re.compile(r"(?:[À-ɏ]+[぀-鿿]+|[぀-鿿]+[À-ɏ]+)[À-ɏ぀-鿿]*")
 _INLINE = re.compile(r"\{@(?:inheritDoc|link|code|see)\b[^}]*\}", re.I)
 
 #: How tool directives begin.
@@ -229,20 +315,25 @@ def describe(comment: list[str] | str, name: str) -> str:
     return text if rest else ""
 
 
-def functions_of(text: str, language: str, with_code: bool = True) -> list[dict]:
-    """The functions of one file with their documentation, in the order of their lines.
+def functions_of(text: str, language: str) -> list[dict]:
+    """The functions of one file with their code and documentation, in the order of their lines.
 
     ``line`` and ``end_line`` count from 1. ``description`` is empty if the documentation says
     nothing or there is none; ``doc_distance`` is the number of lines between comment and
     signature, null without comment.
     """
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    lines = text.split("\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    code = _code_only(text, language)
+    if language == "python" and ('"' in code or "'" in code):
+        code = text  # behind a literal that does not end, code cannot be told from text
+    lines, code_lines = text.split("\n"), code.split("\n")
     starts = [0]
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
+    ends = _closers(code, lines, starts)
+    blocks = _block_ends(code_lines, lines) if language == "python" else None
     out = []
-    for m in _SIGNATURES[language].finditer(text):
+    for m in _SIGNATURES[language].finditer(code):
         groups = m.groupdict()
         name = groups.get("a") or groups.get("b") or groups.get("c")
         bare = name.rsplit("::", 1)[-1]
@@ -250,8 +341,9 @@ def functions_of(text: str, language: str, with_code: bool = True) -> list[dict]
             continue
         at = m.start("i") + len(m["i"])
         first = bisect_right(starts, at) - 1
-        opened = text.find("(", m.end() - 1)
-        close = _signature_end(text, opened) if opened >= 0 else m.end()
+        arrow = m[0].endswith("=>")
+        opened = -1 if arrow else code.find("(", m.end() - 1)
+        close = ends.get(opened, m.end()) if opened >= 0 else m.end()
         distance = None
         if language == "python":
             colon = re.compile(r"[^:\n]*:").match(text, close)
@@ -259,80 +351,59 @@ def functions_of(text: str, language: str, with_code: bool = True) -> list[dict]
             comment = [] if not doc else (doc["d"] or "").split("\n")
             if doc:
                 distance = 0
+            last = blocks[first]
         else:
             comment = _comment_above(lines, first)
             if comment:
                 distance = next(k for k in range(first) if lines[first - 1 - k].strip())
-        item = {
-            "name": bare,
-            "line": first + 1,
-            "signature": " ".join(text[at:close].split()),
-            "description": describe(comment, bare) if comment else "",
-            "doc_distance": distance,
-        }
-        if with_code:
-            last = _body_end(lines, bisect_right(starts, close) - 1, len(m["i"].expandtabs(4)), language)
-            item |= {"end_line": last + 1, "code": "\n".join(lines[first : last + 1])}
-        out.append(item)
+            end = _braced_end(code, close, ends, language, _indent(lines[first]), arrow)
+            last = max(first, bisect_right(starts, max(at, end - 1)) - 1)
+        while last > first and not lines[last].strip():
+            last -= 1
+        out.append(
+            {
+                "name": bare,
+                "line": first + 1,
+                "signature": " ".join(text[at:close].split()),
+                "description": describe(comment, bare) if comment else "",
+                "doc_distance": distance,
+                "end_line": last + 1,
+                "code": "\n".join(lines[first : last + 1]),
+            }
+        )
     return out
 
 
-def _body_end(lines: list[str], after: int, indent: int, language: str) -> int:
-    """Last line of a body whose signature ends on line ``after``: deeper lines belong to it, the
-    first line of the same indentation closes it if it begins with a closing word or bracket."""
-    last = after
-    for j in range(after + 1, len(lines)):
-        line = lines[j]
-        body = line.lstrip()
-        if not body:
-            continue
-        depth = len(line[: len(line) - len(body)].expandtabs(4))
-        if depth > indent:
-            last = j
-        elif depth == indent and body[0] in "{)":
-            last = j
-        elif depth == indent and (body[0] in "}]" or (language == "ruby" and body.startswith("end"))):
-            return j
-        else:
-            break
-    return last
-
+def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, languages in batches:
+        yield pd.Series([functions_of(t, x) if t else [] for t, x in zip(texts, languages)])
 
-def _pairs(with_code: bool):
-    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, languages in batches:
-            yield pd.Series([functions_of(t, x, with_code) if t else [] for t, x in zip(texts, languages)])
 
-    return extract
-
-
-def extract_functions(raw_files: DataFrame, with_code: bool = True) -> DataFrame:
-    """``file_key, path, language, name, line, signature, description, doc_distance[, end_line,
-    code]`` for every function in the files of the six languages.
+def extract_functions(raw_files: DataFrame) -> DataFrame:
+    """``file_key, path, language, name, line, signature, description, doc_distance, end_line,
+    code`` for every function in the files of the six languages.
 
     ``file_key`` is file_id trimmed and in lower case. Null texts and other languages have no
     functions. Repeated rows of a file give repeated rows.
     """
     ship_package(raw_files.sparkSession)
-    kind = "array<struct<name:string,line:int,signature:string,description:string,doc_distance:int" + (
-        ",end_line:int,code:string>>" if with_code else ">>"
-    )
+    kind = "array<struct<name:string,line:int,signature:string,description:string,doc_distance:int,end_line:int,code:string>>"
     files = raw_files.select(
         key_of("file_id").alias("file_key"), "path", code_language(F.col("path")).alias("language"), "text"
     ).where(F.col("language").isin(*LANGUAGES))
-    found = files.select("file_key", "path", "language", F.explode(F.pandas_udf(_pairs(with_code), kind)("text", "language")).alias("f"))
+    found = files.select("file_key", "path", "language", F.explode(F.pandas_udf(_extract, kind)("text", "language")).alias("f"))
     return found.select("file_key", "path", "language", "f.*")
 
 
-def documented_symbols(symbols: DataFrame, raw_files: DataFrame, with_code: bool = True) -> DataFrame:
+def documented_symbols(symbols: DataFrame, raw_files: DataFrame) -> DataFrame:
     """Functions and methods of the index with documentation that says something.
 
     Joined by file and first line. Result: ``symbol_id, name, path, language, line, signature,
-    description[, end_line, code]``, one row for each symbol, however often symbol or file are
+    description, end_line, code``, one row for each symbol, however often symbol or file are
     repeated. symbols.summary is not read: the file decides. Symbols without a file in
     ``raw_files``, or without a function on their line, are left out, as are null ids.
     """
-    pairs = extract_functions(raw_files, with_code).where(F.col("description") != "")
+    pairs = extract_functions(raw_files).where((F.col("description") != "") & (F.col("code") != ""))
     wanted = (
         symbols.where(F.lower(F.trim("symbol_type")).isin("function", "method") & F.col("id").isNotNull())
         .select(F.col("id").alias("symbol_id"), key_of("file_id").alias("file_key"), F.col("start_line").alias("line"))

@@ -65,7 +65,7 @@ def p3_rates(spark, folder):
 @query("p5_found")
 def p5_found(spark, folder):
     """Functions and methods whose documentation says something."""
-    return documented_symbols(load(spark, folder, "symbols"), load(spark, folder, "raw_files"), with_code=False).select("symbol_id")
+    return documented_symbols(load(spark, folder, "symbols"), load(spark, folder, "raw_files")).select("symbol_id")
 
 
 @query("p5_pairs")

@@ -254,25 +254,35 @@ def _template_end(text: str, at: int) -> int:
     return at
 
 
-def _stripped(text: str, language: str) -> tuple[str, int, dict[str, str]]:
-    """The code without texts: comments become blanks, literals ``""``; where a literal begins that
-    does not end, or -1; and the brackets that macros leave open or close. Line ends are kept, so
-    positions of lines stay. Branches of the preprocessor are marked."""
+def texts_of(text: str, language: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, begin, end) of each comment (``c``), literal (``s``) and directive (``p``) of a text in a
+    brace language; the last one is ``bad`` if a literal or comment begins that does not end."""
     lexer, begins = _LEXERS[language], _MAY_BEGIN[language]
-    parts, last, at = [], 0, 0
-    macros: dict[str, str] = {}
+    at = 0
     while found := begins.search(text, at):
         a = found.start()
         if found[0] == "`" and language != "go":
-            kind, b = "s", _template_end(text, a)
-            if b < 0:
-                kind = "bad"
+            kind, at = "s", _template_end(text, a)
+            if at < 0:
+                kind, at = "bad", len(text)
         else:
             m = lexer.match(text, a)
             if not m:
                 at = found.end()
                 continue
-            kind, b = m.lastgroup, m.end()
+            kind, at = m.lastgroup, m.end()
+        yield ("s" if kind == "d" else kind), a, at
+        if kind == "bad":
+            return
+
+
+def _stripped(text: str, language: str) -> tuple[str, int, dict[str, str]]:
+    """The code without texts: comments become blanks, literals ``""``; where a literal begins that
+    does not end, or -1; and the brackets that macros leave open or close. Line ends are kept, so
+    positions of lines stay. Branches of the preprocessor are marked."""
+    parts, last = [], 0
+    macros: dict[str, str] = {}
+    for kind, a, b in texts_of(text, language):
         parts.append(text[last:a])
         if kind == "bad":
             return "".join(parts), a, macros
@@ -283,7 +293,7 @@ def _stripped(text: str, language: str) -> tuple[str, int, dict[str, str]]:
         lines = text.count("\n", a, b)
         if lines:
             parts.append("\n" * lines)
-        last = at = b
+        last = b
     parts.append(text[last:])
     return "".join(parts), -1, macros
 

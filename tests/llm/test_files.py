@@ -162,6 +162,29 @@ def test_functions():
     assert [(f["name"], f["line"], f["end_line"], f["description"]) for f in functions_of(js, "javascript")] == [("a", 3, 5, "Keeps order."), ("c", 9, 14, "Frees memory.")]
 
 
+def test_bodies():
+    def code(text, language):
+        return {f["name"]: f["code"] for f in functions_of(text, language)}
+
+    text = "function b() {\nreturn 2;\n}\nfunction c() {\n  const s = `\n}\n${d ? `{` : 1}`;\n  return s; // }\n}\nconst e = (x) => x + 1;\nconst g = (x) =>\n  x + 2\nfoo();\n"
+    assert code(text, "javascript") == {
+        "b": "function b() {\nreturn 2;\n}",
+        "c": "function c() {\n  const s = `\n}\n${d ? `{` : 1}`;\n  return s; // }\n}",
+        "e": "const e = (x) => x + 1;",
+        "g": "const g = (x) =>\n  x + 2",
+    }
+    text = "func F(a map[string]struct{}) (map[string]interface{}, error) {\nx := '{'\nreturn nil, nil\n}\nfunc G() interface{} { return 1 }\n"
+    assert code(text, "go") == {"F": text[: text.index("\nfunc G")], "G": "func G() interface{} { return 1 }"}
+    text = "A::A(int x) : a{x}, b{2} {\nrun();\n}\nint f()\n{\n  return 1;\n}\n"
+    assert code(text, "cpp") == {"A": "A::A(int x) : a{x}, b{2} {\nrun();\n}", "f": "int f()\n{\n  return 1;\n}"}
+    text = 'class A {\n  public int F(int x) => x\n    + 1;\n  public abstract void G();\n  public void H()\n  {\n    var s = @"}";\n  }\n}\n'
+    assert code(text, "c_sharp") == {"F": "  public int F(int x) => x\n    + 1;", "G": "  public abstract void G();", "H": '  public void H()\n  {\n    var s = @"}";\n  }'}
+    text = 'def f():\n    s = """\nnot the end\n"""\n    x = (\n1)\n    def g():\n        return 2\n    # inside\n\n# outside\ny = 1\n'
+    assert code(text, "python") == {"f": text[: text.index("\n\n# outside")], "g": "    def g():\n        return 2"}
+    assert code('def f(:\n  x = """\n\ndef g():\n  pass\n', "python").keys() == {"f", "g"}
+    assert code("function f() {\n  if (x) {\n}\n\nfunction g() {\n}\n", "javascript") == {"f": "function f() {\n  if (x) {\n}", "g": "function g() {\n}"}
+
+
 def test_documented_symbols(spark, rows):
     text = "// Keeps the order of rows.\nfunc F() {\n\treturn\n}\n\n// F\nfunc G() {}\n"
     raw = spark.createDataFrame([(" F1", "r", "a.go", text), (" F1", "r", "a.go", text), ("f2", "r", "b.go", None)], RAW)
