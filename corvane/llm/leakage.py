@@ -2,43 +2,48 @@
 
 Both sides become words: text is unescaped, stripped of marks and invisible characters, and read
 in lower case, so spelling, markup, quoting and line breaks do not matter. Evaluation items are
-indexed by their seeds, hashes of three neighbouring words. The index goes to all tasks; its size
-is checked, and more items than its bound are taken in blocks, each a pass over the documents. A
+indexed by their seeds, Karp-Rabin hashes of three neighbouring words. The index goes to all tasks;
+its size is bounded, and a larger benchmark is taken in blocks, each a pass over the documents. A
 document's seeds are looked up in it; for every item of which the found seeds cover as many words
 as a leak needs, the longest common runs are marked one after another without overlap (the seeds
-that lie on one diagonal are one run, as Karp-Rabin hashing finds it), and runs that follow each
-other in both texts with small gaps are chained. Words of an item that appear in another order give
-no chain. An item leaked if its best chain covers a third of its own words; the opening that several
-items share is not its own. Which openings are shared and which words are rare is counted over all
-items, not those of a block.
+that lie on one diagonal are one run), what an earlier mark leaves of a run is tried again, and
+runs that follow each other in both texts with small gaps are chained. Words of an item that appear
+in another order give no chain. An item leaked if its best chain covers a third of its own words;
+the opening that several items share is not its own. Which openings are shared and which words are
+rare is counted by Spark over all items.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import rows_at_most, ship_package
+from corvane.session import checkpointed, ship_package
 
-#: Items of one block, and words of all its items, that go to the tasks at once.
-BLOCK_ITEMS, BLOCK_WORDS = 20_000, 4_000_000
+#: Words of all items of one block, about, that go to the tasks at once.
+BLOCK_WORDS = 2_000_000
+#: Words of a seed, the shortest run that counts.
+SEED = 3
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Words that may differ, be missing or be added between two runs of a chain.
 GAP = 4
 #: Share of the words between the ends of a chain that must be in its runs.
 MATCHED = 0.6
 #: A word is rare if so many items have it at most.
 RARE_ITEMS = 2
-#: An opening counts as shared if so many items have it, of so many words at least.
-SHARED_ITEMS, SHARED_WORDS = 3, 8
+#: An opening counts as shared if so many items have it, of so many words at least; more of it does
+#: if that share of them goes on with it.
+SHARED_ITEMS, SHARED_WORDS, SHARED_SHARE = 3, 8, 0.6
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt\"'/\\])")
@@ -70,103 +75,81 @@ class SeedIndex:
     vocabulary: dict[str, int]
     items: list[int]
     words: list[np.ndarray]
-    seeds: np.ndarray  # sorted hashes of three words
+    seeds: np.ndarray  # sorted hashes of SEED words
     owner: np.ndarray  # item of each seed, by position in ``items``
     place: np.ndarray  # first word of each seed in its item
     rare: list[np.ndarray]  # for each item, which of its words at most RARE_ITEMS items have
 
 
-def own_words(texts: list[str]) -> list[list[str]]:
-    """The words of each text without an opening that several of them share."""
-    once: dict[str, str] = {}  # equal words are kept once
-    lists = [[once.setdefault(x, x) for x in words_of(t)] for t in texts]
-    groups: dict[tuple, list[list[str]]] = {}
-    for x in lists:
-        if len(x) > SHARED_WORDS:
-            groups.setdefault(tuple(x[:SHARED_WORDS]), []).append(x)
-    shared = {}
-    for opening, same in groups.items():
-        if len(same) >= SHARED_ITEMS:
-            cut = SHARED_WORDS
-            while True:  # as long as most of them go on with the same word
-                word, n = Counter(x[cut] for x in same if len(x) > cut).most_common(1)[0] if any(len(x) > cut for x in same) else (None, 0)
-                if n < SHARED_ITEMS or n <= 0.6 * len(same):
-                    break
-                cut += 1
-            shared[opening] = cut
-    return [x[shared.get(tuple(x[:SHARED_WORDS]), 0) :] for x in lists]
-
-
-def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (a.astype(np.int64) << 42) | (b.astype(np.int64) << 21) | c
-
-
-def item_counts(own: list[list[str]]) -> Counter:
-    """How many items have each word."""
-    return Counter(x for words in own for x in set(words))
-
-
-def build_index(items: list[tuple[int, str]]) -> SeedIndex:
-    """The index of these items as if there were no others."""
-    own = own_words([t for _, t in items])
-    return index_block([i for i, _ in items], own, item_counts(own))
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """The Karp-Rabin hash of every SEED neighbouring words, from running hashes of the whole text:
+    h(i+1) = h(i) * BASE + word, and a window is h(i+SEED) - h(i) * BASE^SEED, all modulo 2^64."""
+    n = max(0, len(words) - SEED + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    x = (words.astype(np.uint64) + np.uint64(1)) * _SPREAD
+    for k in range(SEED):  # the same sums, a word of all windows at a time
+        out = out * _BASE + x[k : k + n]
+    return out
 
 
-def index_block(item_ids: list[int], own_lists: list[list[str]], of: Counter) -> SeedIndex:
-    """The index of one block; ``of`` has the counts of all items."""
+def index_block(items: list[tuple[int, list[str], list[bool]]]) -> SeedIndex:
+    """The index of items given as (id, own words, which of them are rare)."""
     vocabulary: dict[str, int] = {}
     ids, words, rare, seeds, owner, place = [], [], [], [], [], []
-    for item_id, own in zip(item_ids, own_lists):
+    for item_id, own, is_rare in items:
         w = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in own], dtype=np.int64)
-        n = max(0, len(w) - 2)
-        seeds.append(_hash(w[:n], w[1 : n + 1], w[2 : n + 2]))
-        owner.append(np.full(n, len(ids)))
-        place.append(np.arange(n))
+        seeds.append(_hashes(w))
+        owner.append(np.full(len(seeds[-1]), len(ids)))
+        place.append(np.arange(len(seeds[-1])))
         ids.append(item_id)
         words.append(w)
-        rare.append(np.array([of[x] <= RARE_ITEMS for x in own], dtype=bool))
-    if len(vocabulary) >= 1 << 21:
-        raise ValueError("too many different words in one block of items")
-    flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.int64)
+        rare.append(np.array(is_rare, dtype=bool))
+    flat = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
     order = np.argsort(flat, kind="stable")
     whole = lambda x: np.concatenate(x)[order] if x else np.zeros(0, dtype=np.int64)
     return SeedIndex(vocabulary, ids, words, flat[order], whole(owner), whole(place), rare)
 
 
-def _tiles(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (document position, item position, length) of the longest runs of seeds on a
-    diagonal, marked one after another so that no word is in two of them."""
+def _tiles(at: np.ndarray, place: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (document position, item position, length) of the common runs, the longest
+    marked first. A run of which an earlier tile holds words goes back into the queue in the parts
+    that are left. No word of either side is in two tiles."""
     order = np.lexsort((at, at - place))
     a, p = at[order], place[order]
     breaks = np.flatnonzero((np.diff(a) != 1) | (np.diff(a - p) != 0)) + 1
-    runs = [(int(a[s]), int(p[s]), e - s + 2) for s, e in zip(np.append(0, breaks), np.append(breaks, len(a)))]
-    runs.sort(key=lambda r: (-r[2], r[0], r[1]))
-    taken: list[tuple[int, int, int]] = []
-    queue = runs
+    queue = [(s - e - SEED + 1, int(a[s]), int(p[s])) for s, e in zip(np.append(0, breaks).tolist(), np.append(breaks, len(a)).tolist())]
+    heapq.heapify(queue)
+    marked = np.zeros(n_words, dtype=bool)
+    marked_at = np.zeros(int(a.max() - a.min()) + SEED, dtype=bool) if len(a) else marked
+    first = int(a.min()) if len(a) else 0
+    tiles = []
     while queue:
-        d, i, n = queue.pop(0)
-        for x, y, k in taken:  # what an earlier tile covers is cut off at its ends
-            for lo, o in ((x, d), (y, i)):
-                if lo <= o < lo + k:
-                    cut = lo + k - o
-                    d, i, n = d + cut, i + cut, n - cut
-                elif o < lo < o + n:
-                    n = lo - o
-        if n >= 3:
-            taken.append((d, i, n))
-    return sorted(taken)
+        n, d, i = heapq.heappop(queue)
+        taken = marked[i : i - n] | marked_at[d - first : d - first - n]
+        if not taken.any():
+            marked[i : i - n] = marked_at[d - first : d - first - n] = True
+            tiles.append((d, i, -n))
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if hi - lo >= SEED:
+                heapq.heappush(queue, (lo - hi, d + lo, i + lo))
+    return sorted(tiles)
 
 
 def _chain(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The best chain of tiles in the same order in both texts with gaps of GAP words at most."""
-    best: list[tuple[int, int]] = []  # matched words of the best chain that ends here, tile before
+    """The chain of tiles with the most words that follow each other in both texts with gaps of GAP
+    words at most. Tiles do not overlap, so at most one ends at a word: it is looked up there."""
+    ends: dict[int, int] = {}
+    best: list[tuple[int, int]] = []  # words of the best chain that ends here, tile before
     for k, (d, i, n) in enumerate(tiles):
         own = (n, -1)
-        for j in range(k):
-            x, y, m = tiles[j]
-            if 0 <= d - (x + m) <= GAP and 0 <= i - (y + m) <= GAP and best[j][0] + n > own[0]:
+        for x in range(d - GAP, d + 1):
+            j = ends.get(x)
+            if j is not None and best[j][0] + n > own[0] and 0 <= i - tiles[j][1] - tiles[j][2] <= GAP:
                 own = (best[j][0] + n, j)
         best.append(own)
+        ends[d + n] = k
     k = max(range(len(tiles)), key=lambda t: best[t][0])
     out = []
     while k >= 0:
@@ -175,13 +158,19 @@ def _chain(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-def _candidates(owner: np.ndarray, place: np.ndarray, index: SeedIndex, share: float) -> list[int]:
-    """Items whose words within found seeds are as many as the shortest leak has; no chain has more."""
-    at = np.unique((owner << 32 | place)[:, None] + np.arange(3))
+def _candidates(found: np.ndarray, index: SeedIndex, share: float) -> list[int]:
+    """Items whose words within the found seeds, given by their places in the index, are as many as
+    the shortest leak has; no chain has more."""
+    at = np.unique((index.owner[found] << 32 | index.place[found])[:, None] + np.arange(SEED))
     items, covered = np.unique(at >> 32, return_counts=True)
     return [int(k) for k, n in zip(items, covered) if n >= MATCHED * share * len(index.words[k]) - 1e-9]
 
 
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... lo + n - 1 for each lo and n, one after another."""
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int, int, int]]:
     """(item, matched words, own words, word of the document at which it begins) of each item of
     which at least ``share`` leaked into a text.
@@ -190,60 +179,119 @@ def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int,
     items made from one pattern share long runs, but not their names.
     """
     words = words_of(text)
-    if len(words) < 3:
+    if len(words) < SEED:
         return []
     w = np.array([index.vocabulary.get(x, -1) for x in words], dtype=np.int64)
     known = w >= 0
-    start = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
-    h = _hash(w[start], w[start + 1], w[start + 2])
-    lo, hi = np.searchsorted(index.seeds, h, "left"), np.searchsorted(index.seeds, h, "right")
-    n = hi - lo
-    if not n.any():
+    whole = known[: len(w) - SEED + 1].copy()
+    for k in range(1, SEED):
+        whole &= known[k : len(w) - SEED + 1 + k]
+    start = np.flatnonzero(whole)
+    hashes = _hashes(w)[start]
+    near = np.minimum(np.searchsorted(index.seeds, hashes), max(0, len(index.seeds) - 1))
+    hit = index.seeds[near] == hashes if len(index.seeds) else np.zeros(len(start), dtype=bool)
+    if not hit.any():
         return []
-    at = np.repeat(start, n)
-    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner, place = index.owner[which], index.place[which]
-    out = []
-    for item in _candidates(owner, place, index, share):
-        of = owner == item
-        own = len(index.words[item])
-        chain = _chain(_tiles(at[of], place[of]))
-        first, last = chain[0][1], chain[-1][1] + chain[-1][2]
+    start = start[hit]
+    seeds, of = np.unique(hashes[hit], return_inverse=True)
+    lo, hi = np.searchsorted(index.seeds, seeds, "left"), np.searchsorted(index.seeds, seeds, "right")
+    # Each place of the index at most once, however often its seed stands in the document.
+    found = _spread(lo, hi - lo)
+    out, order = [], np.argsort(of, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(of))])  # of the starts of each seed, in this order
+    for item in _candidates(found, index, share):
+        own = index.words[item]
+        mine = found[index.owner[found] == item]
+        number = np.searchsorted(seeds, index.seeds[mine])
+        first, n = begins[number], begins[number + 1] - begins[number]
+        at = start[order[_spread(first, n)]]
+        place = np.repeat(index.place[mine], n)
+        same = np.ones(len(at), dtype=bool)
+        for k in range(SEED):  # equal hashes, equal words
+            same &= w[at + k] == own[place + k]
+        chain = _chain(_tiles(at[same], place[same], len(own))) if same.any() else []
+        if not chain:
+            continue
+        begin, end = chain[0][1], chain[-1][1] + chain[-1][2]
         matched = sum(k for _, _, k in chain)
         rare = index.rare[item]
-        there, hit = rare[first:last].sum(), sum(rare[i : i + k].sum() for _, i, k in chain)
-        if last - first >= share * own and matched >= MATCHED * (last - first) and hit >= 0.5 * there:
-            out.append((index.items[item], int(matched), own, int(chain[0][0])))
+        there, kept = rare[begin:end].sum(), sum(rare[i : i + k].sum() for _, i, k in chain)
+        if end - begin >= share * len(own) and matched >= MATCHED * (end - begin) and kept >= 0.5 * there:
+            out.append((index.items[item], int(matched), len(own), int(chain[0][0])))
     return out
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 1 / 3) -> DataFrame:
+def own_words(benchmark: DataFrame) -> DataFrame:
+    """``item_id, words, rare`` of each different text of the benchmark: its words behind an opening
+    that several items share, and which of them at most RARE_ITEMS items have.
+
+    Both are counted over the whole benchmark: an opening is shared up to its k-th word if
+    SHARED_ITEMS items begin with the same k words, SHARED_WORDS or more, and most of those that
+    begin alike go on like that. Null ids and texts are left out.
+    """
+    ship_package(benchmark.sparkSession)
+
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            lists = [words_of(t) for t in texts]
+            yield pd.DataFrame({"words": lists, "openings": [_openings(x) for x in lists]})
+
+    texts = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    read = F.pandas_udf(split, "struct<words:array<string>,openings:array<bigint>>")
+    items = texts.select("item_id", F.xxhash64("text").alias("version"), read("text").alias("r")).select("item_id", "version", "r.*")
+    opening = items.select("item_id", "version", F.posexplode("openings").alias("k", "opening"))
+    counted = opening.groupBy("k", "opening").agg(F.countDistinct("item_id").alias("n"))
+    first = opening.where("k = 0").join(counted.where("k = 0"), ["k", "opening"]).select("item_id", "version", F.col("n").alias("alike"))
+    cut = (
+        opening.join(counted.where(F.col("n") >= SHARED_ITEMS), ["k", "opening"])
+        .join(first, ["item_id", "version"])
+        .where((F.col("k") == 0) | (F.col("n") > SHARED_SHARE * F.col("alike")))
+        .groupBy("item_id", "version")
+        .agg((F.max("k") + SHARED_WORDS).alias("cut"))
+    )
+    own = items.join(cut, ["item_id", "version"], "left").select(
+        "item_id", "version", F.expr("slice(words, 1 + coalesce(cut, 0), greatest(0, size(words) - coalesce(cut, 0)))").alias("words")
+    )
+    word = own.select("item_id", "version", F.posexplode("words").alias("k", "word"))
+    rare = word.groupBy("word").agg(F.countDistinct("item_id").alias("n")).select("word", (F.col("n") <= RARE_ITEMS).alias("rare"))
+    kept = word.join(rare, "word").groupBy("item_id", "version").agg(F.sort_array(F.collect_list(F.struct("k", "word", "rare"))).alias("w"))
+    return kept.select("item_id", F.col("w.word").alias("words"), F.col("w.rare").alias("rare"))
+
+
+def _openings(words: list[str]) -> list[int]:
+    """Hashes of the first SHARED_WORDS words, and of one more each, while a word is left behind them."""
+    out, running = [], xxhash.xxh64()
+    for k, word in enumerate(words[:-1]):
+        running.update(word + " ")
+        if k + 1 >= SHARED_WORDS:
+            out.append(running.intdigest() - (1 << 63))
+    return out
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 1 / 3, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document with the items that leaked into it: ``doc_id, item_id, matched_words,
     own_words, at_word``.
 
     A leak is a chain of common runs that spans at least ``share`` of the item's own words, with
     no more than GAP words changed, missing or added between two runs. Copies of a document each
-    have their own rows. Null texts and ids give no rows, nor do items of less than three words.
-    An item listed more than once counts once.
+    have their own rows. Null texts and ids give no rows, nor do items of less than SEED words.
+    An item listed more than once counts once for each different text. A benchmark of more than
+    ``block_words`` words is taken in blocks, each a pass over the documents; the result does not
+    depend on them.
     """
     spark = documents.sparkSession
     ship_package(spark)
-    items = sorted(
-        {
-            (r["item_id"], r["text"])
-            for r in rows_at_most(benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL"), 50 * BLOCK_ITEMS, "the benchmark")
-        }
-    )
     schema = "doc_id bigint, item_id bigint, matched_words int, own_words int, at_word int"
+    items = own_words(benchmark)
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_blocks = -(-total // block_words)
+    if n_blocks > 1:
+        items = checkpointed(items)
     result = spark.createDataFrame([], schema)
-    own = own_words([t for _, t in items])
-    counts = item_counts(own)
-    for first in range(0, len(items), BLOCK_ITEMS):
-        block = slice(first, first + BLOCK_ITEMS)
-        index = index_block([i for i, _ in items[block]], own[block], counts)
-        if sum(map(len, index.words)) > BLOCK_WORDS:
-            raise ValueError("the items of one block have too many words; make BLOCK_ITEMS smaller")
-        shared = spark.sparkContext.broadcast(index)
+    for block in range(n_blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == block)
+        rows = sorted((r["item_id"], r["words"], r["rare"]) for r in mine.collect())
+        shared = spark.sparkContext.broadcast(index_block(rows))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -256,5 +304,5 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 1 / 3)
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_words", "own_words", "at_word"])
 
         part = documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(search, schema)
-        result = part if first == 0 else result.unionByName(part)
+        result = part if block == 0 else result.unionByName(part)
     return result

@@ -92,8 +92,14 @@ ITEMS = [
 ]
 
 
+def index_of(items):
+    """The index of items as if no word were rare, without the opening of ITEMS."""
+    own = [(k, L.words_of(t.removeprefix("Answer with the name of the file and do not guess at all."))) for k, t in items]
+    return L.index_block([(k, w, [False] * len(w)) for k, w in own])
+
+
 def found(text, share=1 / 3):
-    return [x[0] for x in L.leaks_of(text, L.build_index(ITEMS), share)]
+    return [x[0] for x in L.leaks_of(text, index_of(ITEMS), share)]
 
 
 def test_leaks_in_any_dress():
@@ -113,18 +119,60 @@ def test_no_leaks():
     assert found("") == [] and found("a b") == []
 
 
-def test_leaks_without_the_rare_words():
-    common = "the first part of the plan is kept in the same old place"
-    items = [(1, common + " qua bex dun fip gol hra jud kem lon mip nar oxt pel"), *((k, f"w{k} " * 3 + " ".join(common.split()[::-1])) for k in range(2, 6))]
-    assert L.leaks_of(common, L.build_index(items), 1 / 3) == [(1, 13, 26, 0)]
+def benchmark(spark, *texts):
+    return spark.createDataFrame([(k, t, "q") for k, t in enumerate(texts)], "item_id bigint, text string, kind string")
+
+
+def test_leaks_without_the_rare_words(spark, rows):
+    common = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    bench = benchmark(spark, *(f"{common} only{x} mark{x} end{x}" for x in "abc"))
+    docs = spark.createDataFrame([(1, " ".join(common.split()[:24]), "a", ""), (2, " ".join(common.split()[:9]), "a", "")], DOC)
+    # Each begins alike, so the opening is not its own; one alone has no such opening.
+    assert rows(L.find_leaks(docs, bench), "doc_id", "item_id") == []
+    bench = benchmark(spark, *(f"own{x} {common} end{x}" for x in "abc"))
+    assert rows(L.find_leaks(docs, bench), "doc_id", "item_id") == [(1, 0), (1, 1), (1, 2)]
 
 
-def test_rare_words_are_counted_over_all_blocks(spark, rows, monkeypatch):
-    bench = spark.createDataFrame([(k, t, "q") for k, (_, t) in enumerate(ITEMS * 2)], "item_id bigint, text string, kind string")
-    docs = spark.createDataFrame([(1, ITEMS[0][1], "a", "")], DOC)
+def test_openings_and_rare_words_are_counted_over_all_items(spark, rows):
+    bench = benchmark(spark, *(t for _, t in ITEMS * 2), "Answer with the name of the file and do not guess at last, Kel.")
+    own = {r["item_id"]: r for r in L.own_words(bench).collect()}
+    assert own[0]["words"][:3] == ["the", "job", "kel"] and own[6]["words"] == ["last", "kel"]
+    assert dict(zip(own[0]["words"], own[0]["rare"]))["rewrites"] and not dict(zip(own[0]["words"], own[0]["rare"]))["kel"]
+    docs = spark.createDataFrame([(1, ITEMS[0][1], "a", ""), (2, ITEMS[2][1], "a", "")], DOC)
     whole = rows(L.find_leaks(docs, bench))
-    monkeypatch.setattr(L, "BLOCK_ITEMS", 1)
-    assert len(whole) == 2 and rows(L.find_leaks(docs, bench)) == whole
+    assert len(whole) == 4 and rows(L.find_leaks(docs, bench, block_words=20)) == whole
+
+
+def test_tiles_push_remnants_back():
+    # Runs of 50, 20 and 18 words; the 20 overlap the 50 in the document by 15, the 18 stand alone.
+    at = np.concatenate([np.arange(100, 148), np.arange(135, 153), np.arange(200, 216)])
+    place = np.concatenate([np.arange(0, 48), np.arange(60, 78), np.arange(100, 116)])
+    assert L._tiles(at, place, 200) == [(100, 0, 50), (150, 75, 5), (200, 100, 18)]
+    # An earlier tile inside of a run leaves a part on each side.
+    at = np.concatenate([np.arange(0, 18), np.arange(0, 28)])
+    place = np.concatenate([np.arange(50, 68), np.arange(0, 28)])
+    assert L._tiles(at, place, 100) == [(0, 0, 30)]
+    at = np.concatenate([np.arange(20, 48), np.arange(4, 20), np.arange(10, 26)])
+    place = np.concatenate([np.arange(10, 38), np.arange(60, 76), np.arange(0, 16)])
+    assert sum(n for _, _, n in L._tiles(at, place, 100)) == 30 + 16
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=3, max_size=60), st.lists(st.sampled_from("abcd"), min_size=3, max_size=60))
+def test_tiles_are_common_runs_without_overlap(doc, item):
+    pairs = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
+    if pairs:
+        tiles = L._tiles(np.array([d for d, _ in pairs]), np.array([i for _, i in pairs]), len(item))
+        assert all(doc[d : d + n] == item[i : i + n] and n >= 3 for d, i, n in tiles)
+        for side in (0, 1):
+            used = [x for t in tiles for x in range(t[side], t[side] + t[2])]
+            assert len(used) == len(set(used))
+
+
+def test_seeds_are_running_hashes():
+    w = np.array([5, 9, 5, 9, 5, 1])
+    h = L._hashes(w)
+    assert len(h) == 4 and h[0] == h[2] and len(set(h.tolist())) == 3 and len(L._hashes(w[:2])) == 0
 
 
 def test_find_leaks(spark, rows):
