@@ -110,30 +110,37 @@ def index_block(items: list[tuple[int, list[str], list[bool]]]) -> SeedIndex:
     return SeedIndex(vocabulary, ids, words, flat[order], whole(owner), whole(place), rare)
 
 
-def _tiles(at: np.ndarray, place: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
+def _tiles(at: list[int], place: list[int], n_words: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (document position, item position, length) of the common runs, the longest
     marked first. A run of which an earlier tile holds words goes back into the queue in the parts
     that are left. No word of either side is in two tiles."""
-    order = np.lexsort((at, at - place))
-    a, p = at[order], place[order]
-    breaks = np.flatnonzero((np.diff(a) != 1) | (np.diff(a - p) != 0)) + 1
-    queue = [(s - e - SEED + 1, int(a[s]), int(p[s])) for s, e in zip(np.append(0, breaks).tolist(), np.append(breaks, len(a)).tolist())]
+    seeds = sorted(zip([d - i for d, i in zip(at, place)], at))
+    queue = []
+    begin = last = seeds[0]
+    for seed in [*seeds[1:], (None, 0)]:
+        if seed[0] != last[0] or seed[1] != last[1] + 1:
+            queue.append((begin[1] - last[1] - SEED, begin[1], begin[1] - begin[0]))
+            begin = seed
+        last = seed
     heapq.heapify(queue)
-    marked = np.zeros(n_words, dtype=bool)
-    marked_at = np.zeros(int(a.max() - a.min()) + SEED, dtype=bool) if len(a) else marked
-    first = int(a.min()) if len(a) else 0
+    first = min(at)
+    marked, marked_at = bytearray(n_words), bytearray(max(at) - first + SEED)
     tiles = []
     while queue:
         n, d, i = heapq.heappop(queue)
-        taken = marked[i : i - n] | marked_at[d - first : d - first - n]
-        if not taken.any():
-            marked[i : i - n] = marked_at[d - first : d - first - n] = True
-            tiles.append((d, i, -n))
+        n, x = -n, d - first
+        if 1 not in marked[i : i + n] and 1 not in marked_at[x : x + n]:
+            marked[i : i + n] = marked_at[x : x + n] = b"\1" * n
+            tiles.append((d, i, n))
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if hi - lo >= SEED:
-                heapq.heappush(queue, (lo - hi, d + lo, i + lo))
+        free = 0
+        for k in range(n + 1):
+            if k < n and not marked[i + k] and not marked_at[x + k]:
+                free += 1
+            else:
+                if free >= SEED:
+                    heapq.heappush(queue, (-free, d + k - free, i + k - free))
+                free = 0
     return sorted(tiles)
 
 
@@ -158,12 +165,23 @@ def _chain(tiles: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-def _candidates(found: np.ndarray, index: SeedIndex, share: float) -> list[int]:
-    """Items whose words within the found seeds, given by their places in the index, are as many as
-    the shortest leak has; no chain has more."""
-    at = np.unique((index.owner[found] << 32 | index.place[found])[:, None] + np.arange(SEED))
-    items, covered = np.unique(at >> 32, return_counts=True)
-    return [int(k) for k, n in zip(items, covered) if n >= MATCHED * share * len(index.words[k]) - 1e-9]
+def _candidates(found: np.ndarray, index: SeedIndex, share: float) -> list[tuple[int, np.ndarray]]:
+    """Items, each with its places among the found ones of the index, whose words within found seeds
+    are as many as the shortest leak has; no chain has more."""
+    key = index.owner[found] << 32 | index.place[found]
+    order = np.argsort(key)
+    key, found = key[order], found[order]
+    # Words that a seed adds to those of the seed before it in the same item: SEED, or fewer if they overlap.
+    adds = np.minimum(np.diff(key, prepend=key[0] - SEED), SEED)
+    begins = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+    adds[begins] = SEED
+    covered = np.add.reduceat(adds, begins)
+    out = []
+    for begin, end, n in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], covered.tolist()):
+        item = int(key[begin] >> 32)
+        if n >= MATCHED * share * len(index.words[item]) - 1e-9:
+            out.append((item, found[begin:end]))
+    return out
 
 
 def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -199,9 +217,8 @@ def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int,
     found = _spread(lo, hi - lo)
     out, order = [], np.argsort(of, kind="stable")
     begins = np.concatenate([[0], np.cumsum(np.bincount(of))])  # of the starts of each seed, in this order
-    for item in _candidates(found, index, share):
+    for item, mine in _candidates(found, index, share):
         own = index.words[item]
-        mine = found[index.owner[found] == item]
         number = np.searchsorted(seeds, index.seeds[mine])
         first, n = begins[number], begins[number + 1] - begins[number]
         at = start[order[_spread(first, n)]]
@@ -209,7 +226,7 @@ def leaks_of(text: str, index: SeedIndex, share: float) -> list[tuple[int, int,
         same = np.ones(len(at), dtype=bool)
         for k in range(SEED):  # equal hashes, equal words
             same &= w[at + k] == own[place + k]
-        chain = _chain(_tiles(at[same], place[same], len(own))) if same.any() else []
+        chain = _chain(_tiles(at[same].tolist(), place[same].tolist(), len(own))) if same.any() else []
         if not chain:
             continue
         begin, end = chain[0][1], chain[-1][1] + chain[-1][2]

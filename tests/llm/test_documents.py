@@ -147,14 +147,14 @@ def test_tiles_push_remnants_back():
     # Runs of 50, 20 and 18 words; the 20 overlap the 50 in the document by 15, the 18 stand alone.
     at = np.concatenate([np.arange(100, 148), np.arange(135, 153), np.arange(200, 216)])
     place = np.concatenate([np.arange(0, 48), np.arange(60, 78), np.arange(100, 116)])
-    assert L._tiles(at, place, 200) == [(100, 0, 50), (150, 75, 5), (200, 100, 18)]
+    assert L._tiles(at.tolist(), place.tolist(), 200) == [(100, 0, 50), (150, 75, 5), (200, 100, 18)]
     # An earlier tile inside of a run leaves a part on each side.
     at = np.concatenate([np.arange(0, 18), np.arange(0, 28)])
     place = np.concatenate([np.arange(50, 68), np.arange(0, 28)])
-    assert L._tiles(at, place, 100) == [(0, 0, 30)]
+    assert L._tiles(at.tolist(), place.tolist(), 100) == [(0, 0, 30)]
     at = np.concatenate([np.arange(20, 48), np.arange(4, 20), np.arange(10, 26)])
     place = np.concatenate([np.arange(10, 38), np.arange(60, 76), np.arange(0, 16)])
-    assert sum(n for _, _, n in L._tiles(at, place, 100)) == 30 + 16
+    assert sum(n for _, _, n in L._tiles(at.tolist(), place.tolist(), 100)) == 30 + 16
 
 
 @settings(max_examples=60, deadline=None)
@@ -162,7 +162,7 @@ def test_tiles_push_remnants_back():
 def test_tiles_are_common_runs_without_overlap(doc, item):
     pairs = [(d, i) for d in range(len(doc) - 2) for i in range(len(item) - 2) if doc[d : d + 3] == item[i : i + 3]]
     if pairs:
-        tiles = L._tiles(np.array([d for d, _ in pairs]), np.array([i for _, i in pairs]), len(item))
+        tiles = L._tiles([d for d, _ in pairs], [i for _, i in pairs], len(item))
         assert all(doc[d : d + n] == item[i : i + n] and n >= 3 for d, i, n in tiles)
         for side in (0, 1):
             used = [x for t in tiles for x in range(t[side], t[side] + t[2])]
