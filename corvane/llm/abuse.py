@@ -9,10 +9,15 @@ The model is fitted on a bounded sample of the labelled documents. Labels name d
 passages, and some are wrong, so it is fitted in rounds: the worst passage of a positive document
 stands for it, documents that contradict the last round clearly are left out of the next. In the
 passages that mention a group of people, the mention is swapped for other groups and for a neutral
-word, and differences of the score are penalised: a mention as such must not count.
+word, and differences of the score are penalised: a mention as such must not count. Groups that the
+sample names beside the known ones are found by the form of their names.
+
+Then the whole corpus adds words that the sample does not know: Spark counts, over all documents,
+in how many of the abusive ones a word stands in an abusive passage, and in how many documents at
+all. Words that are much oftener in the former get a weight by that proportion.
 
 Scoring runs in Spark over all documents, in Arrow batches, with the model sent to the tasks; its
-size is bounded by the sample.
+size is bounded by the sample and by the share of abusive documents that an added word needs.
 """
 
 from __future__ import annotations
@@ -28,27 +33,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import ship_package
+from corvane.session import checkpointed, ship_package
+
 #: Labelled documents that are used at most; of more, those with the least hash of their id.
 MAX_LABELLED = 20_000
-#: Documents without label that are used at most, by the same rule: most documents are not abusive,
-#: so they count as weak negatives, which keeps common passages from being blamed.
-MAX_UNLABELLED = 6_000
-#: Passages of negative documents that are used at most, chosen at random with a fixed seed.
-MAX_PASSAGES = 120_000
 #: Documents of the sample that a word has to occur in, and passages that a pair has to, at any size
 #: of the sample; features as rare as that are damped by ``rare_ridge``.
 LEAST = 2
 
-#: Names of groups of people, as sequences of words, that must not count as such.
-#: The invented ones are those of the test data; pass others for other corpora.
+#: Names of groups of people, as sequences of words, that must not count as such. Those
+#: that a sample has besides are found by ``group_names``.
 IDENTITIES = (
-    "ostrelians", "karrowites", "veskari", "ombrians", "tull folk", "sundari clan", "lower menders", "pell speakers",
-    "hadrim believers", "noor valley people",
     "women", "men", "girls", "boys", "jews", "muslims", "christians", "hindus", "buddhists", "atheists", "catholics",
     "gays", "lesbians", "blacks", "whites", "asians", "africans", "arabs", "americans", "germans", "frauen", "juden",
     "muslime", "mujeres", "judios", "musulmanes", "femmes", "juifs", "musulmans", "immigrants", "refugees",
 )
+#: How a group is named in running text: a name in capitals with a noun for many people
+#: behind it, or in the plural behind a word for all of them.
+_COLLECTIVE = "people|peoples|folk|clan|clans|tribe|tribes|speakers|believers|followers|worshippers|community"
+_GROUP_NAME = re.compile(
+    rf"\b([A-Z][a-z]+(?: [a-z]+)? (?:{_COLLECTIVE}))\b|"
+    r"(?<=[a-z,] )(?:(?:all|those|these|the|many|some|alle|die|todos los|los|tous les|les) )([A-Z][a-z]+(?: [A-Z][a-z]+)?(?:ians|ans|ites|ers|ish|ari|ese|ians))\b"
+)
+#: Share of the abusive documents that an added word has to be in, how much oftener than elsewhere it
+#: has to be there (as a logarithm), and the part of that which becomes its weight.
+ADDED_SHARE, ADDED_ODDS, ADDED_WEIGHT = 0.0005, 3.0, 0.3
 #: What stands for a group where no group is meant.
 NEUTRAL = "authors"
 
@@ -118,6 +127,29 @@ class Model:
             out = [_filled(x, self.words, self.stars) if n == _OTHER and "*" in x else n for x, n in zip(tokens, out)]
         return out
 
+    def unknown_words(self, text: str) -> list[str]:
+        """The words of the abusive passages of a text that the model does not know, each once."""
+        out, now = set(), []
+        for word in [*tokens_of(text), "."]:
+            if word not in _BREAKS:
+                now.append(word)
+                continue
+            new = {w for w in now if w not in self.words and "*" not in w}
+            if new and self.scores([" ".join(now)])[0] >= self.threshold:
+                out |= new
+            now = []
+        return sorted(out)
+
+    def with_words(self, weights: dict[str, float]) -> Model:
+        """The model with further words, which pairs do not know."""
+        words, stars = dict(self.words), dict(self.stars)
+        for k, word in enumerate(sorted(weights)):
+            words[word] = len(self.word_weights) + k
+            for s in _shapes(word) if len(word) > 2 else ():
+                stars.setdefault(s, words[word])
+        more = np.array([weights[w] for w in sorted(weights)])
+        return Model(words, stars, self.pairs, np.concatenate([self.word_weights, more]), self.pair_weights, self.bias, self.threshold)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The score of each text, between 0 and 1: that of its worst passage."""
         parts, sizes = [], []
@@ -203,26 +235,26 @@ def _swaps(passages: list[tuple[int, ...]], groups: list[tuple[int, ...]], neutr
     return a, b
 
 
-def fit(
-    texts: list[str],
-    toxic: list[int],
-    unlabelled: list[str] = [],  # noqa: B006
-    identities: tuple[str, ...] = IDENTITIES,
-    rounds: int = 4,
-    steps: int = 60,
-    ridge: float = 0.02,
-    rare_ridge: float = 5.0,
-    fairness: float = 1.0,
-    seed: int = 7,
-) -> Model:
-    """Fit the model on labelled documents; ``fairness`` weighs the penalty on swapped mentions.
+@dataclass
+class Sample:
+    """Labelled documents as passages over the words and pairs that are features."""
 
-    Without positive or without negative documents the model scores every text as 0.
-    """
-    rng = np.random.default_rng(seed)
-    y = np.array([*toxic, *[0] * len(unlabelled)], dtype=float)
-    labelled = np.arange(len(y)) < len(toxic)
-    tokens = [tokens_of(t or "") for t in [*texts, *unlabelled]]
+    words: dict[str, int]
+    stars: dict[str, int]
+    n_words: int
+    toxic: np.ndarray
+    docs: np.ndarray  # document of each passage
+    bags: list[tuple[int, ...]]
+    features: _Features
+
+    def empty_model(self) -> Model:
+        """The model that scores every text as 0."""
+        return Model(self.words, self.stars, np.zeros(0, dtype=np.int64), np.zeros(self.n_words), np.zeros(0), -9.0, 0.5)
+
+
+def prepare(texts: list[str], toxic: list[int], identities: tuple[str, ...] = IDENTITIES) -> Sample:
+    """Read labelled documents; every word of two documents and pair of two passages is a feature."""
+    tokens = [tokens_of(t or "") for t in texts]
     words: dict[str, int] = {}
     for w, n in sorted(Counter(w for x in tokens for w in set(x)).items()):
         if n >= LEAST and w not in _BREAKS and "*" not in w:
@@ -237,18 +269,31 @@ def fit(
                 stars.setdefault(s, n)
     n_words = len(words) + 2
     words |= dict.fromkeys(_BREAKS, _END)
-    lists = [[_filled(w, words, stars) if "*" in w else words.get(w, _OTHER) for w in x] for x in tokens]
-    if not 0 < sum(toxic) < len(toxic):
-        return Model(words, stars, np.zeros(0, dtype=np.int64), np.zeros(n_words), np.zeros(0), -9.0, 0.5)
-    docs, bags = _bags(lists)
-    if len(bags) > MAX_PASSAGES:
-        keep = (y[docs] > 0) | (rng.random(len(bags)) < MAX_PASSAGES / len(bags))
-        docs, bags = docs[keep], [b for b, k in zip(bags, keep) if k]
-    if not (labelled & (y == 0))[docs].any():  # no labelled negative has words
-        return Model(words, stars, np.zeros(0, dtype=np.int64), np.zeros(n_words), np.zeros(0), -9.0, 0.5)
-    x = _Features(bags, n_words, LEAST)
+    docs, bags = _bags([[_filled(w, words, stars) if "*" in w else words.get(w, _OTHER) for w in x] for x in tokens])
+    return Sample(words, stars, n_words, np.array(toxic, dtype=float), docs, bags, _Features(bags, n_words, LEAST))
+
+
+def fit(
+    sample: Sample,
+    identities: tuple[str, ...] = IDENTITIES,
+    rounds: int = 4,
+    steps: int = 60,
+    ridge: float = 0.02,
+    rare_ridge: float = 5.0,
+    fairness: float = 1.0,
+    seed: int = 7,
+) -> Model:
+    """Fit the model on a sample; ``fairness`` weighs the penalty on swapped mentions.
+
+    Without positive or without negative documents the model scores every text as 0.
+    """
+    rng = np.random.default_rng(seed)
+    y, docs, x, words = sample.toxic, sample.docs, sample.features, sample.words
+    n_words = sample.n_words
+    if not 0 < y.sum() < len(y) or not (y == 0)[docs].any():  # no negative document has words
+        return sample.empty_model()
     groups = [g for g in (tuple(words[w] for w in name.split()) for name in identities)]
-    before, after = _swaps(bags, groups, words[NEUTRAL], rng)
+    before, after = _swaps(sample.bags, groups, words[NEUTRAL], rng)
     left, right = _Features(before, n_words, LEAST, x.pairs), _Features(after, n_words, LEAST, x.pairs)
 
     # Weights of features that few passages have are held near zero.
@@ -261,7 +306,7 @@ def fit(
     w = np.where(here + there < 3, 0.0, w) / 4
     w[_OTHER] = 0
     bias = -2.0
-    calm = labelled & (y == 0)
+    calm = y == 0
     for r in range(rounds):
         score = x.dot(w)
         worst = np.full(len(y), -np.inf)
@@ -269,17 +314,17 @@ def fit(
         # What a positive document has to exceed to be believed: nearly all documents labelled as negative.
         bar = np.quantile(worst[calm & np.isfinite(worst)], (0.95, 0.97, 0.98, 0.985)[min(r, 3)])
         if r:  # and the score above which positive labels prevail
-            order = np.argsort(-worst[labelled], kind="stable")
-            lead = np.cumsum(np.where(y[labelled][order] > 0, 1, -1))
-            bar = max(bar, worst[labelled][order][int(np.argmax(lead))] - 1e-9)
+            order = np.argsort(-worst, kind="stable")
+            lead = np.cumsum(np.where(y[order] > 0, 1, -1))
+            bar = max(bar, worst[order][int(np.argmax(lead))] - 1e-9)
         believed = (y > 0) & (worst > bar)
         witness = pos & believed[docs] & (score >= np.minimum(worst[docs], bar + 0.7 * (worst[docs] - bar)) - 1e-9)
         use = witness | ~pos
         if not witness.any():
             break
-        trust = np.where(labelled, 1.0, 0.5)[docs]
-        if r:  # passages of labelled negatives that look abusive weigh more
-            trust *= 0.05 + np.where(labelled[docs], 1 / (1 + np.exp(-np.clip(score + bias, -30, 30))), 0.0)
+        trust = np.ones(len(docs))
+        if r:  # passages of negative documents that look abusive weigh more
+            trust *= 0.05 + 1 / (1 + np.exp(-np.clip(score + bias, -30, 30)))
         weight = np.where(witness, 0.5 / witness.sum(), np.where(use, 0.5 * trust / max(1.0, trust[use & ~witness].sum()), 0.0))
         target = witness.astype(float)
         w, bias = np.zeros(x.n), -1.0
@@ -303,7 +348,7 @@ def fit(
     worst = np.full(len(y), -np.inf)
     np.maximum.at(worst, docs, score)
     p = 1 / (1 + np.exp(-np.clip(worst + bias, -30, 30)))
-    return Model(words, stars, x.pairs, w[:n_words], w[n_words:], float(bias), _best_threshold(p[labelled], y[labelled]))
+    return Model(words, sample.stars, x.pairs, w[:n_words], w[n_words:], float(bias), _best_threshold(p, y))
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -332,26 +377,55 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX
     return documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id").select("doc_id", "text", "toxic")
 
 
-def unlabelled_sample(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_UNLABELLED) -> DataFrame:
-    """``doc_id, text`` of at most ``max_rows`` documents without label, those with the least hash
-    of their id. The ids are chosen first, so that only their texts are moved."""
-    ids = (
-        documents.select("doc_id")
-        .where("doc_id IS NOT NULL")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    )
-    return documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")
+def group_names(texts: list[str], least: int = LEAST) -> tuple[str, ...]:
+    """Names of groups of people, by their form, in lower case, that ``least`` of the texts have."""
+    found = Counter(name for t in texts for name in {(m[1] or m[2]).lower() for m in _GROUP_NAME.finditer(t or "")})
+    return tuple(sorted(name for name, n in found.items() if n >= least))
 
 
-def train(
-    documents: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, **options
-) -> Model:
-    """Fit the model on at most ``max_rows`` labelled and ``max_unlabelled`` other documents."""
+def added_words(documents: DataFrame, model: Model) -> dict[str, float]:
+    """Weights of words that the model does not know, from counts over all documents.
+
+    Tasks find the abusive passages and give their unknown words, once a document; only these, with
+    how many documents have them there, are counted on in the whole corpus. A word needs a share
+    of all abusive documents, so there are as many words at most as passages have, divided by it.
+    """
+    spark = documents.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def unknown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            scores = shared.value.scores(texts.tolist())
+            yield pd.Series([shared.value.unknown_words(t) if s >= shared.value.threshold else None for t, s in zip(texts, scores)])
+
+    read = documents.select(F.pandas_udf(unknown, "array<string>")("text").alias("words"))
+    counted = read.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_abusive"))
+    abusive = checkpointed(counted)  # "" stands for the document itself
+    n_abusive = abusive.where("word = ''").agg(F.sum("n_abusive")).first()[0] or 0
+    often = abusive.where((F.col("word") != "") & (F.col("n_abusive") >= max(LEAST, ADDED_SHARE * n_abusive)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))
+    everywhere = (
+        documents.select(F.explode(words).alias("word")).join(F.broadcast(often.select("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    )
+    n_documents = documents.count()
+    out = {}
+    for r in often.join(everywhere, "word", "left").collect():
+        k, n = r["n_abusive"], max(r["n"] or 0, r["n_abusive"])
+        odds = np.log((k + 0.5) / (n_abusive + 1)) - np.log((n - k + 0.5) / (n_documents - n_abusive + 1))
+        if odds >= ADDED_ODDS:
+            out[r["word"]] = ADDED_WEIGHT * float(odds)
+    return out
+
+
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, **options) -> Model:
+    """Fit the model on at most ``max_rows`` labelled documents, and add words of all documents."""
     rows = sorted(labelled_sample(documents, labels, max_rows).collect())
-    others = sorted(unlabelled_sample(documents, labels, max_unlabelled).collect())
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["text"] for r in others], **options)
+    texts, toxic = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    identities = (*IDENTITIES, *(n for n in group_names(texts) if n not in IDENTITIES))
+    sample = prepare(texts, toxic, identities)
+    model = fit(sample, identities, **options)
+    return model.with_words(added_words(documents, model)) if model.bias > -9 else model
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

@@ -211,7 +211,7 @@ def corpus(n, seed):
 
 
 def test_held_out_accuracy_with_wrong_labels():
-    model = A.fit(*corpus(600, 1))
+    model = A.fit(A.prepare(*corpus(600, 1)))
     texts, _ = corpus(400, 2)
     truth = np.array([any(w in t for w in ("idiot", "vermin", "moron", "hurt you")) for t in texts])
     assert ((model.scores(texts) >= model.threshold) == truth).mean() > 0.97
@@ -220,28 +220,47 @@ def test_held_out_accuracy_with_wrong_labels():
 def test_rare_insults_count_at_every_size():
     for n in (400, 2100):
         texts, toxic = corpus(n, 1)
-        model = A.fit(texts + ["you are a zorgling idiot."] * 2, toxic + [1, 1])
+        model = A.fit(A.prepare(texts + ["you are a zorgling idiot."] * 2, toxic + [1, 1]))
         known, unknown = model.scores(["zorgling", "qwertling"])
         assert "zorgling" in model.words and known > unknown, n
 
 
 def test_bar_is_set_by_labelled_documents():
-    assert A.fit(["", "you idiot", "you idiot"], [0, 1, 1], ["a calm word", "a calm word"]).scores(["you idiot"])[0] < 0.01
+    assert A.fit(A.prepare(["", "you idiot", "you idiot"], [0, 1, 1])).scores(["you idiot"])[0] < 0.01
 
 
 def test_mentions_do_not_count():
-    model = A.fit(*corpus(600, 1))
+    texts, toxic = corpus(600, 1)
+    names = ("veskari", "ombrians", "karrowites", "lower menders")
+    model = A.fit(A.prepare(texts, toxic, (*A.IDENTITIES, *names)), (*A.IDENTITIES, *names))
     same = model.scores([f"the {g} team joined the review today" for g in ("veskari", "ombrians", "authors")])
     assert same.max() < model.threshold and same.max() - same.min() < 0.1
     odd = model.scores(["all lower menders are vermin and should leave", "all veskari are vermin and should leave"])
     assert odd.min() >= model.threshold  # a group that was never named in a label
 
 
+def test_group_names_by_form():
+    texts = ["We met the Brin valley people.", "Then the Brin valley people left, and all Ostians too.", "So say those Ostians. Some Errors remain.", "The Queue speakers"]
+    assert A.group_names(texts) == ("brin valley people", "ostians")
+
+
+def test_words_that_the_corpus_adds(spark):
+    texts, toxic = corpus(300, 1)
+    docs = [(k, t, "s", "x") for k, t in enumerate(texts)] + [(1000 + k, f"you are a stupid idiot, you {w}.\nthe team met", "s", "x") for k, w in enumerate(["grumbo", "Grumbo", "the"] * 5)]
+    df = spark.createDataFrame(docs, DOC)
+    model = A.fit(A.prepare(texts, toxic))
+    added = A.added_words(df, model)
+    assert "grumbo" in added and "the" not in added and "team" not in added
+    more = model.with_words(added)
+    assert more.scores(["grumbo"])[0] > model.scores(["grumbo"])[0] and more.scores(["the team"])[0] == model.scores(["the team"])[0]
+    assert A.added_words(df.limit(0), model) == {}
+
+
 def test_scores_of_odd_input():
-    model = A.fit(*corpus(300, 1))
+    model = A.fit(A.prepare(*corpus(300, 1)))
     got = model.scores([None, "", "y0u 4r3 4 d1m 1d107", "You are a d*m id**t", "x" * 200_000, "you are a dim idiot. " * 2000])
     assert len(got) == 6 and got[0] == got[1] and min(got[2], got[3], got[5]) >= model.threshold > got[4]
-    assert A.fit(["a b"], [0]).scores(["you idiot"])[0] < 0.01
+    assert A.fit(A.prepare(["a b"], [0])).scores(["you idiot"])[0] < 0.01
 
 
 def test_train_and_score(spark, rows):
