@@ -91,7 +91,7 @@ class Index:
 
     def callers(self) -> DataFrame:
         """Certain and possible callers of every symbol."""
-        return graph.callers(self._resolved()[0])
+        return graph.callers(*self._resolved())
 
     def impact(self, *symbol_ids: str, depth: int = 2) -> DataFrame:
         """Who is affected if one of the symbols changes."""
@@ -101,7 +101,7 @@ class Index:
     def plan(self) -> DataFrame:
         """Why a change of each symbol needs care."""
         r, s = self._resolved()
-        callers = graph.callers(r)
+        callers = graph.callers(r, s)
         bodies = base.chunks(self.spark, self.folder).where("symbol_id IS NOT NULL")
         effects = bodies.groupBy("symbol_id").agg(F.max(T.hinted(F.col("content"), T.SIDE_EFFECTS)).alias("side_effects"))
         tests = s.where(T.is_test_path(F.col("path"))).select(F.col("id").alias("source_id"))

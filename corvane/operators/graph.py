@@ -1,14 +1,17 @@
 """The relationship graph: call edges, their resolution to symbols, callers, impact.
 
-Edges are names until they are resolved. Resolution is a set of keyed joins, one for each rule, of
-which for each edge the first rule with any hit counts. All joins are on (language, name) or
-narrower keys; names that very many symbols share make large results only where a caller asks for
-them, since confident resolution needs a single hit.
+Edges are names until they are resolved, within the repository and the language of the caller.
+Symbols are reduced to classes first: for each rule by which a call may name them, one row for each
+key with the number of symbols behind it. An edge looks up the classes of its rules, and the first
+that exists settles it: one symbol is the target, several make the edge ambiguous. An ambiguous
+edge stays one row with the key of its class, however many symbols bear the name; only classes below
+the collision threshold of their repository are ever expanded into pairs, since beyond it a name
+tells nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,73 +38,122 @@ def call_edges(symbols: DataFrame, bodies: DataFrame) -> DataFrame:
     receiver = F.when(F.contains(parts, F.lit(".")), F.substring_index(parts, ".", 1))
     edges = found.select(F.col("symbol_id").alias("source_id"), receiver.alias("receiver"), F.substring_index(parts, ".", -1).alias("name"), F.contains("call", F.lit("::")).alias("scoped"))
     kind = F.when(F.col("receiver").isNull(), "bare").when(F.col("receiver") == "self", "self").when(F.col("receiver") == "this", "this").when(F.col("scoped"), "qualified").otherwise("name")
-    own = symbols.select(F.col("id").alias("source_id"), F.col("name").alias("own"))
+    own = normalized(symbols).select(F.col("id").alias("source_id"), F.col("name").alias("own"))
     named = edges.where(~F.col("name").isin(*NO_CALLS)).join(own, "source_id")
     return named.where((F.col("name") != F.col("own")) | F.col("receiver").isNotNull()).select("source_id", "receiver", kind.alias("kind"), "name").distinct()
 
 
 def normalized(symbols: DataFrame) -> DataFrame:
-    """Symbols with what calls are resolved by: ``parent``, the last but one part of the name, and ``stem``."""
+    """Symbols with what calls are resolved by: ``qname`` with dots, ``name``, its last part, ``owner``,
+    what stands before it, ``parent``, the last part of that, and ``stem`` of the file."""
     q = F.replace(F.coalesce("qualified_name", "name"), F.lit("::"), F.lit("."))
-    parts = F.split(q, r"\.")
+    owner = F.nullif(F.regexp_extract(q, r"^(.*)\.[^.]*$", 1), F.lit(""))
     return symbols.select(
-        "id", "file_id", "language", "path", "name", q.alias("qname"),
-        F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("parent"),
+        "id", "repo_id", "file_id", F.coalesce("language", F.lit("")).alias("language"), "path", q.alias("qname"), F.substring_index(q, ".", -1).alias("name"),
+        owner.alias("owner"), F.substring_index(owner, ".", -1).alias("parent"),
         F.regexp_extract(F.substring_index("path", "/", -1), r"^(.*?)(?:\.[^.]*)?$", 1).alias("stem"),
     )
 
 
+#: Rules in the order in which they are tried: what they are called, how certain a single hit is, and
+#: each of several.
+RULES = (("class", 0.9, 0.9), ("scope", 0.8, 0.4), ("module", 0.8, 0.4), ("file", 0.8, 0.4), ("name", 0.6, 0.35))
+
+
+def _key(rule: str, *parts: Column | str) -> Column:
+    """The key of a class; null if a part is."""
+    return F.concat(F.lit(rule), *[F.concat(F.lit("\x01"), F.col(p) if isinstance(p, str) else p) for p in parts])
+
+
+def class_keys(symbols: DataFrame) -> DataFrame:
+    """``key, id``: the classes that each symbol is in, one for each rule."""
+    keys = F.array(
+        _key("class", "repo_id", "language", "qname"), _key("scope", "repo_id", "language", "parent", "name"), _key("module", "repo_id", "language", "stem", "name"),
+        _key("file", "repo_id", "language", "file_id", "name"), _key("name", "repo_id", "language", "name"),
+    )
+    return normalized(symbols).select("id", F.explode(keys).alias("key")).where("key IS NOT NULL")
+
+
 def resolve_calls(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``source_id, name, target_id, confidence, ambiguous, rule`` of each edge that resolves.
+    """``source_id, name, receiver, kind, rule, key, target_id, n_candidates, confidence, ambiguous``
+    of each edge that resolves, one row an edge.
 
     Rules in order: the caller's own class (self, this), a scope, a module of that stem, the
-    caller's own file, the name alone within the language. One hit is certain, several are
-    ambiguous; only the first rule with a hit counts.
+    caller's own file, the name alone. One hit is the target; of several in the caller's class the
+    least id is, by every other rule they make the edge ambiguous, and ``target_id`` is null. Names of
+    other repositories or languages are never hits.
     """
     s = normalized(symbols)
-    caller = s.select(F.col("id").alias("source_id"), F.col("language").alias("lang"), F.col("file_id").alias("own_file"), F.col("parent").alias("own_class"))
+    classes = class_keys(symbols).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    caller = s.select(F.col("id").alias("source_id"), "repo_id", F.col("language"), "file_id", F.col("owner"))
     e = edges.join(caller, "source_id")
-    t = s.select(F.col("id").alias("target_id"), F.col("language").alias("lang"), F.col("name"), "file_id", "parent", "stem")
-    rules = [
-        (1, "class", e.where(F.col("kind").isin("self", "this") & F.col("own_class").isNotNull()).withColumn("parent", F.col("own_class")), ["lang", "parent", "name"], 0.9, 0.9),
-        (2, "scope", e.where("kind = 'qualified'").withColumn("parent", F.col("receiver")), ["lang", "parent", "name"], 0.8, 0.4),
-        (3, "module", e.where("kind = 'name'").withColumn("stem", F.col("receiver")), ["lang", "stem", "name"], 0.8, 0.4),
-        (4, "file", e.where("kind = 'bare'").withColumn("file_id", F.col("own_file")), ["lang", "file_id", "name"], 0.8, 0.4),
-        (5, "name", e, ["lang", "name"], 0.6, 0.35),
-    ]
-    key = ["source_id", "name", "receiver", "kind"]
-    hits = None
-    for order, rule, left, on, one, many in rules:
-        part = left.join(t.select("target_id", *on), on).select(*key, "target_id", F.lit(order).alias("order"), F.lit(rule).alias("rule"), F.lit(one).alias("one"), F.lit(many).alias("many"))
-        hits = part if hits is None else hits.unionByName(part)
-    w = W.partitionBy(*key)
-    first = hits.withColumn("best", F.min("order").over(w)).where("order = best")
-    counted = first.withColumn("n", F.count(F.lit(1)).over(w))
-    ambiguous = (F.col("n") > 1) & (F.col("order") > 1)
-    own = counted.withColumn("least", F.min("target_id").over(w)).where((F.col("order") > 1) | (F.col("target_id") == F.col("least")))
-    return own.select("source_id", "name", "target_id", F.when(ambiguous, F.col("many")).otherwise(F.col("one")).alias("confidence"), ambiguous.alias("ambiguous"), "rule").distinct()
-
-
-def callers(resolved: DataFrame) -> DataFrame:
-    """``target_id, source_id, tier, confidence``: confident callers, and possible ones that are not confident."""
-    sure = ~F.col("ambiguous") & (F.col("confidence") >= CONFIDENT)
-    maybe = F.col("ambiguous") | (F.col("confidence") >= POSSIBLE)
-    tier = F.when(sure, "confident").when(maybe, "possible")
-    rows = resolved.where(F.col("source_id") != F.col("target_id")).withColumn("tier", tier).where("tier IS NOT NULL")
-    return rows.groupBy("target_id", "source_id").agg(F.min("tier").alias("tier"), F.max(F.struct(F.when(F.col("tier") == "confident", 1).otherwise(0).alias("c"), "confidence")).alias("m")).select(
-        "target_id", "source_id", "tier", F.col("m.confidence").alias("confidence")
+    kind = F.col("kind")
+    tried = F.array(
+        F.when(kind.isin("self", "this"), _key("class", "repo_id", "language", F.concat("owner", F.lit("."), "name"))),
+        F.when(kind == "qualified", _key("scope", "repo_id", "language", "receiver", "name")),
+        F.when(kind == "name", _key("module", "repo_id", "language", "receiver", "name")),
+        F.when(kind == "bare", _key("file", "repo_id", "language", "file_id", "name")),
+        _key("name", "repo_id", "language", "name"),
     )
+    asked = e.select("source_id", "name", "receiver", "kind", F.posexplode(tried).alias("order", "key")).where("key IS NOT NULL")
+    first = asked.join(classes, "key").groupBy("source_id", "name", "receiver", "kind").agg(F.min(F.struct("order", "key", "n", "least")).alias("h"))
+    several = (F.col("h.n") > 1) & (F.col("h.order") > 0)
+    look = lambda at: F.element_at(F.array(*[F.lit(r[at]) for r in RULES]), F.col("h.order") + 1)
+    return first.select(
+        "source_id", "name", "receiver", "kind", look(0).alias("rule"), F.col("h.key").alias("key"), F.when(~several, F.col("h.least")).alias("target_id"),
+        F.col("h.n").alias("n_candidates"), F.when(several, look(2)).otherwise(look(1)).alias("confidence"), several.alias("ambiguous"),
+    )
 
 
 def collision_threshold(symbols: DataFrame) -> DataFrame:
-    """From how many symbols of one name on a name tells nothing: the 90th percentile of the sizes of
-    shared names, at least 8, as one row; 2^30 if no name is shared."""
-    sizes = normalized(symbols).groupBy("language", "name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    by_size = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))  # few different sizes
-    total = by_size.agg(F.sum("c").alias("total"))
-    running = by_size.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("c").over(W.orderBy("n")))
+    """``repo_id, threshold``: from how many symbols of one name on a name tells nothing, the 90th
+    percentile of the sizes of shared names in a repository, at least 8; 2^30 if no name is shared."""
+    s = normalized(symbols)
+    sizes = s.groupBy("repo_id", "language", "name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    by_size = sizes.groupBy("repo_id", "n").agg(F.count(F.lit(1)).alias("c"))  # few different sizes a repository
+    w = W.partitionBy("repo_id")
+    running = by_size.withColumn("total", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("n")))
     at = F.least(F.col("total") - 1, F.floor(F.col("total") * 9 / 10))
-    return running.where(F.col("upto") > at).agg(F.when(F.min("n").isNotNull(), F.greatest(F.lit(8), F.min("n"))).otherwise(F.lit(1 << 30)).cast("bigint").alias("threshold"))
+    found = running.where(F.col("upto") > at).groupBy("repo_id").agg(F.greatest(F.lit(8), F.min("n")).alias("threshold"))
+    return s.select("repo_id").distinct().join(found, "repo_id", "left").select("repo_id", F.coalesce("threshold", F.lit(1 << 30)).cast("bigint").alias("threshold"))
+
+
+def split_ambiguous(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Ambiguous edges with ``suppressed``: whether their name is shared by as many symbols as the
+    threshold of the repository, so that it tells nothing."""
+    s = normalized(symbols)
+    shared = s.groupBy("repo_id", "language", "name").agg(F.count(F.lit(1)).alias("collisions"))
+    caller = s.select(F.col("id").alias("source_id"), "repo_id", "language")
+    many = resolved.where("ambiguous").join(caller, "source_id").join(shared, ["repo_id", "language", "name"]).join(collision_threshold(symbols), "repo_id")
+    return many.withColumn("suppressed", F.col("collisions") >= F.col("threshold"))
+
+
+def suppressed_callees(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``source_id, n_listed, n_suppressed, n_names, examples``: of the symbols that a caller may mean
+    by ambiguous calls, how many are worth listing, how many are not, the number of names of the
+    latter, and three of these, the most shared first."""
+    e = split_ambiguous(resolved, symbols)
+    # The caller itself may be among the candidates; it is not its own callee.
+    own = class_keys(symbols).select("key", F.col("id").alias("source_id"), F.lit(1).alias("own"))
+    counted = e.join(own, ["key", "source_id"], "left").withColumn("n", F.col("n_candidates") - F.coalesce("own", F.lit(0)))
+    names = counted.groupBy("source_id", "name", "suppressed").agg(F.sum("n").alias("n"), F.max("collisions").alias("collisions"))
+    gone = F.col("suppressed")
+    each = names.groupBy("source_id").agg(
+        F.coalesce(F.sum(F.when(~gone, F.col("n"))), F.lit(0)).alias("n_listed"), F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).alias("n_suppressed"),
+        F.count_if(gone).alias("n_names"), F.sort_array(F.collect_list(F.when(gone, F.struct((-F.col("collisions")).alias("c"), "name")))).alias("e"),
+    )
+    return each.select("source_id", "n_listed", "n_suppressed", "n_names", F.slice(F.transform("e", lambda x: x["name"]), 1, 3).alias("examples"))
+
+
+def callers(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``target_id, source_id, tier, confidence``: confident callers, and possible ones that are not
+    confident. Possible callers of a name at or above the collision threshold are not listed."""
+    sure = resolved.where(~F.col("ambiguous")).select("target_id", "source_id", "confidence", F.when(F.col("confidence") >= CONFIDENT, "confident").when(F.col("confidence") >= POSSIBLE, "possible").alias("tier"))
+    few = split_ambiguous(resolved, symbols).where("NOT suppressed").select("source_id", "key", "confidence")
+    maybe = few.join(class_keys(symbols).withColumnRenamed("id", "target_id"), "key").select("target_id", "source_id", "confidence", F.lit("possible").alias("tier"))
+    rows = sure.unionByName(maybe).where("source_id != target_id AND tier IS NOT NULL")
+    best = F.max(F.struct(F.when(F.col("tier") == "confident", 1).otherwise(0).alias("c"), "confidence"))
+    return rows.groupBy("target_id", "source_id").agg(F.min("tier").alias("tier"), best.alias("m")).select("target_id", "source_id", "tier", F.col("m.confidence").alias("confidence"))
 
 
 def impact(calls: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
@@ -111,7 +163,8 @@ def impact(calls: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
     hop is one join of the frontier; what was reached before is left out by an anti-join, and the
     lineage is cut from the third hop on.
     """
-    edges = calls.select(F.col("target_id").alias("callee"), F.col("source_id").alias("caller")).distinct()
+    # Read by every hop, so it is written once.
+    edges = checkpointed(calls.select(F.col("target_id").alias("callee"), F.col("source_id").alias("caller")).distinct())
     frontier = targets.select("target_id", F.col("target_id").alias("at")).distinct()
     reached = None
     for hop in range(1, max(1, depth) + 1):

@@ -1,7 +1,6 @@
 """Clean views of the index tables that the queries start from, in Spark and as SQL.
 
-A record that was written again has several rows that differ in their time only; each view keeps
-one row a record and only columns that agree.
+A record that was written again has several rows; each view keeps the one written last.
 """
 
 from __future__ import annotations
@@ -18,58 +17,63 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "raw_files").select("file_id", "repo_id", "path", "text").dropDuplicates(["file_id"])
+    """One row a file: the least of rows that differ."""
+    row = F.struct("repo_id", "path", "text")
+    return load(spark, folder, "raw_files").groupBy("file_id").agg(F.min(row).alias("r")).select("file_id", "r.*")
+
+
+_SYMBOL = ("repo_id", "file_id", "symbol_type", "name", "qualified_name", "start_line", "end_line", "signature", "signature_hash", "content_hash", "fingerprint")
+_CHUNK = (
+    "repo_id", "file_id", "path", "language", "symbol_id", "chunk_type", "start_line", "end_line", "content", "ref", "tags", "qualified_name", "summary",
+    "is_complete_unit", "unit_kind", "parent_ref",
+)
+
+
+def _last_written(table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    at = F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp_ntz"))
+    return table.groupBy("id").agg(F.max_by(F.struct(*columns), at).alias("r")).select("id", "r.*")
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
-    s = load(spark, folder, "symbols")
-    return s.select(
-        "id", "repo_id", key_of("file_id").alias("file_id"), F.lower(F.trim("symbol_type")).alias("symbol_type"), "name",
-        "start_line", "end_line",
-    ).groupBy("id").agg(*[F.min(c).alias(c) for c in ("repo_id", "file_id", "symbol_type", "name", "start_line", "end_line")])
+    s = load(spark, folder, "symbols").withColumn("file_id", key_of("file_id")).withColumn("symbol_type", F.lower(F.trim("symbol_type")))
+    return _last_written(s, _SYMBOL)
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    c = load(spark, folder, "chunks")
-    kind = F.lower(F.trim("chunk_type"))
-    return c.select(
-        "id", "repo_id", "path", "language", key_of("symbol_id").alias("symbol_id"), kind.alias("chunk_type"), "start_line", "content", "ref", "tags",
-        "qualified_name", "summary",
-    ).groupBy("id").agg(*[F.min(x).alias(x) for x in ("repo_id", "path", "language", "symbol_id", "chunk_type", "start_line", "content", "ref", "tags", "qualified_name", "summary")])
+    c = load(spark, folder, "chunks").withColumn("file_id", key_of("file_id")).withColumn("symbol_id", key_of("symbol_id")).withColumn("chunk_type", F.lower(F.trim("chunk_type")))
+    return _last_written(c, _CHUNK)
 
 
 _K = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
 
+_AT = "coalesce(indexed_at, TIMESTAMP '1970-01-01')"
+
+
+def _fields(columns: tuple[str, ...]) -> str:
+    form = {"file_id": _K.format(c="file_id"), "symbol_id": _K.format(c="symbol_id"), "symbol_type": "lower(trim(symbol_type))", "chunk_type": "lower(trim(chunk_type))"}
+    return ", ".join(f"{c} := {form.get(c, c)}" for c in columns)
+
+
 #: The same views as SQL, to stand behind WITH.
 SQL = f"""
 f AS (SELECT DISTINCT id, repo_id, path FROM files),
-r AS (SELECT file_id, min(repo_id) AS repo_id, min(path) AS path, min(text) AS text FROM raw_files GROUP BY 1),
-s AS (SELECT id, min(repo_id) AS repo_id, min({_K.format(c='file_id')}) AS file_id, min(lower(trim(symbol_type))) AS symbol_type,
-             min(name) AS name, min(start_line) AS start_line, min(end_line) AS end_line FROM symbols GROUP BY 1),
-c AS (SELECT id, min(repo_id) AS repo_id, min(path) AS path, min(language) AS language, min({_K.format(c='symbol_id')}) AS symbol_id,
-             min(lower(trim(chunk_type))) AS chunk_type, min(start_line) AS start_line, min(content) AS content, min(ref) AS ref,
-             min(tags) AS tags, min(qualified_name) AS qualified_name, min(summary) AS summary FROM chunks GROUP BY 1)
+r AS (SELECT file_id, unnest(min(struct_pack(repo_id := repo_id, path := path, text := text))) FROM raw_files GROUP BY 1),
+s AS (SELECT id, unnest(arg_max(struct_pack({_fields(_SYMBOL)}), {_AT})) FROM symbols GROUP BY 1),
+c AS (SELECT id, unnest(arg_max(struct_pack({_fields(_CHUNK)}), {_AT})) FROM chunks GROUP BY 1)
 """
 
 
 def graph_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Symbols with the path and language of their file, those of known files only."""
-    s = load(spark, folder, "symbols")
-    wanted = ("name", "qualified_name", "symbol_type", "start_line", "end_line", "signature_hash", "fingerprint")
-    one = s.withColumn("symbol_type", F.lower(F.trim("symbol_type"))).withColumn("file_id", key_of("file_id")).groupBy("id").agg(
-        *[F.min(x).alias(x) for x in ("file_id", *wanted)]
-    )
     paths = files(spark, folder).select(key_of("id").alias("file_id"), "path", code_language(F.col("path")).alias("language"))
-    return one.join(paths, "file_id").select("id", "file_id", "path", "language", *wanted)
+    return symbols(spark, folder).join(paths, "file_id")
 
 
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
 #: graph_symbols as SQL, after SQL.
 GRAPH_SQL = f"""
-gs AS (SELECT o.*, p.path, p.language FROM (
-  SELECT id, min({_K.format(c='file_id')}) AS file_id, min(name) AS name, min(qualified_name) AS qualified_name, min(lower(trim(symbol_type))) AS symbol_type,
-    min(start_line) AS start_line, min(end_line) AS end_line, min(signature_hash) AS signature_hash, min(fingerprint) AS fingerprint FROM symbols GROUP BY 1) o
+gs AS (SELECT s.*, p.path, p.language FROM s
   JOIN (SELECT {_K.format(c='id')} AS file_id, path, CASE WHEN {_EXT} IN ('py', 'pyi') THEN 'python' WHEN {_EXT} IN ('js', 'mjs') THEN 'javascript' WHEN {_EXT} = 'ts' THEN 'typescript'
     WHEN {_EXT} IN ('cpp', 'cc', 'hpp', 'h') THEN 'cpp' WHEN {_EXT} = 'cs' THEN 'c_sharp' WHEN {_EXT} = 'go' THEN 'go' WHEN {_EXT} = 'json' THEN 'json'
-    WHEN {_EXT} IN ('xml', 'csproj', 'props') THEN 'xml' WHEN {_EXT} = 'md' THEN 'markdown' END AS language FROM f) p ON p.file_id = o.file_id)
+    WHEN {_EXT} IN ('xml', 'csproj', 'props') THEN 'xml' WHEN {_EXT} = 'md' THEN 'markdown' END AS language FROM f) p ON p.file_id = s.file_id)
 """

@@ -47,7 +47,7 @@ _EFFECTS = f"ef AS (SELECT symbol_id, max({_hints('content', T.SIDE_EFFECTS)}) A
 def edit_risks(spark, folder):
     """Why a change of a symbol needs care."""
     r, s = _resolved(spark, folder)
-    callers = G.callers(r)
+    callers = G.callers(r, s)
     bodies = base.chunks(spark, folder).where(F.col("chunk_type").isin("function", "method") & F.col("symbol_id").isNotNull())
     effects = bodies.groupBy("symbol_id").agg(F.max(T.hinted(F.col("content"), T.SIDE_EFFECTS)).alias("side_effects"))
     tests = s.where(F.lower("path").rlike("^tests?/|/tests?/")).select(F.col("id").alias("source_id"))
@@ -67,7 +67,7 @@ def brief_tiers(spark, folder):
 def logic_map(spark, folder):
     """Calls between the symbols that a query found."""
     hits = R.symbol_channel(base.symbols(spark, folder), _queries(spark, folder), k=200).withColumnRenamed("id", "symbol_id")
-    return K.logic_map(hits, _resolved(spark, folder)[0])
+    return K.logic_map(hits, _resolved(spark, folder)[0].where("target_id IS NOT NULL"))
 
 
 @query(

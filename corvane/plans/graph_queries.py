@@ -17,25 +17,34 @@ from corvane.tables import key_of, load
 _NO = ", ".join(f"'{w}'" for w in G.NO_CALLS)
 _CALLS = f"""
 bo AS (SELECT symbol_id, content FROM c WHERE chunk_type IN ('function', 'method') AND symbol_id IS NOT NULL),
+ns AS (SELECT *, split_part(qname, '.', -1) AS nm, nullif(regexp_extract(qname, '^(.*)\\.[^.]*$', 1), '') AS owner, split_part(nullif(regexp_extract(qname, '^(.*)\\.[^.]*$', 1), ''), '.', -1) AS parent,
+    regexp_extract(regexp_extract(path, '[^/]*$'), '^(.*?)(?:\\.[^.]*)?$', 1) AS stem
+  FROM (SELECT id, repo_id, file_id, coalesce(language, '') AS language, path, replace(coalesce(qualified_name, name), '::', '.') AS qname FROM gs)),
 ce AS (SELECT DISTINCT source_id, receiver, CASE WHEN receiver IS NULL THEN 'bare' WHEN receiver = 'self' THEN 'self' WHEN receiver = 'this' THEN 'this' WHEN scoped THEN 'qualified' ELSE 'name' END AS kind, e.name
   FROM (SELECT symbol_id AS source_id, CASE WHEN contains(parts, '.') THEN split_part(parts, '.', 1) END AS receiver, regexp_extract(parts, '[^.]*$') AS name, contains(call, '::') AS scoped
     FROM (SELECT symbol_id, call, regexp_replace(call, '::|->', '.', 'g') AS parts FROM (SELECT symbol_id, unnest(regexp_extract_all(content, '((?:[A-Za-z_]\\w*(?:\\.|::|->))?[A-Za-z_]\\w*)\\(', 1)) AS call FROM bo))) e
-  JOIN (SELECT id, name AS own FROM gs) o ON o.id = e.source_id WHERE e.name NOT IN ({_NO}) AND (e.name <> own OR receiver IS NOT NULL)),
-ns AS (SELECT id, file_id, language, path, name, CASE WHEN len(p) > 1 THEN p[-2] END AS parent, regexp_extract(regexp_extract(path, '[^/]*$'), '^(.*?)(?:\\.[^.]*)?$', 1) AS stem
-  FROM (SELECT *, string_split(replace(coalesce(qualified_name, name), '::', '.'), '.') AS p FROM gs)),
-ee AS (SELECT ce.*, n.language AS lang, n.file_id AS own_file, n.parent AS own_class FROM ce JOIN ns n ON n.id = ce.source_id),
+  JOIN (SELECT id, nm AS own FROM ns) o ON o.id = e.source_id WHERE e.name NOT IN ({_NO}) AND (e.name <> own OR receiver IS NOT NULL)),
+ee AS (SELECT ce.*, n.repo_id, n.language, n.file_id, n.owner || '.' || ce.name AS inside FROM ce JOIN ns n ON n.id = ce.source_id),
 hi AS (
-  SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id AS target_id, 1 AS ord, 'class' AS rule, 0.9 AS one, 0.9 AS many FROM ee JOIN ns t ON t.language = ee.lang AND t.parent = ee.own_class AND t.name = ee.name WHERE ee.kind IN ('self', 'this')
-  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 2, 'scope', 0.8, 0.4 FROM ee JOIN ns t ON t.language = ee.lang AND t.parent = ee.receiver AND t.name = ee.name WHERE ee.kind = 'qualified'
-  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 3, 'module', 0.8, 0.4 FROM ee JOIN ns t ON t.language = ee.lang AND t.stem = ee.receiver AND t.name = ee.name WHERE ee.kind = 'name'
-  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 4, 'file', 0.8, 0.4 FROM ee JOIN ns t ON t.language = ee.lang AND t.file_id = ee.own_file AND t.name = ee.name WHERE ee.kind = 'bare'
-  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 5, 'name', 0.6, 0.35 FROM ee JOIN ns t ON t.language = ee.lang AND t.name = ee.name),
-rc AS (SELECT DISTINCT source_id, name, target_id, CASE WHEN amb THEN many ELSE one END::DOUBLE AS confidence, amb AS ambiguous, rule FROM (
-  SELECT *, n > 1 AND ord > 1 AS amb, min(target_id) OVER (PARTITION BY source_id, name, receiver, kind) AS least FROM (
-    SELECT *, count(*) OVER (PARTITION BY source_id, name, receiver, kind) AS n FROM (
-      SELECT *, min(ord) OVER (PARTITION BY source_id, name, receiver, kind) AS best FROM hi) WHERE ord = best)) WHERE ord > 1 OR target_id = least),
+  SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 1 AS ord FROM ee JOIN ns t ON t.repo_id = ee.repo_id AND t.language = ee.language AND t.qname = ee.inside WHERE ee.kind IN ('self', 'this')
+  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 2 FROM ee JOIN ns t ON t.repo_id = ee.repo_id AND t.language = ee.language AND t.parent = ee.receiver AND t.nm = ee.name WHERE ee.kind = 'qualified'
+  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 3 FROM ee JOIN ns t ON t.repo_id = ee.repo_id AND t.language = ee.language AND t.stem = ee.receiver AND t.nm = ee.name WHERE ee.kind = 'name'
+  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 4 FROM ee JOIN ns t ON t.repo_id = ee.repo_id AND t.language = ee.language AND t.file_id = ee.file_id AND t.nm = ee.name WHERE ee.kind = 'bare'
+  UNION ALL SELECT ee.source_id, ee.name, ee.receiver, ee.kind, t.id, 5 FROM ee JOIN ns t ON t.repo_id = ee.repo_id AND t.language = ee.language AND t.nm = ee.name),
+fi AS (SELECT * FROM (SELECT *, min(ord) OVER (PARTITION BY source_id, name, receiver, kind) AS best FROM hi) WHERE ord = best),
+rc AS (SELECT source_id, name, receiver, kind, ['class', 'scope', 'module', 'file', 'name'][ord] AS rule, CASE WHEN n = 1 OR ord = 1 THEN least END AS target_id, n AS n_candidates,
+    (CASE WHEN n = 1 OR ord = 1 THEN [0.9, 0.8, 0.8, 0.8, 0.6][ord] ELSE [0.9, 0.4, 0.4, 0.4, 0.35][ord] END)::DOUBLE AS confidence, n > 1 AND ord > 1 AS ambiguous
+  FROM (SELECT source_id, name, receiver, kind, ord, count(*) AS n, min(id) AS least FROM fi GROUP BY ALL)),
+sz AS (SELECT repo_id, language, nm AS name, count(*) AS n FROM ns GROUP BY ALL),
+th AS (SELECT DISTINCT repo_id, coalesce(t, 1073741824)::BIGINT AS threshold FROM ns LEFT JOIN (
+    SELECT repo_id, greatest(8, list_sort(list(n))[least(count(*) - 1, count(*) * 9 // 10) + 1]) AS t FROM sz WHERE n >= 2 GROUP BY 1) USING (repo_id)),
+su AS (SELECT rc.source_id, rc.name, rc.receiver, rc.kind, sz.n AS collisions, sz.n >= threshold AS suppressed FROM rc JOIN ns ON ns.id = rc.source_id JOIN sz ON sz.repo_id = ns.repo_id AND sz.language = ns.language AND sz.name = rc.name
+    JOIN th ON th.repo_id = ns.repo_id WHERE ambiguous),
 cl AS (SELECT target_id, source_id, min(tier) AS tier, max((CASE WHEN tier = 'confident' THEN 1 ELSE 0 END, confidence))[2] AS confidence FROM (
-  SELECT *, CASE WHEN NOT ambiguous AND confidence >= 0.6 THEN 'confident' WHEN ambiguous OR confidence >= 0.4 THEN 'possible' END AS tier FROM rc WHERE source_id <> target_id) WHERE tier IS NOT NULL GROUP BY 1, 2)
+    SELECT target_id, source_id, confidence, CASE WHEN confidence >= 0.6 THEN 'confident' WHEN confidence >= 0.4 THEN 'possible' END AS tier FROM rc WHERE NOT ambiguous
+    UNION ALL SELECT fi.id, fi.source_id, rc.confidence, 'possible' FROM fi JOIN rc ON rc.ambiguous AND rc.source_id = fi.source_id AND rc.name = fi.name AND rc.kind = fi.kind AND rc.receiver IS NOT DISTINCT FROM fi.receiver
+      JOIN su ON NOT suppressed AND su.source_id = fi.source_id AND su.name = fi.name AND su.kind = fi.kind AND su.receiver IS NOT DISTINCT FROM fi.receiver)
+  WHERE tier IS NOT NULL AND source_id <> target_id GROUP BY 1, 2)
 """
 _G = f"WITH {base.SQL}, {base.GRAPH_SQL}, {_CALLS} "
 _S = f"WITH {base.SQL}, {base.GRAPH_SQL} "
@@ -60,29 +69,39 @@ def call_edges(spark, folder):
 
 @query("resolve_edges", _G + "SELECT * FROM rc")
 def resolve_edges(spark, folder):
-    """Calls resolved to symbols of the same language."""
-    return _resolved(spark, folder)[0]
+    """Calls resolved to symbols of the same repository and language, one row a call."""
+    return _resolved(spark, folder)[0].drop("key")
 
 
-@query("callees", _G + "SELECT source_id, count(*) AS n_callees, count(*) FILTER (ambiguous) AS n_ambiguous FROM rc WHERE source_id <> target_id GROUP BY 1")
+@query("callees", _G + "SELECT source_id, target_id, max(confidence) AS confidence, arg_max(rule, (confidence, rule)) AS rule FROM rc WHERE NOT ambiguous AND source_id <> target_id GROUP BY 1, 2")
 def callees(spark, folder):
-    r, _ = _resolved(spark, folder)
-    return r.where("source_id != target_id").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_callees"), F.count_if("ambiguous").alias("n_ambiguous"))
+    """What each symbol calls for certain, with the best evidence."""
+    r = _resolved(spark, folder)[0].where("NOT ambiguous AND source_id != target_id")
+    return r.groupBy("source_id", "target_id").agg(F.max(F.struct("confidence", "rule")).alias("b")).select("source_id", "target_id", "b.confidence", "b.rule")
+
+
+@query(
+    "callees_suppressed",
+    _G
+    + """, mm AS (SELECT fi.source_id, fi.name, suppressed, collisions, count(*) AS n FROM fi JOIN su ON su.source_id = fi.source_id AND su.name = fi.name AND su.kind = fi.kind AND su.receiver IS NOT DISTINCT FROM fi.receiver
+      WHERE fi.id <> fi.source_id GROUP BY ALL)
+    SELECT source_id, CAST(coalesce(sum(n) FILTER (NOT suppressed), 0) AS BIGINT) AS n_listed, CAST(coalesce(sum(n) FILTER (suppressed), 0) AS BIGINT) AS n_suppressed, count(DISTINCT name) FILTER (suppressed) AS n_names,
+      coalesce(list_transform(list_sort(list((-collisions, name)) FILTER (suppressed))[1:3], lambda x: x[2]), []) AS examples FROM mm GROUP BY 1""",
+)
+def callees_suppressed(spark, folder):
+    """Ambiguous callees of each symbol: worth listing, or of names so common that they tell nothing."""
+    return G.suppressed_callees(*_resolved(spark, folder))
 
 
 @query("callers_tiers", _G + "SELECT * FROM cl")
 def callers_tiers(spark, folder):
     """Who calls each symbol, for certain or possibly."""
-    return G.callers(_resolved(spark, folder)[0])
+    return G.callers(*_resolved(spark, folder))
 
 
-@query(
-    "collision_threshold",
-    _S
-    + """, sz AS (SELECT language, name, count(*) AS n FROM gs GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT CAST(CASE WHEN count(*) = 0 THEN 1073741824 ELSE greatest(8, list_sort(list(n))[least(count(*) - 1, count(*) * 9 // 10) + 1]) END AS BIGINT) AS threshold FROM sz""",
-)
+@query("collision_threshold", _G + "SELECT * FROM th")
 def collision_threshold(spark, folder):
+    """From how many symbols of one name on a name tells nothing, by repository."""
     return G.collision_threshold(base.graph_symbols(spark, folder))
 
 
@@ -96,7 +115,7 @@ def collision_threshold(spark, folder):
 def impact(spark, folder):
     """Direct and indirect callers of every symbol."""
     r, s = _resolved(spark, folder)
-    sure = G.callers(r).where("tier = 'confident'")
+    sure = r.where(f"NOT ambiguous AND confidence >= {G.CONFIDENT} AND source_id != target_id").select("target_id", "source_id")
     return G.impact(sure, s.select(F.col("id").alias("target_id")))
 
 
@@ -132,7 +151,7 @@ def skeleton_edges(spark, folder):
 @query("graph_degree", _G + "SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM cl UNION ALL SELECT target_id FROM cl) GROUP BY 1")
 def graph_degree(spark, folder):
     """Edges at each symbol, over both ends."""
-    c = G.callers(_resolved(spark, folder)[0])
+    c = G.callers(*_resolved(spark, folder))
     return c.select(F.col("source_id").alias("id")).unionByName(c.select(F.col("target_id").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
@@ -216,7 +235,7 @@ def breakage(spark, folder):
     q = F.replace("qualified_name", F.lit("::"), F.lit("."))
     live = s.join(gone, "id", "left_anti").select("path", q.alias("q")).distinct()
     removed = s.join(gone, "id", "left_semi").withColumn("q", q).join(live, ["path", "q"], "left_anti").select(F.col("id").alias("target_id"), "path", "name")
-    joined = removed.join(G.callers(r), "target_id", "left")
+    joined = removed.join(G.callers(r, s), "target_id", "left")
     return joined.groupBy(F.col("target_id").alias("symbol_id"), "path", "name").agg(
         F.count_if(F.col("tier") == "confident").alias("n_confident"), F.count_if(F.col("tier") == "possible").alias("n_possible")
     )
@@ -256,5 +275,5 @@ def retrieval_metrics(spark, folder):
 )
 def edge_quality(spark, folder):
     """All listed callers measured against the confident ones."""
-    c = G.callers(_resolved(spark, folder)[0])
+    c = G.callers(*_resolved(spark, folder))
     return E.edge_quality(c, c.where("tier = 'confident'"))

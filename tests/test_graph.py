@@ -14,7 +14,7 @@ SYMBOLS = [
 
 def symbols(spark, rows=SYMBOLS):
     return spark.createDataFrame(
-        rows, "id string, file_id string, path string, language string, name string, qualified_name string, symbol_type string, start_line int, end_line int, signature_hash string, fingerprint string"
+        [("r", *x) for x in rows], "repo_id string, id string, file_id string, path string, language string, name string, qualified_name string, symbol_type string, start_line int, end_line int, signature_hash string, fingerprint string"
     )
 
 
@@ -35,9 +35,9 @@ def test_no_resolution_across_languages(spark, rows):
 
 
 def test_callers_and_impact(spark, rows):
-    c = G.callers(resolved(spark))
+    c = G.callers(resolved(spark), symbols(spark))
     assert rows(c.where("target_id = 'helper'"), "source_id", "tier") == [("alpha", "confident"), ("go", "confident")]
-    assert rows(G.impact(c, symbols(spark).selectExpr("id target_id").where("target_id = 'helper'")), "source_id", "hop") == [("alpha", 1), ("go", 1)]
+    assert rows(G.impact(c.where("tier = 'confident'"), symbols(spark).selectExpr("id target_id").where("target_id = 'helper'")), "source_id", "hop") == [("alpha", 1), ("go", 1)]
 
 
 def test_impact_on_a_cycle(spark, rows):
@@ -46,6 +46,31 @@ def test_impact_on_a_cycle(spark, rows):
     assert rows(got, "source_id", "hop") == [("b", 1), ("c", 2), ("d", 3)]
 
 
+def namesakes(spark):
+    """Eight classes with ``size``, two with ``tag``, a caller of both, and the same names elsewhere."""
+    rows = [(f"s{k}", f"f{k}", f"c{k}.py", "python", "size", f"C{k}.size", "method", 1, 2, None, None) for k in range(8)]
+    rows += [(f"t{k}", f"f{k}", f"c{k}.py", "python", "tag", f"C{k}.tag", "method", 3, 4, None, None) for k in range(2)]
+    rows += [("caller", "f9", "use.py", "python", "use", "use", "function", 1, 5, None, None)]
+    other = spark.createDataFrame([("q", "z", "fz", "z.py", "python", "tag", "Z.tag", "method", 1, 2, None, None)], symbols(spark, rows).schema)
+    s = symbols(spark, rows).unionByName(other)
+    bodies = spark.createDataFrame([("caller", "def use(obj):\n    obj.size()\n    obj.tag()")], "symbol_id string, content string")
+    return G.resolve_calls(G.call_edges(s, bodies), s), s
+
+
+def test_common_names_are_suppressed_and_repositories_stay_apart(spark, rows):
+    r, s = namesakes(spark)
+    assert rows(r, "name", "target_id", "n_candidates", "confidence", "ambiguous", "rule") == [("size", None, 8, 0.35, True, "name"), ("tag", None, 2, 0.35, True, "name")]
+    assert rows(G.suppressed_callees(r, s)) == [("caller", 2, 8, 1, ["size"])]
+    assert rows(G.callers(r, s), "target_id", "source_id", "tier") == [("t0", "caller", "possible"), ("t1", "caller", "possible")]
+
+
+def test_self_calls_match_the_whole_class(spark, rows):
+    names = [("a", "A.Inner.f"), ("b", "B.Inner.f"), ("g", "B.Inner.g")]
+    s = symbols(spark, [(i, "fi", "i.py", "python", q[-1], q, "method", 1, 2, None, None) for i, q in names])
+    bodies = spark.createDataFrame([("g", "def g(self):\n    self.f()")], "symbol_id string, content string")
+    assert rows(G.resolve_calls(G.call_edges(s, bodies), s), "target_id", "confidence", "rule") == [("b", 0.9, "class")]
+
+
 def test_members_and_threshold(spark, rows):
     assert rows(G.members(symbols(spark))) == [("Engine", "go"), ("Engine", "helper")]
     assert G.collision_threshold(symbols(spark)).first()["threshold"] == 8
