@@ -53,8 +53,9 @@ def cascade_delete(symbols: DataFrame, chunks: DataFrame, tombstones: DataFrame)
 
 
 def staleness(refs: DataFrame, stored: DataFrame, live: DataFrame) -> DataFrame:
-    """``refs`` with ``state``: missing, not_indexed, current or changed, by the hash of their file."""
-    joined = refs.join(stored, "path", "left").join(live, "path", "left")
+    """``refs`` with ``state``: missing, not_indexed, current or changed, by the hash of their file, which
+    repository and path name."""
+    joined = refs.join(stored, ["repo_id", "path"], "left").join(live, ["repo_id", "path"], "left")
     state = (
         F.when(F.col("live_hash").isNull(), "missing").when(F.col("content_hash").isNull(), "not_indexed").when(F.col("content_hash") == F.col("live_hash"), "current").otherwise("changed")
     )

@@ -147,25 +147,28 @@ def diff_snapshot(spark, folder):
 @query(
     "cascade_delete",
     _W
-    + """SELECT 'symbols' AS table_name, count(*) AS n_kept FROM s WHERE file_id NOT IN (SELECT lower(trim(key)) FROM tombstones WHERE kind = 'file') OR file_id IS NULL
-      UNION ALL SELECT 'chunks', count(*) FROM c WHERE symbol_id IS NULL OR symbol_id NOT IN (SELECT lower(trim(key)) FROM tombstones WHERE kind = 'symbol')""",
+    + """, ts AS (SELECT DISTINCT kind, lower(trim(key)) AS key FROM tombstones WHERE trim(key) <> ''),
+      df AS (SELECT key FROM ts WHERE kind = 'file'), ds AS (SELECT key FROM ts WHERE kind = 'symbol' UNION SELECT lower(trim(id)) FROM s WHERE file_id IN (SELECT key FROM df))
+      SELECT 'symbols' AS table_name, count(*) AS n_kept FROM s WHERE lower(trim(id)) NOT IN (SELECT key FROM ds)
+      UNION ALL SELECT 'chunks', count(*) FROM c WHERE coalesce(file_id NOT IN (SELECT key FROM df), true) AND coalesce(symbol_id NOT IN (SELECT key FROM ds), true)""",
 )
 def cascade_delete(spark, folder):
-    chunks = load(spark, folder, "chunks").select("id", key_of("file_id").alias("file_id"), key_of("symbol_id").alias("symbol_id"))
-    chunks = chunks.groupBy("id").agg(F.min("file_id").alias("file_id"), F.min("symbol_id").alias("symbol_id"))
-    return C.cascade_delete(base.symbols(spark, folder), chunks, load(spark, folder, "tombstones"))
+    """Symbols and chunks that are left once deleted files and symbols took theirs along."""
+    return C.cascade_delete(base.symbols(spark, folder), base.chunks(spark, folder), load(spark, folder, "tombstones"))
 
 
 @query(
     "staleness",
     _W
-    + """SELECT state, count(*) AS n FROM (SELECT c.id, CASE WHEN r.file_id IS NULL THEN 'missing' WHEN f.content_hash IS NULL THEN 'not_indexed' WHEN f.content_hash = sha256(r.text) THEN 'current' ELSE 'changed' END AS state
-      FROM c LEFT JOIN (SELECT path, any_value(id) AS id, any_value(content_hash) AS content_hash FROM files GROUP BY 1) f ON f.path = c.path
-      LEFT JOIN r ON r.path = c.path) GROUP BY 1""",
+    + """SELECT state, count(*) AS n FROM (SELECT c.id, CASE WHEN r.hash IS NULL THEN 'missing' WHEN f.content_hash IS NULL THEN 'not_indexed' WHEN f.content_hash = r.hash THEN 'current' ELSE 'changed' END AS state
+      FROM c LEFT JOIN (SELECT repo_id, path, max((coalesce(last_indexed_at, ''), content_hash))[2] AS content_hash FROM files WHERE content_hash IS NOT NULL GROUP BY 1, 2) f ON f.repo_id = c.repo_id AND f.path = c.path
+      LEFT JOIN (SELECT repo_id, path, min(sha256(text)) AS hash FROM r GROUP BY 1, 2) r ON r.repo_id = c.repo_id AND r.path = c.path) GROUP BY 1""",
 )
 def staleness(spark, folder):
-    stored = load(spark, folder, "files").select("path", "content_hash").dropDuplicates(["path"])
-    live = base.texts(spark, folder).select("path", F.sha2("text", 256).alias("live_hash")).dropDuplicates(["path"])
+    """Cards by whether their file, named by repository and path, is as it was indexed last."""
+    stored = load(spark, folder, "files").where("content_hash IS NOT NULL").groupBy("repo_id", "path").agg(F.max(F.struct(F.coalesce("last_indexed_at", F.lit("")), "content_hash")).alias("m"))
+    stored = stored.select("repo_id", "path", F.col("m.content_hash").alias("content_hash"))
+    live = base.texts(spark, folder).groupBy("repo_id", "path").agg(F.min(F.sha2("text", 256)).alias("live_hash"))
     return C.staleness(base.chunks(spark, folder), stored, live).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -22,7 +22,7 @@ def _queries(spark, folder):
     return d.select(F.col("doc_id").alias("query_id"), F.coalesce("title", "text").alias("query"))
 
 
-_ASKED = "q AS (SELECT doc_id AS query_id, coalesce(title, left(text, 80)) AS query FROM documents WHERE doc_id % 100 = 0)"
+_ASKED = "q AS (SELECT doc_id AS query_id, coalesce(title, text) AS query FROM documents WHERE doc_id % 100 = 0)"
 _TOKENS = (
     f"qt AS (SELECT DISTINCT query_id, lower(token) AS token FROM (SELECT query_id, unnest(regexp_extract_all(coalesce(query, ''), '[A-Za-z_][A-Za-z0-9_]*')) AS token FROM q) "
     f"WHERE length(token) >= 3 AND lower(token) NOT IN ({_STOP}))"
@@ -126,26 +126,49 @@ def _channels(spark, folder):
     }
 
 
-@query("hybrid_topk")
-def hybrid_topk(spark, folder):
-    """Title, keyword and vector channels merged with the default weights: the flagship search."""
-    return R.merge_channels(_channels(spark, folder), R.MODES["default"]).join(_documents(spark, folder).select("id", "title", "source"), "id", "left")
-
-
+#: The vector channel over hashed words: documents and queries as counts by bucket, of unit length.
+_HASHED = """hw AS (SELECT id, b, count(*)::DOUBLE AS n FROM (SELECT doc_id AS id, CAST('0x' || right(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))), 8) AS BIGINT) % 64 AS b FROM documents) GROUP BY 1, 2),
+hq AS (SELECT id, b, count(*)::DOUBLE AS n FROM (SELECT query_id AS id, CAST('0x' || right(md5(unnest(regexp_extract_all(lower(coalesce(query, '')), '[a-z0-9_]+'))), 8) AS BIGINT) % 64 AS b FROM q) GROUP BY 1, 2),
+wn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM hw GROUP BY 1), qn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM hq GROUP BY 1),
+dp AS (SELECT hq.id AS query_id, hw.id, sum(hq.n * hw.n) AS dot FROM hq JOIN hw USING (b) GROUP BY 1, 2),
+ve AS (SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
+  SELECT qn.id AS query_id, wn.id, -round(2 - 2 * coalesce(dot, 0) / (qn.norm * wn.norm), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dp ON dp.query_id = qn.id AND dp.id = wn.id)) WHERE rn <= 20)"""
 _DOCSYM = """ds1 AS (SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
   SELECT query_id, doc_id AS id, max(CASE WHEN lower(title) = token THEN 1.0 WHEN starts_with(lower(title), token) THEN 0.7 ELSE 0.4 END)::DOUBLE AS score
   FROM documents JOIN qt ON contains(lower(title), token) WHERE title IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 10)"""
 
 
-def _merged(mode: str) -> str:
-    w = R.MODES[mode]
-    return f"""SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
-      SELECT query_id, id, round({w['symbol']}::DOUBLE * coalesce(max(value) FILTER (channel = 'symbol'), 0) + {w['keyword']}::DOUBLE * coalesce(max(value) FILTER (channel = 'keyword'), 0), 6) AS score FROM (
-      SELECT query_id, id, 'symbol' AS channel, score AS value FROM ds1 UNION ALL
-      SELECT query_id, id, 'keyword', CASE WHEN hi - lo < 1e-9 THEN 0.7 ELSE (score - lo) / (hi - lo) END FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm)) GROUP BY 1, 2)) WHERE rn <= 10"""
+def _scaled(channel: str, table: str) -> str:
+    return f"""SELECT query_id, id, '{channel}' AS channel, CASE WHEN hi - lo < 1e-9 THEN 0.7 ELSE (score - lo) / (hi - lo) END AS value
+      FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {table})"""
 
 
-@query("hybrid_modes", f"WITH {_ASKED}, {_TOKENS}, {_BM25}, {_DOCSYM} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({_merged(m)})" for m in R.MODES))
+_VALUES = f"vl AS (SELECT query_id, id, 'symbol' AS channel, score AS value FROM ds1 UNION ALL {_scaled('keyword', 'bm')} UNION ALL {_scaled('vector', 've')})"
+_HYBRID = f"WITH {_ASKED}, {_TOKENS}, {_BM25}, {_DOCSYM}, {_HASHED}, {_VALUES} "
+
+
+def _merged(symbol: float, keyword: float, vector: float) -> str:
+    each = ", ".join(f"coalesce(max(value) FILTER (channel = '{c}'), 0)::DOUBLE AS {c}" for c in ("symbol", "keyword", "vector"))
+    return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM (
+      SELECT *, round({symbol}::DOUBLE * symbol + {keyword}::DOUBLE * keyword + {vector}::DOUBLE * vector, 6) AS score FROM (SELECT query_id, id, {each} FROM vl GROUP BY 1, 2))"""
+
+
+@query(
+    "hybrid_topk",
+    _HYBRID
+    + f"""SELECT query_id, id, score, round(symbol, 4) AS symbol, round(keyword, 4) AS keyword, round(vector, 4) AS vector, CAST(rn AS INT) AS rank, title, source
+      FROM ({_merged(0.40, 0.30, 0.30)}) m JOIN documents d ON d.doc_id = m.id WHERE rn <= 10""",
+)
+def hybrid_topk(spark, folder):
+    """Title, keyword and vector channels merged with the default weights: the flagship search."""
+    return R.merge_channels(_channels(spark, folder), R.MODES["default"]).join(_documents(spark, folder).select("id", "title", "source"), "id", "left")
+
+
+#: Symbol, keyword and vector weights by mode, as the index states them.
+_WEIGHTS = {"default": (0.40, 0.30, 0.30), "impact": (0.55, 0.25, 0.20), "discovery": (0.25, 0.25, 0.50), "bugfix": (0.25, 0.55, 0.20)}
+
+
+@query("hybrid_modes", _HYBRID + " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id, id, score FROM ({_merged(*w)}) WHERE rn <= 10" for m, w in _WEIGHTS.items()))
 def hybrid_modes(spark, folder):
     """All three channels merged under each mode."""
     return R.merge_modes(_channels(spark, folder), R.MODES).select("mode", "query_id", "id", "score")
@@ -199,14 +222,17 @@ def coverage_rerank(spark, folder):
     return R.rerank_by_coverage(_ranked(spark, folder), _queries(spark, folder)).select("query_id", "id", "blended", "rank")
 
 
+#: BM25 over the cards: their text, summary and path.
+_CARD_BM25 = _BM25.replace("SELECT doc_id AS id,", "SELECT id,").replace("FROM documents", "FROM ct").replace("rn <= 20", "rn <= 40")
+
+
 @query(
     "find_tests",
-    f"""WITH {_ASKED}, {_TOKENS}, r1 AS (SELECT DISTINCT path, lower(regexp_extract(path, '[^/]*$')) AS base FROM files WHERE regexp_matches(lower(path), '^tests?/|/tests?/'))
-    SELECT query_id, count(DISTINCT path) AS n_tests, min(path) AS first_test FROM qt JOIN r1 ON contains(base, token) GROUP BY 1""",
+    f"""{_W}, {_ASKED}, ct AS (SELECT id, path, concat_ws(' ', content, summary, path) AS text FROM c), {_CARD_BM25}
+    SELECT query_id, path, max(round(score, 6)) AS score FROM bm JOIN ct USING (id) WHERE regexp_matches(lower(path), '^tests?/|/tests?/') GROUP BY 1, 2""",
 )
 def find_tests(spark, folder):
-    """Test files whose name has a token of the query."""
-    tests = base.files(spark, folder).select("path").distinct().where(F.lower("path").rlike("^tests?/|/tests?/"))
-    tokens = _queries(spark, folder).select("query_id", F.explode(T.query_tokens(F.col("query"))).alias("t")).select("query_id", F.lower("t").alias("t")).distinct()
-    hits = tests.join(R.bounded_broadcast(tokens, 50_000), F.contains(F.lower(F.substring_index("path", "/", -1)), F.col("t")))
-    return hits.groupBy("query_id").agg(F.countDistinct("path").alias("n_tests"), F.min("path").alias("first_test"))
+    """Test files among the 40 best cards by words of each query."""
+    cards = base.chunks(spark, folder).select("id", "path", F.concat_ws(" ", "content", "summary", "path").alias("text"))
+    hits = R.bm25(cards, _queries(spark, folder), k=40).join(cards.select("id", "path"), "id")
+    return hits.where(F.lower("path").rlike("^tests?/|/tests?/")).groupBy("query_id", "path").agg(F.max(F.round("score", 6)).alias("score"))

@@ -61,6 +61,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over as many partitions as there are cores.
+
+    A small file is read by one task or two; work on each row that takes long would leave the other
+    cores idle. A scan that has a task for every core already, as any large one, stays as it is, so
+    that no text of it is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows_at_most(df: DataFrame, max_rows: int, what: str) -> list:
     """The rows of a table that is small by definition; raises if it is larger than ``max_rows``."""
     rows = df.limit(max_rows + 1).collect()

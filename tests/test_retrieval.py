@@ -130,3 +130,25 @@ def test_query_of_an_untitled_document_is_its_whole_text(spark, tmp_path):
     spark.createDataFrame([(*d, "s") for d in docs], "doc_id bigint, text string, title string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["query_id"]: r["query"] for r in S._queries(spark, str(tmp_path)).collect()} == {100: docs[0][1], 200: "a title", 300: None}
     assert 1 in [r["id"] for r in S.bm25_topk(spark, str(tmp_path)).where("query_id = 100").collect()]
+
+
+def test_contained_without_a_nested_loop(spark, rows):
+    names = spark.createDataFrame([(1, "get_cell_size"), (2, "ab"), (3, None), (4, "cellcell")], "id int, name string")
+    tokens = spark.createDataFrame([("cell",), ("size",), ("get_cell_size",), ("ab",), (None,), ("zzz",)], "token string")
+    assert rows(R.contained(names, tokens), "id", "token") == [(1, "cell"), (1, "get_cell_size"), (1, "size"), (4, "cell")]
+
+
+def test_vectors_in_blocks_of_queries(spark, rows):
+    v = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)] + [(99, None)], "id int, vector array<double>")
+    q = v.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    whole = rows(R.vector_channel(v, q, k=4))
+    assert rows(R.vector_channel(v.repartition(5), q, k=4, block=3)) == whole and len(whole) == 80
+    assert R.vector_channel(v, q.limit(0)).count() == 0
+
+
+def test_spread(spark):
+    from corvane.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(10, numPartitions=cores + 1)).rdd.getNumPartitions() == cores + 1
