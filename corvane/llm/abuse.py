@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import checkpointed, ship_package
+from corvane.session import checkpointed, ship_package, spread
 
 #: Labelled documents that are used at most; of more, those with the least hash of their id.
 MAX_LABELLED = 20_000
@@ -399,7 +399,7 @@ def added_words(documents: DataFrame, model: Model) -> dict[str, float]:
             scores = shared.value.scores(texts.tolist())
             yield pd.Series([shared.value.unknown_words(t) if s >= shared.value.threshold else None for t, s in zip(texts, scores)])
 
-    read = documents.select(F.pandas_udf(unknown, "array<string>")("text").alias("words"))
+    read = spread(documents.select("text")).select(F.pandas_udf(unknown, "array<string>")("text").alias("words"))
     counted = read.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_abusive"))
     abusive = checkpointed(counted)  # "" stands for the document itself
     n_abusive = abusive.where("word = ''").agg(F.sum("n_abusive")).first()[0] or 0
@@ -438,7 +438,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series(shared.value.scores(texts.tolist()))
 
-    scored = documents.select("doc_id", "source", F.pandas_udf(score, "double")("text").alias("score"))
+    scored = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", F.pandas_udf(score, "double")("text").alias("score"))
     return scored.withColumn("abusive", F.col("score") >= F.lit(model.threshold))
 
 

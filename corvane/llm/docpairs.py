@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
 from corvane.llm.syntax import texts_of
-from corvane.session import ship_package
+from corvane.session import ship_package, spread
 from corvane.tables import key_of
 
 LANGUAGES = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
@@ -388,7 +388,7 @@ def extract_functions(raw_files: DataFrame) -> DataFrame:
     """
     ship_package(raw_files.sparkSession)
     kind = "array<struct<name:string,line:int,signature:string,description:string,doc_distance:int,end_line:int,code:string>>"
-    files = raw_files.select(
+    files = spread(raw_files.select("file_id", "path", "text")).select(
         key_of("file_id").alias("file_key"), "path", code_language(F.col("path")).alias("language"), "text"
     ).where(F.col("language").isin(*LANGUAGES))
     found = files.select("file_key", "path", "language", F.explode(F.pandas_udf(_extract, kind)("text", "language")).alias("f"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import checkpointed, ship_package
+from corvane.session import checkpointed, ship_package, spread
 
 #: Words of all items of one block, about, that go to the tasks at once.
 BLOCK_WORDS = 2_000_000
@@ -320,6 +320,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 1 / 3,
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "matched_words", "own_words", "at_word"])
 
-        part = documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(search, schema)
+        part = spread(documents.select("doc_id", "text")).where("doc_id IS NOT NULL").mapInPandas(search, schema)
         result = part if block == 0 else result.unionByName(part)
     return result

@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import rows_at_most, ship_package
+from corvane.session import rows_at_most, ship_package, spread
 
 #: Items of one shard on average, before they are split by profile.
 SHARD_ITEMS = 20_000
@@ -57,7 +57,7 @@ def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}")
 
     ship_package(documents.sparkSession)
     documents.sparkSession.sparkContext.addFile(path)
-    return documents.select("doc_id", F.pandas_udf(count, "bigint")("text").alias("n_tokens"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", F.pandas_udf(count, "bigint")("text").alias("n_tokens"))
 
 
 class _Stock:

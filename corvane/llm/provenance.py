@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import basename, code_language
-from corvane.session import ship_package
+from corvane.session import ship_package, spread
 
 #: Languages whose files count as code.
 CODE = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
@@ -158,7 +158,7 @@ def classify_files(raw_files: DataFrame) -> DataFrame:
     ).otherwise(False)
     is_code = F.col("language").isin(*CODE)
     data = F.when((size >= DATA_CHARS) & is_code, _share_outside_literals(text) < DATA_REST).otherwise(False)
-    tagged = raw_files.select(
+    tagged = spread(raw_files.select("file_id", "repo_id", "path", "text")).select(
         "file_id", "repo_id", "path", code_language(path).alias("language"), "text", F.pandas_udf(_notices, "string")(commented).alias("__notice")
     )
     origin = (

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import bounded_broadcast, ship_package
+from corvane.session import bounded_broadcast, ship_package, spread
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+\Z")
 _PIECES = (
@@ -197,7 +197,7 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     of ``chunks`` are ignored.
     """
     wanted = ("id", "content", "chunk_type", "start_line")
-    limited = with_limits(chunks.select(*wanted), limits).where(
+    limited = with_limits(spread(chunks.select(*wanted)), limits).where(
         F.char_length("content") > F.col("max_chars")
     )
     ship_package(chunks.sparkSession)

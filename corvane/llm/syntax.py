@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.functions.paths import code_language
 from corvane.llm.syntax_data import json_error, xml_error
 from corvane.llm.syntax_python import python_error
-from corvane.session import ship_package
+from corvane.session import ship_package, spread
 
 #: Languages that are checked; others have no error.
 CHECKED = ("python", "javascript", "typescript", "cpp", "c_sharp", "go", "json", "xml")
@@ -443,7 +443,7 @@ def check_syntax(raw_files: DataFrame) -> DataFrame:
     ``error`` and ``line`` are null for valid files. The language is that of the path's extension;
     rows with null or other paths are left out, null texts are valid. Repeated rows are kept.
     """
-    files = raw_files.select("file_id", "repo_id", "path", code_language(F.col("path")).alias("language"), "text")
+    files = spread(raw_files.select("file_id", "repo_id", "path", "text")).select("file_id", "repo_id", "path", code_language(F.col("path")).alias("language"), "text")
     ship_package(raw_files.sparkSession)
     read = F.pandas_udf(_errors, "struct<error:string,line:int>")
     checked = files.where(F.col("language").isin(*CHECKED)).select(

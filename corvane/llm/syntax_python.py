@@ -22,7 +22,7 @@ _LETTERS = (
     | dict.fromkeys(("pass", "break", "continue"), "b")
     | {
         "not": "!", "in": "I", "is": "i", "if": "F", "elif": "f", "else": "E", "for": "R", "while": "v", "async": "Y", "await": "Q",
-        "lambda": "l", "yield": "y", "from": "M", "import": "m", "as": "A", "with": "h", "def": "d", "class": "c", "return": "r",
+"yield": "y", "from": "M", "import": "m", "as": "A", "with": "h", "def": "d", "class": "c", "return": "r",
         "raise": "z", "del": "x", "assert": "a", "try": "j", "except": "q", "finally": "u",
     }
     | dict.fromkeys(("+", "-"), "+")
@@ -61,15 +61,13 @@ def _list(item: str) -> str:
 
 
 # Flat expressions, on letters: P, L, D are brackets that stand as operands, C and X calls and
-# subscripts behind one, n names, k constants, 0 and e other literals, s strings.
+# subscripts behind one, n names, k constants, 0 and e other literals, s strings, l heads of lambdas.
 _PRIMARY = r"Q?(?:[nk0ePLD]|s++)(?:[CX]|\.n)*+"
 _UNARY = rf"[+~]*+{_PRIMARY}"
 _SUM = rf"{_UNARY}(?:[-+*/@^]{_UNARY})*+"
 _COMPARED = rf"!*+{_SUM}(?:(?:<|!?I|i!?){_SUM})*+"
 _OR = rf"{_COMPARED}(?:o{_COMPARED})*+"
-_DEFAULT = rf"(?:={_OR}(?:F{_OR}E{_OR})*+)?"
-_HEAD = rf"l(?:{_list(rf'(?:n{_DEFAULT}|[*]n?|\^n|/)')})?:"
-_EXPR = rf"(?:{_HEAD})*+{_OR}(?:F{_OR}E(?:{_HEAD})*+{_OR})*+"
+_EXPR = rf"l*+{_OR}(?:F{_OR}El*+{_OR})*+"
 _NAMED = rf"(?:nW)?{_EXPR}"
 _STARRED = rf"(?:[*]{_OR}|{_NAMED})"
 _TARGET = rf"[*]?{_PRIMARY}(?<=[nXPL])"
@@ -94,6 +92,7 @@ _HOLDS = {
         "p": rf"(?:(?:n{_NOTE}(?!=)|/){_END})*+(?:(?:n{_NOTE}={_EXPR}|/){_END})*+"
         rf"(?:(?:[*]n(?::(?:[*]{_OR}|{_EXPR}))?|[*](?=,n)){_END}(?:n{_NOTE}(?:={_EXPR})?{_END})*+)?(?:\^n{_NOTE}{_END})?",
         "T": _list(rf"(?:[*^]?n{_NOTE}(?:=[*]?{_EXPR})?)"),
+        "l": rf"(?:{_list(rf'(?:n(?:={_EXPR})?|[*]n?|\^n|/)')})?",
         "N": _ALIASES,
         "H": rf"(?:{_list(rf'{_EXPR}(?:A{_TARGET})?')}|{_YIELD}|{_list(_STARRED)}|{_NAMED}{_FOR})?",
         "f": rf"{_RIGHT}=?V?",
@@ -290,6 +289,8 @@ def python_error(text: str) -> Error | None:
                 continue
             if kind == "newline":
                 at = m.end()
+                if stack and all(x[0] == "l" for x in stack):
+                    raise _Wrong("against the grammar")
                 if not stack:
                     if held:
                         blocks.statement("".join(held), first)
@@ -305,9 +306,19 @@ def python_error(text: str) -> Error | None:
             if kind == "name":
                 if not token.isascii() and not token.isidentifier():
                     raise _Wrong("character outside of literals")
-                held.append(_LETTERS.get(token, "n"))
+                if token == "lambda":  # its parameters are held like those in a bracket, up to the colon
+                    stack.append(("l", held, ":", "", m.start(kind)))
+                    held = []
+                else:
+                    held.append(_LETTERS.get(token, "n"))
             elif kind == "op":
-                held.append(_LETTERS[token])
+                if token == ":" and stack and stack[-1][0] == "l":
+                    if not _HOLDS["l"].match("".join(held)):
+                        raise _Wrong("against the grammar")
+                    held = stack.pop()[1]
+                    held.append("l")
+                else:
+                    held.append(_LETTERS[token])
             elif kind == "string":
                 if "\\" in token:
                     _check_escapes(token)
