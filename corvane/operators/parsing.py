@@ -1,19 +1,22 @@
 """Declarations, imports and bases read from source text, line by line in the JVM.
 
-Each line is a row and each language one expression, so a file of any length is spread like any
-other rows. What needs more than a line (spans, nesting) is derived with windows: a declaration
-ends before the next line of the same or less indentation. Exact for Python, C# and Go as they are
+Each line is a row and each language one expression. What needs more than a line (spans, nesting)
+is found in one pass over a file's lines with a stack: a declaration ends before the next line of
+the same or less indentation. Exact for Python, C# and Go as they are
 usually formatted, an approximation for other brace languages. HTML ids and CSS rules likewise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions.paths import code_language
+from corvane.session import ship_package
 
 #: How functions, classes, imports and bases are written, by language; group 1 is the name.
 FUNCTION = {
@@ -39,12 +42,19 @@ CLASS = {
     "cpp": r"^\s*(?:class|struct)\s+(\w+)\s*[:{]?",
 }
 IMPORT = {
-    "python": r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+[\w.]+)",
+    "python": r"^\s*from\s+([\w.]+)\s+import\b",
     "javascript": r"^\s*import\b.*from\s+['\"]([^'\"]+)['\"]",
     "typescript": r"^\s*import\b.*from\s+['\"]([^'\"]+)['\"]",
     "c_sharp": r"^\s*using\s+([\w.]+)\s*;",
     "cpp": r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]",
 }
+#: The other form of an import, where a language has one.
+IMPORT_ALONE = {
+    "python": r"^\s*import\s+([\w.]+)",
+    "javascript": r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    "typescript": r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)",
+    "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$",
+}
 BASES = {
     "python": r"^\s*class\s+\w+\s*\(([^)]*)\)",
     "typescript": r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+\s+(?:extends|implements)\s+([\w.]+)",
@@ -53,10 +63,6 @@ BASES = {
     "cpp": r"^\s*(?:class|struct)\s+\w+\s*:\s*(?:public|private|protected)?\s*(\w+)",
 }
 
-#: Indentation is told apart up to so many steps of two columns.
-MAX_DEPTH = 16
-
-
 def source_lines(files: DataFrame) -> DataFrame:
     """``file_id, path, language, line, code`` for every line of the code files."""
     named = files.select("file_id", "path", code_language(F.col("path")).alias("language"), "text").where(F.col("language").isin(*CLASS))
@@ -79,28 +85,41 @@ def function_name(code: Column, language: Column) -> Column:
     return F.coalesce(by_language(code, FUNCTION, language), F.when(~method.isin(*NO_NAMES), method))
 
 
+def _span_ends(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For each line of a file the last one of its span, by a stack of open lines: a line that is
+    indented less, or as little without closing anything, ends what was opened before it."""
+    for indents, closings in batches:
+        out = []
+        for indent, closing in zip(indents, closings):
+            ends, stack, last = [0] * len(indent), [], 0
+            for k, (depth, closes) in enumerate(zip(indent, closing)):
+                if depth < 0:  # blank
+                    continue
+                while stack and (depth < indent[stack[-1]] or depth == indent[stack[-1]] and not closes):
+                    ends[stack.pop()] = last
+                last = k + 1
+                stack.append(k)
+            for k in stack:
+                ends[k] = last
+            out.append(ends)
+        yield pd.Series(out)
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """``file_id, line, end_line, kind, name`` of functions and classes. A span ends before the next
-    filled line that is indented as little; closing brackets belong to it."""
-    lines = source_lines(files)
-    body = F.trim(F.regexp_replace("code", r"\t", "    "))
-    indent = F.length(F.regexp_extract(F.regexp_replace("code", r"\t", "    "), r"^( *)", 1))
+    filled line that is indented as little; closing brackets belong to it. Any depth is told apart."""
+    ship_package(files.sparkSession)
+    named = files.where("text IS NOT NULL").select("file_id", code_language(F.col("path")).alias("language"), "text").where(F.col("language").isin(*CLASS))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"^\x{FEFF}", ""), r"\r\n?", "\n"), r"\t", "    ")
+    lines = named.select("file_id", "language", F.split(plain, "\n").alias("lines"))
+    indent = F.transform("lines", lambda x: F.when(F.trim(x) == "", -1).otherwise(F.length(F.regexp_extract(x, r"^( *)", 1))))
+    closing = F.transform("lines", lambda x: F.trim(x).rlike(r"^([)\]}{]|(public|private|protected)\s*:)"))
+    ends = F.pandas_udf(_span_ends, "array<int>")(indent, closing)
+    each = lines.select("file_id", "language", F.posexplode(F.arrays_zip("lines", ends.alias("ends"))).alias("p", "x"))
+    code = each.select("file_id", "language", (F.col("p") + 1).alias("line"), F.col("x.ends").alias("end_line"), F.col("x.lines").alias("code"))
     function, klass = function_name(F.col("code"), F.col("language")), by_language(F.col("code"), CLASS, F.col("language"))
-    marked = lines.select("file_id", "line", indent.alias("indent"), F.coalesce(function, klass).alias("name"), F.when(function.isNotNull(), "function").when(klass.isNotNull(), "class").alias("kind"), body.alias("body")).where("body != ''")
-    # For each depth, the next line that is indented no more: the least line so far when a file is
-    # read from its end. One sort serves all depths, and each is a running minimum.
-    w = W.partitionBy("file_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
-    depth = F.least(F.ceil(F.col("indent") / 2), F.lit(MAX_DEPTH)).cast("int")
-    before = F.lead("line").over(W.partitionBy("file_id").orderBy(F.desc("line")))
-    leveled = marked.withColumn("depth", depth).withColumn("closing", F.col("body").rlike(r"^([)\]}{]|(public|private|protected)\s*:)")).withColumn("before", before)
-    stops = [
-        F.min(F.when((F.col("depth") < d) | ((F.col("depth") == d) & ~F.col("closing")), F.col("before"))).over(w).alias(f"s{d}")
-        for d in range(MAX_DEPTH + 1)
-    ]
-    last = F.max("line").over(W.partitionBy("file_id"))
-    spans = leveled.select("file_id", "line", "kind", "name", "depth", last.alias("last"), *stops).where("name IS NOT NULL")
-    stop = F.element_at(F.array(*[F.col(f"s{d}") for d in range(MAX_DEPTH + 1)]), F.col("depth") + 1)
-    return spans.select("file_id", "line", F.coalesce(stop, F.col("last")).alias("end_line"), "kind", "name")
+    kind = F.when(function.isNotNull(), "function").when(klass.isNotNull(), "class")
+    return code.select("file_id", "line", "end_line", kind.alias("kind"), F.coalesce(function, klass).alias("name")).where("name IS NOT NULL AND end_line > 0")
 
 
 def declared_names(files: DataFrame) -> DataFrame:
@@ -113,7 +132,7 @@ def declared_names(files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame) -> DataFrame:
     """``file_id, target`` of each module that a file imports, each once."""
     lines = source_lines(files)
-    return lines.select("file_id", by_language(F.col("code"), IMPORT, F.col("language")).alias("target")).where("target IS NOT NULL").distinct()
+    return lines.select("file_id", F.coalesce(by_language(F.col("code"), IMPORT, F.col("language")), by_language(F.col("code"), IMPORT_ALONE, F.col("language"))).alias("target")).where("target IS NOT NULL").distinct()
 
 
 def inherits_edges(files: DataFrame) -> DataFrame:
@@ -138,14 +157,3 @@ def css_rules(sheets: DataFrame) -> DataFrame:
     plain = F.regexp_replace("css", r"(?s)/\*.*?\*/", " ")
     heads = F.regexp_extract_all(plain, F.lit(r"([^{}@;]+)\{"), F.lit(1))
     return sheets.select("id", F.posexplode(heads).alias("ordinal", "head")).select("id", "ordinal", F.trim(F.regexp_replace("head", r"\s+", " ")).alias("name")).where("name != ''")
-
-
-def head_of_file(files: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` filled lines of each file."""
-    lines = source_lines(files).where(F.col("code").rlike(r"\S"))
-    return lines.withColumn("k", F.row_number().over(W.partitionBy("file_id").orderBy("line"))).where(F.col("k") <= n).drop("k")
-
-
-def leading_comments(files: DataFrame) -> DataFrame:
-    """The comment block at the head of each file as one text; null if there is none."""
-    return files.select("file_id", F.nullif(T.strip(F.regexp_extract("text", r"^\x{FEFF}?\s*((?:(?://|#)[^\n]*\n?)+|/\*[\s\S]*?\*/)", 1)), F.lit("")).alias("comment"))

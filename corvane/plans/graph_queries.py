@@ -12,7 +12,7 @@ from corvane.plans import base
 from corvane.plans.map_queries import _MODULE
 from corvane.plans.registry import query
 from corvane.plans.text_queries import _LINES
-from corvane.tables import key_of, load
+from corvane.tables import load
 
 _NO = ", ".join(f"'{w}'" for w in G.NO_CALLS)
 _CALLS = f"""
@@ -197,12 +197,12 @@ def file_cards(spark, folder):
 @query(
     "enclosing_symbol",
     _S
-    + """, pt AS (SELECT DISTINCT lower(trim(file_id)) AS file_id, start_line AS line FROM chunks WHERE chunk_type = 'ast_block')
+    + """, pt AS (SELECT DISTINCT lower(trim(file_id)) AS file_id, start_line AS line FROM chunks WHERE lower(trim(chunk_type)) = 'ast_block')
     SELECT file_id, line, symbol_id FROM (SELECT pt.file_id, line, id AS symbol_id, row_number() OVER (PARTITION BY pt.file_id, line ORDER BY start_line DESC, end_line, id DESC) AS rn FROM pt JOIN gs ON gs.file_id = pt.file_id AND line BETWEEN start_line AND end_line) WHERE rn = 1""",
 )
 def enclosing_symbol(spark, folder):
     """The innermost symbol around the first line of each block."""
-    points = load(spark, folder, "chunks").where("chunk_type = 'ast_block'").select(F.lower(F.trim("file_id")).alias("file_id"), F.col("start_line").alias("line")).distinct()
+    points = load(spark, folder, "chunks").where("lower(trim(chunk_type)) = 'ast_block'").select(F.lower(F.trim("file_id")).alias("file_id"), F.col("start_line").alias("line")).distinct()
     return C.enclosing_symbol(points, base.graph_symbols(spark, folder))
 
 
@@ -221,26 +221,6 @@ def ref_resolve(spark, folder):
     return C.resolve_refs(refs.withColumn("signature_hash", none).withColumn("fingerprint", none), base.graph_symbols(spark, folder))
 
 
-@query(
-    "breakage",
-    _G
-    + """, lv AS (SELECT DISTINCT path, replace(qualified_name, '::', '.') AS q FROM gs WHERE id NOT IN (SELECT lower(trim(key)) FROM tombstones WHERE kind = 'symbol')),
-    rm AS (SELECT id, path, name FROM gs WHERE id IN (SELECT lower(trim(key)) FROM tombstones WHERE kind = 'symbol') AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.path = gs.path AND lv.q = replace(gs.qualified_name, '::', '.')))
-    SELECT rm.id AS symbol_id, rm.path, rm.name, count(cl.source_id) FILTER (cl.tier = 'confident') AS n_confident, count(cl.source_id) FILTER (cl.tier = 'possible') AS n_possible FROM rm LEFT JOIN cl ON cl.target_id = rm.id GROUP BY ALL""",
-)
-def breakage(spark, folder):
-    """Deleted symbols whose name lives on nowhere in their file, with the callers they leave behind."""
-    r, s = _resolved(spark, folder)
-    gone = load(spark, folder, "tombstones").where("kind = 'symbol'").select(key_of("key").alias("id")).distinct()
-    q = F.replace("qualified_name", F.lit("::"), F.lit("."))
-    live = s.join(gone, "id", "left_anti").select("path", q.alias("q")).distinct()
-    removed = s.join(gone, "id", "left_semi").withColumn("q", q).join(live, ["path", "q"], "left_anti").select(F.col("id").alias("target_id"), "path", "name")
-    joined = removed.join(G.callers(r, s), "target_id", "left")
-    return joined.groupBy(F.col("target_id").alias("symbol_id"), "path", "name").agg(
-        F.count_if(F.col("tier") == "confident").alias("n_confident"), F.count_if(F.col("tier") == "possible").alias("n_possible")
-    )
-
-
 _RESULTS = "re AS (SELECT source AS query_id, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL), go AS (SELECT DISTINCT d.source AS query_id, d.doc_id AS id FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1 AND d.source IS NOT NULL)"
 
 

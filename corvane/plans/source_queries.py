@@ -31,13 +31,22 @@ def declared_names(spark, folder):
     return P.declared_names(base.texts(spark, folder))
 
 
-@query("declarations")
+@query(
+    "declarations",
+    _LINE
+    + f""", fl AS (SELECT file_id, language, line, replace(code, chr(9), '    ') AS code, length(regexp_extract(replace(code, chr(9), '    '), '^( *)', 1)) AS indent FROM ln WHERE trim(replace(code, chr(9), '    ')) <> ''),
+    dc AS (SELECT file_id, line, indent, CASE WHEN fn IS NOT NULL THEN 'function' ELSE 'class' END AS kind, coalesce(fn, kl) AS name
+      FROM (SELECT *, coalesce({_case(P.FUNCTION)}, CASE WHEN {_case(P.METHOD)} NOT IN {P.NO_NAMES} THEN {_case(P.METHOD)} END) AS fn, {_case(P.CLASS)} AS kl FROM fl) WHERE coalesce(fn, kl) IS NOT NULL),
+    sp AS (SELECT dc.file_id, dc.line, dc.kind, dc.name, coalesce(min(fl.line), 1000000000) AS stop FROM dc LEFT JOIN fl ON fl.file_id = dc.file_id AND fl.line > dc.line
+      AND (fl.indent < dc.indent OR fl.indent = dc.indent AND NOT regexp_matches(trim(fl.code), '^([)\\]}}{{]|(public|private|protected)\\s*:)')) GROUP BY ALL)
+    SELECT sp.file_id, CAST(sp.line AS INT) AS line, CAST(max(fl.line) AS INT) AS end_line, kind, name FROM sp JOIN fl ON fl.file_id = sp.file_id AND fl.line >= sp.line AND fl.line < stop GROUP BY ALL""",
+)
 def declarations(spark, folder):
     """Functions and classes declared in the sources, with their spans."""
     return P.declarations(base.texts(spark, folder))
 
 
-@query("import_edges", _LINE + f" SELECT DISTINCT file_id, {_case(P.IMPORT)} AS target FROM ln WHERE {_case(P.IMPORT)} IS NOT NULL")
+@query("import_edges", _LINE + f" SELECT DISTINCT file_id, coalesce({_case(P.IMPORT)}, {_case(P.IMPORT_ALONE)}) AS target FROM ln WHERE coalesce({_case(P.IMPORT)}, {_case(P.IMPORT_ALONE)}) IS NOT NULL")
 def import_edges(spark, folder):
     """Modules that files import."""
     return P.import_edges(base.texts(spark, folder))
@@ -63,9 +72,9 @@ def stream_usage_windows(spark, folder):
 
 @query(
     "stream_changed_files",
-    "SELECT DISTINCT r.file_id, sha256(text) AS content_hash FROM raw_files r WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.id = r.file_id AND f.content_hash = sha256(r.text) AND f.importance = 0 AND f.language IS NOT NULL)",
+    "SELECT DISTINCT r.file_id, sha256(text) AS content_hash FROM raw_files r WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.id = r.file_id AND f.content_hash = sha256(r.text))",
 )
 def stream_changed_files(spark, folder):
-    """Files of a batch that differ from what the index holds under a known language."""
-    stored = load(spark, folder, "files").where("importance = 0 AND language IS NOT NULL").select(F.col("id").alias("file_id"), "content_hash").distinct()
+    """Files of a batch that differ from everything that the index holds under their id."""
+    stored = load(spark, folder, "files").select(F.col("id").alias("file_id"), "content_hash").distinct()
     return changed_files(load(spark, folder, "raw_files"), stored).select("file_id", "content_hash")

@@ -207,25 +207,26 @@ def redact_secrets(spark, folder):
     "refs_round_trip",
     _W
     + """SELECT id, path || CASE WHEN chunk_type IN ('class', 'method', 'function') AND qualified_name IS NOT NULL THEN '::' || qualified_name
-        ELSE ':' || start_line || '-' || start_line END AS ref, path AS ref_path,
+        ELSE ':' || start_line || '-' || coalesce(end_line, start_line) END AS ref, path AS ref_path,
         CASE WHEN chunk_type IN ('class', 'method', 'function') THEN nullif(qualified_name, '') END AS ref_name FROM c""",
 )
 def refs_round_trip(spark, folder):
     """Refs as they are built, read back into path and name."""
     c = base.chunks(spark, folder)
     is_symbol = F.coalesce(F.col("chunk_type").isin("class", "method", "function"), F.lit(False))
-    ref = T.build_ref(F.col("path"), F.col("qualified_name"), F.col("start_line"), F.col("start_line"), is_symbol)
+    ref = T.build_ref(F.col("path"), F.col("qualified_name"), F.col("start_line"), F.coalesce("end_line", "start_line"), is_symbol)
     return c.select("id", ref.alias("ref")).select("id", "ref", T.ref_path(F.col("ref")).alias("ref_path"), T.ref_name(F.col("ref")).alias("ref_name"))
 
 
 @query(
     "card_visibility",
     _W
-    + f"""SELECT id, kind AS content_type, CASE WHEN kind = 'generated' THEN 'graph_only' WHEN kind = 'data' THEN 'low_priority' ELSE 'full' END AS visibility
-      FROM (SELECT id, CASE WHEN contains(path, '/_assets/') OR regexp_matches(path, '\\.min\\.(js|css)$') THEN 'generated'
+    + f"""SELECT id, kind AS content_type, CASE WHEN kind = 'generated' OR kind = 'data' AND bulk THEN 'graph_only' WHEN kind = 'data' THEN 'low_priority' ELSE 'full' END AS visibility
+      FROM (SELECT id, chunk_type IN ('constant', 'variable') AND end_line - start_line + 1 > 8 AS bulk, CASE WHEN contains(path, '/_assets/') OR regexp_matches(path, '\\.min\\.(js|css)$') THEN 'generated'
         WHEN {_LANG.replace('{p}', 'path')} IN {T.PROSE} THEN 'prose' WHEN chunk_type IN ('constant', 'variable', 'type') THEN 'data' ELSE 'code' END AS kind FROM c)""",
 )
 def card_visibility(spark, folder):
     c = base.chunks(spark, folder)
     kind = T.content_type(F.col("path"), T.index_language(F.col("path")), F.col("chunk_type"))
-    return c.select("id", "chunk_type", kind.alias("content_type")).select("id", "content_type", T.visibility(F.col("content_type"), F.col("chunk_type"), F.lit(1)).alias("visibility"))
+    lines = F.col("end_line") - F.col("start_line") + 1
+    return c.select("id", "chunk_type", kind.alias("content_type"), lines.alias("n")).select("id", "content_type", T.visibility(F.col("content_type"), F.col("chunk_type"), F.coalesce("n", F.lit(0))).alias("visibility"))

@@ -25,9 +25,10 @@ def index_stream(spark: SparkSession, source: str, target: str, checkpoint: str)
 
     def write(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        try:
+        path = session._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(session._jsc.hadoopConfiguration()).exists(path):
             stored = session.read.parquet(target)
-        except Exception:  # nothing is stored yet
+        else:
             stored = session.createDataFrame([], "file_id string, content_hash string")
         changed_files(batch, stored).write.mode("append").parquet(target)
 

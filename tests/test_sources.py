@@ -11,6 +11,11 @@ def test_scan_ignores_and_sets_large_aside(spark, tmp_path, rows):
         (tmp_path / name).write_bytes(text)
     files, large = S.scan(spark, str(tmp_path), ["gen/", "*.log.py", "# note"], max_bytes=100)
     assert rows(files, "path", "language", "text") == [("a/x.py", "python", "x = 1\n")]
+    for name, text in {"secrets/s.py": b"1", "a/bad.py": b"x = '\xff'\n", "keep/build/k.py": b"1", "lib.egg-info/i.py": b"1", ".gitignore": b"# rules\n/big.py\n!a/\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    files, _ = S.scan(spark, str(tmp_path))
+    assert rows(files, "path", "text") == [("a/bad.py", "x = '\ufffd'\n"), ("a/x.py", "x = 1\n"), ("b/k.log.py", "2"), ("gen/g.py", "1")]
     assert rows(large) == [("a/big.py", 500)]
 
 
@@ -30,7 +35,10 @@ def test_declarations(spark, rows):
         ("c", 4, 10, "class", "K"), ("c", 6, 9, "function", "F"), ("p", 2, 6, "class", "A"), ("p", 3, 4, "function", "f"), ("p", 6, 6, "function", "g"),
     ]
     assert rows(P.inherits_edges(files), "file_id", "base") == [("c", "Base"), ("p", "B"), ("p", "C")]
-    assert rows(P.import_edges(files)) == [("c", "X.Y")]
+    assert rows(P.import_edges(files)) == [("c", "X.Y"), ("p", "os")]
+    deep = "\n".join(" " * 2 * k + f"def f{k}():" for k in range(40)) + "\n" + " " * 80 + "pass\nx = 1\n"
+    nested = P.declarations(spark.createDataFrame([("d", "d.py", deep)], "file_id string, path string, text string"))
+    assert {r["end_line"] for r in nested.collect()} == {41} and nested.count() == 40
 
 
 def test_markup(spark, rows):
