@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +76,43 @@ def edit_risks(symbols: DataFrame, callers: DataFrame, effects: DataFrame, teste
     return joined.select("symbol_id", n.cast("bigint").alias("n_callers"), p.cast("bigint").alias("n_possible"), risks.alias("risks"))
 
 
+#: From how many direct callers on a change is widely felt.
+HIGH_FAN_IN = 5
+
+
+def stale_symbols(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """``symbol_id`` of symbols whose lines differ from the hash that was stored when they were indexed."""
+    lines = texts.select("file_id", T.lines_of(F.col("text")).alias("lines"))
+    now = F.sha2(T.line_slice(F.col("lines"), F.greatest(F.col("start_line"), F.lit(1)), F.col("end_line")), 256)
+    return symbols.where("content_hash IS NOT NULL").join(lines, "file_id").where(now != F.col("content_hash")).select(F.col("id").alias("symbol_id"))
+
+
+def edit_plan(symbols: DataFrame, impact: DataFrame, effects: DataFrame, stale: DataFrame, covered: tuple[str, ...]) -> DataFrame:
+    """What a change of each symbol needs: the columns of ``graph.impact_report`` and ``risks``.
+
+    ``effects`` has ``symbol_id, side_effects``, ``stale`` the ``symbol_id`` of symbols whose text is not
+    as it was indexed; ``covered`` are the languages whose calls are known. A name that several
+    symbols of one file bear makes a ref to it ambiguous.
+    """
+    named = symbols.select(F.col("id").alias("symbol_id"), "repo_id", "path", "language", F.coalesce("qualified_name", "name").alias("q"))
+    shared = named.groupBy("repo_id", "path", "q").agg(F.count(F.lit(1)).alias("n_same"))
+    j = named.join(shared, ["repo_id", "path", "q"]).join(impact, "symbol_id").join(effects, "symbol_id", "left").join(stale.distinct().withColumn("stale", F.lit(True)), "symbol_id", "left")
+    tags = F.coalesce("side_effects", F.array().cast("array<string>"))
+    risks = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(F.col("language").isin(*covered), F.lit(False)), F.lit("calls of this language are not known")),
+            F.when(F.col("n_direct") >= HIGH_FAN_IN, F.lit("high fan-in")).when(F.col("n_direct") > 0, F.lit("direct callers to keep compatible")),
+            F.when(F.col("n_indirect") > 0, F.lit("transitive reach")),
+            F.when(~F.col("tested"), F.lit("no tests among its callers")),
+            F.when(F.size(tags) > 0, F.concat(F.lit("side effects: "), F.array_join(F.slice(tags, 1, 4), ", "))),
+            F.when(F.col("n_same") > 1, F.lit("ambiguous ref")),
+            F.when(F.col("stale"), F.lit("stale copy")),
+            F.when(F.col("n_possible") > 0, F.lit("unverified callers")),
+        )
+    )
+    return j.select("symbol_id", "n_direct", "n_direct_tests", "n_indirect", "n_possible", "n_files", risks.alias("risks"))
+
+
 def brief_tier(cards: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, anchor_id, tier``: how far the first anchorable card may be trusted.
 
@@ -146,10 +181,3 @@ def render_cards(cards: DataFrame) -> DataFrame:
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("ref"), F.coalesce(F.concat(F.lit(" - "), T.first_sentence(F.col("summary"))), F.lit("")))
     rows = cards.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     return rows.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
-
-
-def batches(frames: Iterator[pd.DataFrame], size: int = 2000) -> Iterator[pd.DataFrame]:
-    """Arrow batches cut to at most ``size`` rows, for sinks that take that many at once."""
-    for frame in frames:
-        for k in range(0, len(frame), size):
-            yield frame.iloc[k : k + size]

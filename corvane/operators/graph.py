@@ -200,15 +200,67 @@ def delegation_leaves(resolved: DataFrame, symbols: DataFrame, max_lines: int =
 
 
 def members(symbols: DataFrame) -> DataFrame:
-    """``class_id, member_id``: symbols whose qualified name is below that of a class of the same file.
+    """``symbol_id, member_id``: symbols whose qualified name goes on from that of another symbol of the
+    same repository, at any depth.
 
-    The prefix join is an equi-join: a member is looked up under the name before its last part.
+    The prefix join is an equi-join: a member is looked up under each beginning of its name.
     """
-    q = F.replace(F.coalesce("qualified_name", "name"), F.lit("::"), F.lit("."))
-    named = symbols.select("id", "file_id", "symbol_type", q.alias("q"))
-    classes = named.where("symbol_type = 'class'").select(F.col("id").alias("class_id"), "file_id", F.col("q").alias("above"))
-    below = named.where(F.contains("q", F.lit("."))).select(F.col("id").alias("member_id"), "file_id", F.regexp_extract("q", r"^(.*)\.[^.]+$", 1).alias("above"))
-    return below.join(classes, ["file_id", "above"]).select("class_id", "member_id")
+    s = normalized(symbols).select("id", "repo_id", "qname", F.split("qname", r"\.").alias("parts"))
+    above = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), "."))
+    below = s.where(F.size("parts") > 1).select(F.col("id").alias("member_id"), "repo_id", F.explode(above).alias("qname"))
+    return below.join(s.select(F.col("id").alias("symbol_id"), "repo_id", "qname"), ["repo_id", "qname"]).select("symbol_id", "member_id")
+
+
+def impact_report(hops: DataFrame, possible: DataFrame, symbols: DataFrame, is_test) -> DataFrame:
+    """``symbol_id, n_direct, n_direct_tests, n_indirect, n_possible, n_files, tested`` of every symbol:
+    who is affected by a change of it. ``hops`` is the result of ``impact``, ``possible`` has
+    ``target_id, source_id``, ``is_test`` says of a path whether it is a test's. The symbol's own file
+    counts among the affected ones; a symbol is tested if a test calls it, directly or not."""
+    place = symbols.select(F.col("id").alias("source_id"), F.col("path"), is_test(F.col("path")).alias("test"))
+    known = hops.join(place, "source_id")
+    own = symbols.select(F.col("id").alias("target_id"), "path", F.lit(0).alias("hop"), F.lit(False).alias("test"))
+    each = known.select("target_id", "path", "hop", "test").unionByName(own)
+    rolled = each.groupBy("target_id").agg(
+        F.count_if(F.expr("hop = 1")).alias("n_direct"), F.count_if(F.expr("hop = 1 AND test")).alias("n_direct_tests"), F.count_if(F.expr("hop > 1")).alias("n_indirect"),
+        F.countDistinct("path").alias("n_files"), F.max("test").alias("tested"),
+    )
+    maybe = possible.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_possible"))
+    return rolled.join(maybe, "target_id", "left").select(F.col("target_id").alias("symbol_id"), "n_direct", "n_direct_tests", "n_indirect", F.coalesce("n_possible", F.lit(0)).alias("n_possible"), "n_files", "tested")
+
+
+def graph_view(resolved: DataFrame, callers: DataFrame, symbols: DataFrame, imports: DataFrame, bases: DataFrame, most: int = 10) -> DataFrame:
+    """What surrounds each symbol: ``symbol_id, callees, n_callees, n_ambiguous, callers, n_callers,
+    n_possible, n_members, n_imports, bases``. Lists hold the first ``most`` refs in order, counts all.
+
+    ``imports`` has ``file_id, target``, ``bases`` ``symbol_id, base``.
+    """
+    ref = F.concat("path", F.lit("::"), F.coalesce("qualified_name", "name"))
+    refs = symbols.select("id", ref.alias("ref"))
+
+    def first(df: DataFrame, key: str, name: str) -> DataFrame:
+        """The count of each key and its first refs; only those are collected."""
+        w = W.partitionBy(key).orderBy("ref")
+        top = df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy(key).agg(F.sort_array(F.collect_list("ref")).alias(name))
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}")).join(top, key).withColumnRenamed(key, "symbol_id")
+
+    sure = resolved.where("NOT ambiguous AND source_id != target_id").select("source_id", "target_id").distinct()
+    callees = first(sure.join(refs.withColumnRenamed("id", "target_id"), "target_id"), "source_id", "callees")
+    certain = callers.where("tier = 'confident'").join(refs.withColumnRenamed("id", "source_id"), "source_id").select("target_id", "ref")
+    called = first(certain, "target_id", "callers")
+    vague = resolved.where("ambiguous").groupBy(F.col("source_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("n_ambiguous"))
+    maybe = callers.where("tier = 'possible'").groupBy(F.col("target_id").alias("symbol_id")).agg(F.count(F.lit(1)).alias("n_possible"))
+    below = members(symbols).groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n_members"))
+    imported = imports.groupBy("file_id").agg(F.countDistinct("target").alias("n_imports"))
+    named = bases.groupBy("symbol_id").agg(F.sort_array(F.collect_set("base")).alias("bases"))
+    out = symbols.select(F.col("id").alias("symbol_id"), "file_id")
+    for part in (callees, called, vague, maybe, below, named):
+        out = out.join(part, "symbol_id", "left")
+    none = F.array().cast("array<string>")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return out.join(imported, "file_id", "left").select(
+        "symbol_id", F.coalesce("callees", none).alias("callees"), n("n_callees"), n("n_ambiguous"), F.coalesce("callers", none).alias("callers"), n("n_callers"), n("n_possible"),
+        n("n_members"), n("n_imports"), F.coalesce("bases", none).alias("bases"),
+    )
 
 
 def module_edges(resolved: DataFrame, symbols: DataFrame, module_of) -> DataFrame:

@@ -126,14 +126,9 @@ def delegation_leaves(spark, folder):
     return G.delegation_leaves(r, s)
 
 
-@query(
-    "members",
-    _S
-    + """SELECT k.id AS class_id, m.id AS member_id FROM (SELECT id, file_id, regexp_extract(replace(coalesce(qualified_name, name), '::', '.'), '^(.*)\\.[^.]+$', 1) AS above FROM gs
-      WHERE contains(replace(coalesce(qualified_name, name), '::', '.'), '.')) m
-      JOIN (SELECT id, file_id, replace(coalesce(qualified_name, name), '::', '.') AS above FROM gs WHERE symbol_type = 'class') k USING (file_id, above)""",
-)
+@query("members", _G + "SELECT k.id AS symbol_id, m.id AS member_id FROM ns k JOIN ns m ON m.repo_id = k.repo_id AND starts_with(m.qname, k.qname || '.')")
 def members(spark, folder):
+    """Symbols below each symbol, at any depth."""
     return G.members(base.graph_symbols(spark, folder))
 
 

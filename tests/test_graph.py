@@ -73,6 +73,8 @@ def test_self_calls_match_the_whole_class(spark, rows):
 
 def test_members_and_threshold(spark, rows):
     assert rows(G.members(symbols(spark))) == [("Engine", "go"), ("Engine", "helper")]
+    deep = symbols(spark, [(i, "f", "a.py", "python", q, q, "class", 1, 2, None, None) for i, q in (("a", "A"), ("b", "A::B"), ("c", "A.B.c"), ("x", "AB.d"))])
+    assert rows(G.members(deep)) == [("a", "b"), ("a", "c"), ("b", "c")]
     assert G.collision_threshold(symbols(spark)).first()["threshold"] == 8
     assert G.collision_threshold(symbols(spark).where("id = 'go'")).first()["threshold"] == 1 << 30
 
