@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.retrieval import result_terms
 
 #: Hints of what a query is after, in the order in which they are tried.
 INTENTS = {
@@ -122,7 +123,7 @@ def brief_tier(cards: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", F.transform(T.query_tokens(F.col("query")), F.lower).alias("asked"))
     two = cards.where("rank <= 2").groupBy("query_id").agg(
-        F.min_by(F.struct("id", "score", T.terms_of(F.concat_ws(" ", "name", "summary")).alias("terms")), "rank").alias("a"), F.min("score").alias("next"), F.count(F.lit(1)).alias("n")
+        F.min_by(F.struct("id", "score", result_terms(cards).alias("terms")), "rank").alias("a"), F.min("score").alias("next"), F.count(F.lit(1)).alias("n")
     )
     joined = asked.join(two, "query_id", "left")
     cover = F.size(F.array_intersect("asked", F.coalesce("a.terms", F.array().cast("array<string>")))) / F.greatest(F.size("asked"), F.lit(1))

@@ -12,7 +12,7 @@ from corvane.operators import retrieval as R
 from corvane.plans import base
 from corvane.plans.graph_queries import _G, _S, _resolved
 from corvane.plans.registry import query
-from corvane.plans.search_queries import _ASKED, _CARDS, _SYMBOL, _TOKENS, _W, _queries, _ranked
+from corvane.plans.search_queries import _ASKED, _CARDS, _CARRIED, _SYMBOL, _TOKENS, _W, _queries, _ranked
 from corvane.plans.source_queries import _LANGUAGE, _case
 from corvane.plans.text_queries import _LINES, _hints
 from corvane.tables import load
@@ -130,10 +130,17 @@ def graph_view(spark, folder):
     return G.graph_view(r, G.callers(r, s), s, P.import_edges(texts), bases)
 
 
-@query("brief_tiers")
+@query(
+    "brief_tiers",
+    f"""{_W}, {_CARDS}, {_CARRIED}, an AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rn FROM tm WHERE is_symbol),
+    tw AS (SELECT a.query_id, a.id, a.score, a.terms, b.score AS next FROM an a LEFT JOIN an b ON b.query_id = a.query_id AND b.rn = 2 WHERE a.rn = 1),
+    jd AS (SELECT qc.query_id, id, len(asked) AS n, len(list_intersect(list_transform(asked, lambda x: lower(x)), coalesce(terms, []))) / greatest(len(asked), 1) AS cover, score - coalesce(next, 0) AS lead FROM qc LEFT JOIN tw USING (query_id))
+    SELECT query_id, id AS anchor_id, CASE WHEN id IS NULL THEN 'none' WHEN n = 0 THEN 'low' WHEN cover >= 0.999 THEN 'high' WHEN cover >= 0.5 AND lead >= 0.10 THEN 'high' WHEN cover >= 0.5 THEN 'medium' ELSE 'low' END AS tier FROM jd""",
+)
 def brief_tiers(spark, folder):
-    """How far the first card of each query may be trusted."""
-    return K.brief_tier(_ranked(spark, folder).where("is_symbol"), _queries(spark, folder))
+    """How far the first card of each query that names a symbol may be trusted."""
+    anchors = R.top_k(_ranked(spark, folder).where("is_symbol").drop("rank"), 2, [F.desc("score"), F.col("id")])
+    return K.brief_tier(anchors, _queries(spark, folder))
 
 
 @query(

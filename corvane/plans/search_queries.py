@@ -8,7 +8,7 @@ from corvane.functions import text as T
 from corvane.operators import retrieval as R
 from corvane.plans import base
 from corvane.plans.registry import query
-from corvane.plans.text_queries import _STOP, _W
+from corvane.plans.text_queries import _STOP, _W, _terms
 from corvane.tables import load
 
 
@@ -179,14 +179,14 @@ def _cards(spark, folder):
     c = base.chunks(spark, folder)
     s = base.symbols(spark, folder)
     hits = R.symbol_channel(s, _queries(spark, folder), k=40).withColumnRenamed("id", "symbol_id")
-    cards = hits.join(c.select("id", "symbol_id", "ref", "path", "start_line", "content", "summary", "chunk_type"), "symbol_id").join(
+    cards = hits.join(c.select("id", "symbol_id", "ref", "path", "start_line", "content", "summary", "chunk_type", "qualified_name"), "symbol_id").join(
         s.select(F.col("id").alias("symbol_id"), "name"), "symbol_id"
     )
     return cards.withColumn("is_complete", F.col("chunk_type").isin("function", "method")).withColumn("is_symbol", F.col("chunk_type").isin("function", "method", "class"))
 
 
 _CARDS = f"""{_ASKED}, {_TOKENS}, {_SYMBOL.replace('rn <= 10', 'rn <= 40')},
-ca AS (SELECT sy.query_id, sy.score, c.id, c.symbol_id, c.ref, c.path, c.start_line, c.content, c.summary, s.name,
+ca AS (SELECT sy.query_id, sy.score, c.id, c.symbol_id, c.ref, c.path, c.start_line, c.content, c.summary, c.qualified_name, s.name,
   coalesce(c.chunk_type IN ('function', 'method'), false) AS is_complete, coalesce(c.chunk_type IN ('function', 'method', 'class'), false) AS is_symbol
   FROM sy JOIN c ON c.symbol_id = sy.id JOIN s ON s.id = sy.id),
 co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ref ORDER BY score DESC, is_complete DESC, is_symbol DESC, start_line, id) AS n1 FROM ca) WHERE n1 = 1),
@@ -210,13 +210,30 @@ def context_pack(spark, folder):
     return R.token_budget(cards, 4000).select("query_id", "id", "rank", "used")
 
 
-@query("confidence")
+#: What cards carry, and what queries ask for in their own case.
+_CARRIED = f"""tm AS (SELECT query_id, id, rank, score, is_symbol, lower(name) AS lname, {_terms("concat_ws(' ', name, summary, qualified_name)")} AS terms FROM ra),
+qc AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(coalesce(query, ''), '[A-Za-z_][A-Za-z0-9_]*'), lambda x: length(x) >= 3 AND lower(x) NOT IN ({_STOP}))) AS asked FROM q)"""
+
+
+@query(
+    "confidence",
+    f"""{_W}, {_CARDS}, {_CARRIED}, f5 AS (SELECT * FROM tm WHERE rank <= 5), pe AS (SELECT query_id, count(*) AS n, list_distinct(flatten(list(terms))) AS carried FROM f5 GROUP BY 1),
+    cu AS (SELECT query_id, max((c, lname))[2] AS cname, max(c) AS c FROM (SELECT query_id, lname, count(*) AS c FROM f5 WHERE lname IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    jd AS (SELECT qc.query_id, asked, n, c, cname, list_sort(list_filter(asked, lambda x: NOT list_contains(coalesce(carried, []), x))) AS miss FROM qc LEFT JOIN pe USING (query_id) LEFT JOIN cu USING (query_id)),
+    lo AS (SELECT *, coalesce(len(asked) >= 2 AND c >= 2 AND c / n >= 0.6 AND len(miss) > 0, false) AS low FROM jd)
+    SELECT query_id, CASE WHEN low THEN 'low' ELSE 'high' END AS confidence, CASE WHEN low THEN cname END AS clustered_on, CASE WHEN n IS NULL OR len(asked) < 2 THEN [] ELSE miss END AS missing FROM lo""",
+)
 def confidence(spark, folder):
     """Whether the first cards answer their query."""
     return R.assess_confidence(_ranked(spark, folder), _queries(spark, folder))
 
 
-@query("coverage_rerank")
+@query(
+    "coverage_rerank",
+    f"""{_W}, {_CARDS}, {_CARRIED}, bl AS (SELECT query_id, id, round(len(list_intersect(asked, terms)) / greatest(len(asked), 1) + 0.4::DOUBLE * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS blended
+      FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM tm) JOIN qc USING (query_id))
+    SELECT query_id, id, blended, CAST(row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, id) AS INT) AS rank FROM bl""",
+)
 def coverage_rerank(spark, folder):
     """Cards reordered by the query terms they carry."""
     return R.rerank_by_coverage(_ranked(spark, folder), _queries(spark, folder)).select("query_id", "id", "blended", "rank")

@@ -78,9 +78,20 @@ def query_tokens(spark, folder):
     return load(spark, folder, "documents").select("doc_id", T.query_tokens(F.col("title")).alias("tokens"))
 
 
-@query("identifier_words")
+def _terms(text: str) -> str:
+    """Word parts as SQL, which cannot look ahead: changes of case become blanks first."""
+    parts = f"regexp_extract_all(regexp_replace(coalesce({text}, ''), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z][a-z]+|[a-z]+|[A-Z]+|[0-9]+')"
+    return f"list_sort(list_distinct(list_transform(list_filter({parts}, lambda x: length(x) >= 3), lambda x: lower(x))))"
+
+
+@query(
+    "identifier_words",
+    _W
+    + f"""SELECT id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: struct_pack(p := list_position(w, x), x := x)))[1:12], lambda y: y.x) AS words, {_terms('name')} AS terms
+      FROM (SELECT id, name, list_transform(list_filter(regexp_extract_all(regexp_replace(name, '([A-Z]+)([A-Z])([^A-Z._])', '\\1 \\2\\3', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: length(x) > 2), lambda x: lower(x)) AS w FROM s)""",
+)
 def identifier_words(spark, folder):
-    """Word parts of symbol names and query terms; the pattern looks ahead, which the oracle's cannot."""
+    """Word parts of symbol names, in order, and as query terms."""
     s = base.symbols(spark, folder)
     return s.select("id", T.identifier_words(F.col("name")).alias("words"), T.terms_of(F.col("name")).alias("terms"))
 
