@@ -119,7 +119,15 @@ def impact(spark, folder):
     return G.impact(sure, s.select(F.col("id").alias("target_id")))
 
 
-@query("delegation_leaves")
+@query(
+    "delegation_leaves",
+    _G.rstrip()
+    + """, su1 AS (SELECT DISTINCT source_id, target_id FROM rc WHERE NOT ambiguous AND source_id <> target_id),
+    fw AS (SELECT source_id FROM su1 JOIN gs ON gs.id = source_id WHERE symbol_type IN ('function', 'method') AND end_line - start_line + 1 BETWEEN 1 AND 15 GROUP BY source_id HAVING count(*) <= 2),
+    st AS (SELECT source_id AS a, target_id AS b FROM su1 SEMI JOIN fw USING (source_id)),
+    w1 AS (SELECT a, b FROM st), w2 AS (SELECT DISTINCT w1.a, st.b FROM w1 JOIN st ON st.a = w1.b), w3 AS (SELECT DISTINCT w2.a, st.b FROM w2 JOIN st ON st.a = w2.b), w4 AS (SELECT DISTINCT w3.a, st.b FROM w3 JOIN st ON st.a = w3.b)
+    SELECT DISTINCT a AS symbol_id, b AS leaf_id FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3 UNION ALL SELECT * FROM w4) WHERE b NOT IN (SELECT source_id FROM fw) AND a <> b""",
+)
 def delegation_leaves(spark, folder):
     """What thin forwarders finally forward to."""
     r, s = _resolved(spark, folder)
