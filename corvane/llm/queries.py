@@ -10,7 +10,7 @@ from corvane.llm.leakage import find_leaks
 from corvane.llm.packing import fill_report, pack, token_counts
 from corvane.llm.provenance import CODE, classify_files, machine_made
 from corvane.llm.registry import ORACLES, QUERIES, query
-from corvane.llm.splitting import split_oversized
+from corvane.llm.splitting import split_oversized, with_limits
 from corvane.llm.syntax import check_syntax, invalid_rates
 from corvane.tables import load
 
@@ -36,6 +36,26 @@ def p1_pieces(spark, folder):
     return split_oversized(load(spark, folder, "chunks"), load(spark, folder, "chunk_limits"))
 
 
+@query(
+    "p1_rebuilt",
+    """
+    SELECT DISTINCT c.id AS chunk_id, sha256(content) AS content_hash, sha256(content) AS rebuilt_hash, CAST(length(content) AS BIGINT) AS n_chars, true AS within_limit
+    FROM chunks c LEFT JOIN chunk_limits l ON l.chunk_type = lower(trim(c.chunk_type))
+    WHERE length(c.content) > coalesce(l.max_chars, (SELECT max_chars FROM chunk_limits WHERE chunk_type = 'default'))
+    """,
+)
+def p1_rebuilt(spark, folder):
+    """The pieces of each oversized chunk put together again: they give its content, each within the limit."""
+    chunks, limits = load(spark, folder, "chunks"), load(spark, folder, "chunk_limits")
+    pieces = split_oversized(chunks, limits).withColumn("own", F.expr("substring(content, overlap_chars + 1)")).withColumn("size", F.char_length("content"))
+    pieces = pieces.groupBy("chunk_id", "content_hash", "piece_no").agg(F.max("own").alias("own"), F.max("size").alias("size"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    built = pieces.groupBy("chunk_id", "content_hash").agg(whole.alias("whole"), F.max("size").alias("size"))
+    limit = with_limits(chunks.select("id", "content", "chunk_type"), limits).groupBy(F.col("id").alias("chunk_id"), F.sha2("content", 256).alias("content_hash")).agg(F.max("max_chars").alias("most"))
+    joined = built.join(limit, ["chunk_id", "content_hash"])
+    return joined.select("chunk_id", "content_hash", F.sha2("whole", 256).alias("rebuilt_hash"), F.char_length("whole").cast("bigint").alias("n_chars"), (F.col("size") <= F.col("most")).alias("within_limit"))
+
+
 @query("p2_found")
 def p2_found(spark, folder):
     """Code files that were generated, minified, copied in or hold nothing but data."""

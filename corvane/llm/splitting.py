@@ -190,8 +190,8 @@ def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """The pieces of all chunks whose content is longer than its type allows.
 
-    Result: ``chunk_id, piece_no, n_pieces, start_char, end_char, overlap_chars, start_line,
-    end_line, content``; positions are code points from 0, lines are those of the file if the
+    Result: ``chunk_id, content_hash, piece_no, n_pieces, start_char, end_char, overlap_chars,
+    start_line, end_line, content``; the hash is that of the whole content, positions are code points from 0, lines are those of the file if the
     chunk has a start_line, else null. Rows that repeat a chunk give the same pieces once if they
     agree in content and position. Null contents and null limits give no pieces. Further columns
     of ``chunks`` are ignored.
@@ -205,12 +205,12 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     pieces = limited.select(
         F.col("id").alias("chunk_id"),
         "start_line",
-        F.sha2("content", 256).alias("__whole"),
+        F.sha2("content", 256).alias("content_hash"),
         find("content", "max_chars", F.coalesce("overlap_lines", F.lit(0)), F.coalesce("overlap_chars", F.lit(0))).alias("pieces"),
-    ).select("chunk_id", "start_line", "__whole", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p"))
-    unique = pieces.select(
+    ).select("chunk_id", "start_line", "content_hash", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("p"))
+    return pieces.select(
         "chunk_id",
-        "__whole",
+        "content_hash",
         F.col("p.piece_no").alias("piece_no"),
         "n_pieces",
         F.col("p.start_char").alias("start_char"),
@@ -219,5 +219,4 @@ def split_oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
         (F.col("start_line") + F.col("p.first_line")).alias("start_line"),
         (F.col("start_line") + F.col("p.last_line")).alias("end_line"),
         F.col("p.content").alias("content"),
-    ).dropDuplicates(["chunk_id", "__whole", "piece_no", "start_char", "end_char", "start_line"])
-    return unique.drop("__whole")
+    ).dropDuplicates(["chunk_id", "content_hash", "piece_no", "start_char", "end_char", "start_line"])
