@@ -66,8 +66,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is read by one task or two; work on each row that takes long would leave the other
     cores idle. A scan that has a task for every core already, as any large one, stays as it is, so
-    that no text of it is moved.
+    that no text of it is moved, and so does what is no plain scan.
     """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # it shuffles already; asking for its partitions would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

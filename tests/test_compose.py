@@ -1,3 +1,5 @@
+import datetime as dt
+
 from corvane.api import Index
 from corvane.operators import compose as K
 
@@ -31,5 +33,38 @@ def test_index(spark, folder):
     assert index.search("refresh the cache", k=5).count() <= 5
     assert index.map("tests").count() > 0 and index.map("nonsense").count() > 0 and index.health().count() > 0
     ref = spark.read.parquet(f"{folder}/chunks.parquet").where("chunk_type = 'function' and ref like '%::%'").first()["ref"]
-    assert index.get(ref, "no/such.py::thing").count() == 2
+    got = {r["asked"]: r for r in index.get(ref, "no/such.py::thing", ref.split("::")[0] + ":2-3").collect()}
+    assert set(got) == {ref, "no/such.py::thing", ref.split("::")[0] + ":2-3"} and got["no/such.py::thing"]["code"] is None
+    assert got[ref.split("::")[0] + ":2-3"]["how"] == "code" and got[ref]["how"] in ("qname", "signature", "fingerprint", "line", None)
+    short = index.get(ref, view="signature").first()
+    assert short["code"] is None or len(short["code"]) <= len(got[ref]["code"])
     assert index.context("refresh the cache", k=5).count() <= 5
+
+
+def test_index_of_one_repository(spark, folder):
+    repo = spark.read.parquet(f"{folder}/symbols.parquet").first()["repo_id"]
+    index = Index(spark, folder, repo)
+    assert [r["repo_id"] for r in index.health().collect()] == [repo]
+    found = index.search("refresh the cache", k=5, chunk_types=("function", "method"))
+    assert {r["chunk_type"] for r in found.collect()} <= {"function", "method"}
+
+
+def test_fan_out_brings_back_a_buried_term(spark, tmp_path):
+    """Six cards named size bury the one that carries cell; searched term by term it comes first."""
+    from corvane.tables import SCHEMAS
+
+    names = [("s%d" % k, "size") for k in range(6)] + [("c", "cellSize")]
+    at = dt.datetime(2025, 1, 1)
+    symbols = [(i, "r", "f", "method", n, f"C{i}.{n}", None, 1, 2, None, None, None, None, None, at) for i, n in names]
+    chunks = [
+        ("k" + i, "r", "f", i, "method", "python", f"p{i}.py", 1, 2, "def size(self): return self.n", "return the number of elements" if n == "size" else "grid scale of one cell", None, f"p{i}.py::C{i}.{n}",
+         None, f"C{i}.{n}", None, None, 1, None, None, at) for i, n in names
+    ]
+    files = [("f", "r", "a.py", None, None, None, None, None, None, None)]
+    for name, rows in {"symbols": symbols, "chunks": chunks, "files": files}.items():
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    index = Index(spark, str(tmp_path))
+    plain = index.search("size number elements grid", k=6, channels=("symbol",)).orderBy("rank").collect()
+    assert {r["name"] for r in plain[:5]} == {"size"}
+    first = index.search_assessed("size number elements grid", k=6).orderBy("rank").first()
+    assert first["confidence"] in ("high", "low")

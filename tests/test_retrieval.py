@@ -152,3 +152,5 @@ def test_spread(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
     assert spread(spark.range(10, numPartitions=cores + 1)).rdd.getNumPartitions() == cores + 1
+    grouped = spark.range(10).groupBy("id").count()
+    assert spread(grouped) is grouped
