@@ -91,9 +91,16 @@ def _plain(text: str) -> str:
     return t
 
 
+#: ASCII letters stay, what ends a passage becomes a stop, all else a blank.
+_ASCII = {k: chr(k) if chr(k).isalpha() else "." if chr(k) in _BREAKS else " " for k in range(128)}
+
+
 def tokens_of(text: str) -> list[str]:
-    """The words of a text in plain spelling, with the marks that end passages between them."""
-    return (_STARRED if "*" in text else _TOKEN).findall(_plain(text))
+    """The words of a text in plain spelling, with marks between them that end passages."""
+    plain = _plain(text)
+    if "*" not in text and plain.isascii():  # the same words as below, found faster
+        return plain.translate(_ASCII).replace(".", " . ").split()
+    return (_STARRED if "*" in text else _TOKEN).findall(plain)
 
 
 def _filled(word: str, words: dict[str, int], stars: dict[str, int]) -> int:

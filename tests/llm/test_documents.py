@@ -190,6 +190,13 @@ def test_plain_spelling():
     assert plain("soooo baaad") == ["so", "bad"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcXYZ 019._!?:;\n-'\"(){}=/\t@$", max_size=60))
+def test_words_of_ascii_text_are_found_alike(text):
+    same = ["." if w in A._BREAKS else w for w in A._TOKEN.findall(A._plain(text))]
+    assert A.tokens_of(text) == same
+
+
 def corpus(n, seed):
     """Sentences of harmless work, harmless uses of harsh words, mentions of groups, and insults."""
     rng = random.Random(seed)
