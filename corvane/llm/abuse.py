@@ -126,9 +126,9 @@ class Model:
     bias: float
     threshold: float
 
-    def numbers(self, text: str) -> list[int]:
+    def numbers(self, text: str, tokens: list[str] | None = None) -> list[int]:
         get = self.words.get
-        tokens = tokens_of(text)
+        tokens = tokens_of(text) if tokens is None else tokens
         out = [get(x, _OTHER) for x in tokens]
         if "*" in text:
             out = [_filled(x, self.words, self.stars) if n == _OTHER and "*" in x else n for x, n in zip(tokens, out)]
@@ -157,11 +157,12 @@ class Model:
         more = np.array([weights[w] for w in sorted(weights)])
         return Model(words, stars, self.pairs, np.concatenate([self.word_weights, more]), self.pair_weights, self.bias, self.threshold)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The score of each text, between 0 and 1: that of its worst passage."""
+    def scores(self, texts: list[str | None], tokens: list[list[str]] | None = None) -> np.ndarray:
+        """The score of each text, between 0 and 1: that of its worst passage. ``tokens`` are the words of
+        the texts where the caller has them."""
         parts, sizes = [], []
-        for t in texts:
-            ids = self.numbers(t) if t else []
+        for k, t in enumerate(texts):
+            ids = self.numbers(t, tokens[k] if tokens else None) if t else []
             ids.append(_END)
             parts.extend(ids)
             sizes.append(len(ids))
@@ -393,33 +394,37 @@ def group_names(texts: list[str], least: int = LEAST) -> tuple[str, ...]:
 def added_words(documents: DataFrame, model: Model) -> dict[str, float]:
     """Weights of words that the model does not know, from counts over all documents.
 
-    Tasks find the abusive passages and give their unknown words, once a document; only these, with
-    how many documents have them there, are counted on in the whole corpus. A word needs a share
-    of all abusive documents, so there are as many words at most as passages have, divided by it.
+    Tasks count their unknown words, those of abusive passages apart, so what is shuffled are the
+    words of each task. A word needs a share of all abusive documents, so there are as many words at
+    most as passages have, divided by it.
     """
     spark = documents.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def unknown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            scores = shared.value.scores(texts.tolist())
-            yield pd.Series([shared.value.unknown_words(t) if s >= shared.value.threshold else None for t, s in zip(texts, scores)])
-
-    read = spread(documents.select("text")).select(F.pandas_udf(unknown, "array<string>")("text").alias("words"))
-    counted = read.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_abusive"))
-    abusive = checkpointed(counted)  # "" stands for the document itself
-    n_abusive = abusive.where("word = ''").agg(F.sum("n_abusive")).first()[0] or 0
-    often = abusive.where((F.col("word") != "") & (F.col("n_abusive") >= max(LEAST, ADDED_SHARE * n_abusive)))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))
-    everywhere = (
-        documents.select(F.explode(words).alias("word")).join(F.broadcast(often.select("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    n_documents = documents.count()
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        here, there = Counter(), Counter()  # documents with a word, and with it in an abusive passage
+        n_all = n_abusive = 0
+        for batch in batches:
+            texts = batch["text"].tolist()
+            tokens = [tokens_of(t) if t else [] for t in texts]
+            for t, x, score in zip(texts, tokens, model.scores(texts, tokens)):
+                here.update(set(x).difference(model.words))
+                if score >= model.threshold:
+                    n_abusive += 1
+                    there.update(model.unknown_words(t))
+            n_all += len(texts)
+        # "" stands for the documents themselves.
+        yield pd.DataFrame({"word": [*here, ""], "k": [*(there[w] for w in here), n_abusive], "n": [*here.values(), n_all]})
+
+    counted = spread(documents.select("text")).mapInPandas(count, "word string, k bigint, n bigint").groupBy("word").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    counted = checkpointed(counted.where("k > 0 OR word = ''"))
+    whole = counted.where("word = ''").first()
+    n_abusive, n_documents = (whole["k"], whole["n"]) if whole else (0, 0)
     out = {}
-    for r in often.join(everywhere, "word", "left").collect():
-        k, n = r["n_abusive"], max(r["n"] or 0, r["n_abusive"])
-        odds = np.log((k + 0.5) / (n_abusive + 1)) - np.log((n - k + 0.5) / (n_documents - n_abusive + 1))
+    for r in counted.where((F.col("word") != "") & (F.col("k") >= max(LEAST, ADDED_SHARE * n_abusive))).collect():
+        odds = np.log((r["k"] + 0.5) / (n_abusive + 1)) - np.log((r["n"] - r["k"] + 0.5) / (n_documents - n_abusive + 1))
         if odds >= ADDED_ODDS:
             out[r["word"]] = ADDED_WEIGHT * float(odds)
     return out
