@@ -28,7 +28,8 @@ from corvane.tables import key_of
 
 LANGUAGES = ("python", "javascript", "typescript", "cpp", "c_sharp", "go")
 
-_ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+# Repetitions that may not end are possessive, and no two alternatives begin alike: a signature is refused in one pass.
+_ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _NOT_NAMES = frozenset(
     "if for while switch catch return function else do try with case new throw sizeof using lock foreach when await "
     "typeof super delete defined alignas decltype static_assert operator fixed checked unchecked nameof and or not".split()
@@ -36,7 +37,7 @@ _NOT_NAMES = frozenset(
 _JS_FUNCTION = r"(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<a>[\w$]+)[ \t]*(?:<[^>\n]*>)?\("
 _JS_METHOD = (
     r"(?:(?:public|private|protected|static|async|override|readonly|get|set|abstract)[ \t]+)*\*?(?P<b>\#?[\w$]+)[ \t]*"
-    rf"(?:<[^>\n]*>)?(?={_ARGS}[^;\n{{=()]*\{{)"
+    rf"(?:<[^>\n]*>)?(?={_ARGS}[^;\n{{=()]*+\{{)"
 )
 _JS_ARROW = (
     r"(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<c>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?:function\b|\([^)\n]*\)[^=\n]*=>|[\w$]+[ \t]*=>)"
@@ -50,14 +51,14 @@ _SIGNATURES = {
         r"async|partial|extern|unsafe|new|readonly)[ \t]+)+(?:[\w<>\[\],.? ]+[ \t]+)?(?P<a>\w+)[ \t]*(?:<[^>\n]*>)?\("
     ),
     "cpp": re.compile(
-        r"(?m)^(?P<i>[ \t]*+)(?:(?:[\w:~]|<[^<>\n;(]*(?:<[^<>\n;(]*>)?[^<>\n;(]*>)+[*&]*[ \t]+[*&]*)*+(?P<a>[~\w:]+|operator[^\s(]+)[ \t]*"
-        rf"(?={_ARGS}[ \t\r\n]*(?:const\b|noexcept\b|override\b|final\b|->[^{{;\n]*|:[^{{;]*|[ \t\r\n])*\{{)"
+        r"(?m)^(?P<i>[ \t]*+)(?:(?:[\w:~]|<[^<>\n;(]*+(?:<[^<>\n;(]*+>[^<>\n;(]*+)?>)+[*&]*[ \t]+[*&]*)*+(?P<a>[~\w:]+|operator[^\s(]+)[ \t]*"
+        rf"(?={_ARGS}(?:const\b|noexcept\b|override\b|final\b|->[^{{;:\n]*+|:[^{{;]*+|[ \t\r\n])*+\{{)"
     ),
 }
 _SIGNATURES["typescript"] = _SIGNATURES["javascript"]
 _FIRST = re.compile(r"(?m)^([ \t]*)(\S)")
 _DOCSTRING = re.compile(
-    r"(?:[ \t]*(?:\#[^\n]*)?\n)*[ \t]*[rRuU]?(?P<q>\"\"\"|'''|\"(?!\")|'(?!'))(?P<d>(?:\\[\s\S]|(?!(?P=q)).)*?)(?P=q)|"
+    r"(?:[ \t]*(?:\#[^\n]*)?\n)*[ \t]*[rRuU]?(?P<q>\"\"\"|'''|\"(?!\")|'(?!'))(?P<d>(?:\\[\s\S]|(?!(?P=q))[^\\])*?)(?P=q)|"
     r"(?:[ \t]*(?:\#[^\n]*)?\n)*[ \t]*[rRuU]?(?P<e>\"\"|'')(?![\"'])",
     re.S,
 )

@@ -2,6 +2,7 @@ import ast
 import json
 import random
 import re
+import signal
 from xml.parsers import expat
 
 import pytest
@@ -207,3 +208,23 @@ def test_json_of_any_depth():
         assert json_error(text) and syntax_error(text, "json"), text
     for text in ('1', ' [ ] ', '{ }', '{"a": [true, {"b": "x"}]}', '"s"'):
         assert json_error(text) is None and syntax_error(text, "json") is None, text
+
+
+@pytest.mark.parametrize(
+    "text, language, names",
+    [
+        ("Foo::Foo(int n)\n    : " + "a::b " * 200 + ";\nint g(int x) { return x; }\n", "cpp", ["g"]),
+        ("auto f(int n) " + "-> a :b" * 200 + ";\nint g() const -> std::vector<int>\n{\n}\n", "cpp", ["g"]),
+        ("def f():\n    '" + "\\a" * 200 + "\n\n\ndef g():\n    pass\n", "python", ["f", "g"]),
+    ],
+)
+def test_what_ends_nowhere_is_refused_in_one_pass(text, language, names):
+    def late(*_):
+        raise TimeoutError
+
+    signal.signal(signal.SIGALRM, late)
+    signal.alarm(10)  # tried in all ways, it does not end
+    try:
+        assert [f["name"] for f in functions_of(text, language)] == names
+    finally:
+        signal.alarm(0)
