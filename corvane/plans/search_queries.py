@@ -120,7 +120,7 @@ def _channels(spark, folder):
     vectors = R.hash_embedding(d)
     wanted = R.hash_embedding(asked.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")
     return {
-        "symbol": R.symbol_channel(titled.where(F.col("name").isNotNull()), asked),
+        "symbol": R.title_channel(titled, asked),
         "keyword": R.bm25(d, asked),
         "vector": R.vector_channel(vectors, wanted),
     }

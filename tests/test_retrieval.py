@@ -177,3 +177,17 @@ def test_bm25_of_repeated_ids_in_blocks(spark, tmp_path, rows):
 def test_bm25_shuffles_neither_terms_nor_pairs(spark, folder):
     plan = S.bm25_topk(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_titles_where_they_lie(spark, rows):
+    titles = [(k, ("cell", "cells", "a cell", "x" * (k % 3), "Grid of\ncells", None)[k % 6]) for k in range(80)] + [(3, "cell"), (3, "grid"), (None, "cell"), (None, "grid")]
+    d = spark.createDataFrame(titles, "id int, name string").repartition(5)
+    q = spark.createDataFrame([(k, ("the cell", "grid of cells", "zzz", None, "Cells xx")[k % 5]) for k in range(12)], "query_id int, query string")
+    want = rows(R.symbol_channel(d.where("id IS NOT NULL AND name IS NOT NULL"), q, k=7))
+    assert rows(R.title_channel(d, q, k=7)) == want and len(want) > 40
+    assert rows(R.title_channel(d, q, k=7, block=2)) == want
+
+
+def test_hybrid_shuffles_neither_words_nor_pairs(spark, folder):
+    plan = S.hybrid_modes(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate explode(gram" not in plan and plan.count("Generate") == 1  # that of the modes
