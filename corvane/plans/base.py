@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import code_language
+from corvane.session import without_and_with
 from corvane.tables import key_of, load
 
 
@@ -44,6 +45,15 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _last_written(c, _CHUNK)
 
 
+def chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, path, content, summary`` of ``chunks``; only those that were written again are moved."""
+    columns = ("path", "content", "summary")
+    c = load(spark, folder, "chunks").select("id", *columns, "indexed_at")
+    once, again = without_and_with(c, c.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "id")
+    once = once.select("id", *columns)
+    return once if again is None else once.unionByName(_last_written(again, columns))
+
+
 _K = "nullif(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '')"
 
 _AT = "coalesce(indexed_at, TIMESTAMP '1970-01-01')"

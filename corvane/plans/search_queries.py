@@ -250,6 +250,6 @@ _CARD_BM25 = _BM25.replace("SELECT doc_id AS id,", "SELECT id,").replace("FROM d
 )
 def find_tests(spark, folder):
     """Test files among the 40 best cards by words of each query."""
-    cards = base.chunks(spark, folder).select("id", "path", F.concat_ws(" ", "content", "summary", "path").alias("text"))
+    cards = base.chunk_texts(spark, folder).select("id", "path", F.concat_ws(" ", "content", "summary", "path").alias("text"))
     hits = R.bm25(cards, _queries(spark, folder), k=40).join(cards.select("id", "path"), "id")
     return hits.where(F.lower("path").rlike("^tests?/|/tests?/")).groupBy("query_id", "path").agg(F.max(F.round("score", 6)).alias("score"))

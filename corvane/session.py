@@ -61,6 +61,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df
 
 
+def without_and_with(df: DataFrame, keys: DataFrame, key: str, max_rows: int = 200_000) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``df`` whose key is none of ``keys``, and the others; null where there are none.
+
+    Nothing of ``df`` is moved while there are at most ``max_rows`` keys: these are read once and sent
+    to all tasks. More are left to Spark, as in ``bounded_broadcast``.
+    """
+    keys = keys.select(F.col(key).alias("__key"))
+    rows = keys.limit(max_rows + 1).collect()
+    if not rows:
+        return df, None
+    if len(rows) <= max_rows:
+        keys = F.broadcast(df.sparkSession.createDataFrame(rows, keys.schema))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(keys, same, "left_anti"), df.join(keys, same, "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, a scan, over as many partitions as there are cores.
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from datetime import datetime
 
 import duckdb
 from pyspark.sql import functions as F
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from corvane.operators import retrieval as R
 from corvane.plans import search_queries as S
 from corvane.plans.registry import ORACLES
+from corvane.tables import SCHEMAS
+
+SCHEMA_OF_CHUNKS = dict(x.split() for x in SCHEMAS["chunks"].split(", "))
 
 
 def hits(spark, *rows):
@@ -191,3 +195,22 @@ def test_titles_where_they_lie(spark, rows):
 def test_hybrid_shuffles_neither_words_nor_pairs(spark, folder):
     plan = S.hybrid_modes(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate explode(gram" not in plan and plan.count("Generate") == 1  # that of the modes
+
+
+def test_find_tests_moves_no_text(spark, folder, tmp_path):
+    plan = S.find_tests(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan
+    rows = [(f"c{k % 25}", ("tests/a.py", "src/a.py")[k % 2], f"word{k % 3} rest", None, datetime(2024, 1, 1 + k % 28)) for k in range(28)]
+    chunks = spark.createDataFrame(rows, "id string, path string, content string, summary string, indexed_at timestamp_ntz")
+    for c, kind in SCHEMA_OF_CHUNKS.items():
+        chunks = chunks if c in chunks.columns else chunks.withColumn(c, F.lit(None).cast(kind))
+    chunks.write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([(100, "word1", None, "s"), (200, "word2 rest", None, "s")], "doc_id bigint, text string, title string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    views = duckdb.connect()
+    for name in ("files", "raw_files", "symbols"):
+        views.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    for name in ("documents", "chunks"):
+        views.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted((q, p, round(s, 6)) for q, p, s in views.sql(ORACLES["find_tests"]).fetchall())
+    got = S.find_tests(spark, str(tmp_path))
+    assert sorted((r["query_id"], r["path"], round(r["score"], 6)) for r in got.collect()) == want and len(want) == 2
