@@ -214,3 +214,8 @@ def test_find_tests_moves_no_text(spark, folder, tmp_path):
     want = sorted((q, p, round(s, 6)) for q, p, s in views.sql(ORACLES["find_tests"]).fetchall())
     got = S.find_tests(spark, str(tmp_path))
     assert sorted((r["query_id"], r["path"], round(r["score"], 6)) for r in got.collect()) == want and len(want) == 2
+
+
+def test_hybrid_topk_shuffles_neither_words_nor_pairs(spark, folder):
+    plan = S.hybrid_topk(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1  # that with the titles of the hits
