@@ -117,12 +117,10 @@ def _channels(spark, folder):
     d = _documents(spark, folder)
     asked = _queries(spark, folder)
     titled = d.select("id", F.col("title").alias("name"))
-    vectors = R.hash_embedding(d)
-    wanted = R.hash_embedding(asked.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")
     return {
         "symbol": R.title_channel(titled, asked),
         "keyword": R.bm25(d, asked),
-        "vector": R.vector_channel(vectors, wanted),
+        "vector": R.hashed_channel(d, asked),
     }
 
 

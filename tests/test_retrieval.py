@@ -219,3 +219,26 @@ def test_find_tests_moves_no_text(spark, folder, tmp_path):
 def test_hybrid_topk_shuffles_neither_words_nor_pairs(spark, folder):
     plan = S.hybrid_topk(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Join") == 1  # that with the titles of the hits
+
+
+def test_hybrid_topk_makes_vectors_where_they_are_matched(spark, folder):
+    plan = S.hybrid_topk(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 3 and "ArrowEvalPython" not in plan
+
+
+def test_hashed_words_against_their_vectors(spark, rows):
+    texts = [(k, f"Word{k % 7} of_row {k % 3}" + " Straße" * (k % 2)) for k in range(60)] + [(5, "again word1"), (70, " - "), (71, None)]
+    d = spark.createDataFrame(texts, "id int, text string").repartition(5)
+    q = spark.createDataFrame([(k, ("word1 row", "of_row 2", "--", None, "Straße word3")[k % 5]) for k in range(12)], "query_id int, query string")
+    wanted = R.hash_embedding(q.selectExpr("query_id AS id", "query AS text")).withColumnRenamed("id", "query_id")
+    want = rows(R.vector_channel(R.hash_embedding(d), wanted, k=7))
+    assert rows(R.hashed_channel(d, q, k=7)) == want and len(want) == 7 * 8
+    assert rows(R.hashed_channel(d, q, k=7, block=2)) == want
+
+
+def test_prefix_counts_in_bins_and_sorted():
+    words = ["red Green red", "greenish\nblue red x", "", "zzz"]
+    want = [(0, 0, 1), (0, 1, 1), (1, 0, 2), (1, 1, 1)]
+    for more in (0, 10_000):  # so many prefixes are too many for bins
+        prefix, doc, tf, sizes = R._term_counts(words, [1, 2, 1, 1], R._Beginnings(["gre", "r", *map(str, range(more))]))
+        assert list(zip(prefix, doc, tf)) == want and sizes == [[3], [1, 3], [0], [1]]
