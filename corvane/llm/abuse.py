@@ -27,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -77,11 +78,14 @@ _END = 0  # number of what ends a passage
 _OTHER = 1  # number of words that the model does not know
 
 
-def _plain(text: str) -> str:
-    """A text in lower case and plain spelling."""
+def _lower(text: str) -> str:
+    """A text in lower case, without invisible characters."""
     t = text.lower()
-    if not t.isascii():
-        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
+    return t if t.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
+
+
+def _spelled(t: str) -> str:
+    """A text in lower case in plain spelling."""
     if _MIXED.search(t):
         t = "".join(p.translate(_LEET) if _MIXED.search(p) else p for p in re.split(r"((?<=[.!?:])\s+|\n)", t))
     if _MAY_BE_APART.search(t):
@@ -91,16 +95,75 @@ def _plain(text: str) -> str:
     return t
 
 
-#: ASCII letters stay, what ends a passage becomes a stop, all else a blank.
+def _plain(text: str) -> str:
+    """A text in lower case and plain spelling."""
+    return _spelled(_lower(text))
+
+
+#: Classes of characters in the three expressions that ``_spelled`` searches for, which name none beyond Latin-1.
+_A_Z, _LETTER, _BLANK, _DIGIT = 1, 2, 4, 8
+_FORMS = {_A_Z: "[a-z]", _LETTER: "[a-zß-ÿ]", _BLANK: r"[ .\-_]", _DIGIT: "[013457$]"}
+_CLASSES = np.array([sum(c for c, form in _FORMS.items() if re.match(form, chr(k))) for k in range(256)], dtype=np.uint8)
+#: Characters, about, that are looked at together.
+_LOOK_AT = 1 << 18
+
+
+def _not_plain(lower: list[str]) -> set[int]:
+    """Which of some texts in lower case ``_spelled`` may change: those in which any of its three
+    expressions is found, looked for in many texts at once."""
+    out: set[int] = set()
+    begin = 0
+    while begin < len(lower):
+        end, size = begin, 0
+        while end < len(lower) and size < _LOOK_AT:
+            size += len(lower[end]) + 1
+            end += 1
+        # A line end, which is in no class, stands before and behind each text; what Latin-1 has not is a question mark.
+        b = np.frombuffer("\n".join(["", *lower[begin:end], "\n\n\n"]).encode("latin-1", "replace"), dtype=np.uint8)
+        c = _CLASSES[b]
+        x = c & _LETTER != 0
+        blank = c & _BLANK != 0
+        digit = c & _DIGIT != 0
+        same = b[:-1] == b[1:]
+        edges = np.flatnonzero(digit[1:] != digit[:-1])  # before the first and at the last of each run
+        first, last = edges[::2], edges[1::2]
+        found = [
+            np.flatnonzero(same[:-1] & same[1:] & (c[:-2] & _A_Z != 0)),
+            np.flatnonzero(blank[:-4] & x[1:-3] & blank[2:-2] & x[3:-1] & ~x[4:]),
+            first[c[first] & c[last + 1] & _A_Z != 0],
+        ]
+        starts = np.cumsum([1, *(len(t) + 1 for t in lower[begin : end - 1])])
+        out.update((begin + np.searchsorted(starts, np.unique(np.concatenate(found)), "right") - 1).tolist())
+        begin = end
+    return out
+
+
+#: ASCII letters stay, what ends a passage becomes a stop, all else a blank; in texts with stars these stay too.
 _ASCII = {k: chr(k) if chr(k).isalpha() else "." if chr(k) in _BREAKS else " " for k in range(128)}
+_ASCII_STARRED = _ASCII | {ord("*"): "*"}
+
+
+def _tokens(plain: str, starred: bool) -> list[str]:
+    """The words of a text in plain spelling; ``starred``: the text as it was has stars."""
+    if not plain.isascii():
+        return (_STARRED if starred else _TOKEN).findall(plain)
+    # The same words as by the expressions, found faster.
+    out = plain.translate(_ASCII_STARRED if starred else _ASCII).replace(".", " . ").split()
+    if starred and "*" in plain:
+        return [w for x in out for w in (_STARRED.findall(x) if "*" in x else (x,))]
+    return out
 
 
 def tokens_of(text: str) -> list[str]:
     """The words of a text in plain spelling, with marks between them that end passages."""
-    plain = _plain(text)
-    if "*" not in text and plain.isascii():  # the same words as below, found faster
-        return plain.translate(_ASCII).replace(".", " . ").split()
-    return (_STARRED if "*" in text else _TOKEN).findall(plain)
+    return _tokens(_plain(text), "*" in text)
+
+
+def tokens_of_all(texts: list[str | None]) -> list[list[str]]:
+    """``tokens_of`` each text; a null text has none."""
+    lower = [_lower(t) if t else "" for t in texts]
+    change = _not_plain(lower)
+    return [_tokens(_spelled(x) if k in change else x, "*" in t) if t else [] for k, (t, x) in enumerate(zip(texts, lower))]
 
 
 def _filled(word: str, words: dict[str, int], stars: dict[str, int]) -> int:
@@ -126,18 +189,16 @@ class Model:
     bias: float
     threshold: float
 
-    def numbers(self, text: str, tokens: list[str] | None = None) -> list[int]:
-        get = self.words.get
-        tokens = tokens_of(text) if tokens is None else tokens
-        out = [get(x, _OTHER) for x in tokens]
+    def numbers(self, text: str, tokens: list[str]) -> list[int]:
+        out = list(map(self.words.get, tokens, repeat(_OTHER)))
         if "*" in text:
             out = [_filled(x, self.words, self.stars) if n == _OTHER and "*" in x else n for x, n in zip(tokens, out)]
         return out
 
-    def unknown_words(self, text: str) -> list[str]:
+    def unknown_words(self, tokens: list[str]) -> list[str]:
         """The words of the abusive passages of a text that the model does not know, each once."""
         out, now = set(), []
-        for word in [*tokens_of(text), "."]:
+        for word in [*tokens, "."]:
             if word not in _BREAKS:
                 now.append(word)
                 continue
@@ -161,8 +222,8 @@ class Model:
         """The score of each text, between 0 and 1: that of its worst passage. ``tokens`` are the words of
         the texts where the caller has them."""
         parts, sizes = [], []
-        for k, t in enumerate(texts):
-            ids = self.numbers(t, tokens[k] if tokens else None) if t else []
+        for t, own in zip(texts, tokens_of_all(texts) if tokens is None else tokens):
+            ids = self.numbers(t, own) if t else []
             ids.append(_END)
             parts.extend(ids)
             sizes.append(len(ids))
@@ -262,7 +323,7 @@ class Sample:
 
 def prepare(texts: list[str], toxic: list[int], identities: tuple[str, ...] = IDENTITIES) -> Sample:
     """Read labelled documents; every word of two documents and pair of two passages is a feature."""
-    tokens = [tokens_of(t or "") for t in texts]
+    tokens = tokens_of_all(texts)
     words: dict[str, int] = {}
     for w, n in sorted(Counter(w for x in tokens for w in set(x)).items()):
         if n >= LEAST and w not in _BREAKS and "*" not in w:
@@ -408,12 +469,12 @@ def added_words(documents: DataFrame, model: Model) -> dict[str, float]:
         n_all = n_abusive = 0
         for batch in batches:
             texts = batch["text"].tolist()
-            tokens = [tokens_of(t) if t else [] for t in texts]
-            for t, x, score in zip(texts, tokens, model.scores(texts, tokens)):
+            tokens = tokens_of_all(texts)
+            for x, score in zip(tokens, model.scores(texts, tokens)):
                 here.update(set(x).difference(model.words))
                 if score >= model.threshold:
                     n_abusive += 1
-                    there.update(model.unknown_words(t))
+                    there.update(model.unknown_words(x))
             n_all += len(texts)
         # "" stands for the documents themselves.
         yield pd.DataFrame({"word": [*here, ""], "k": [*(there[w] for w in here), n_abusive], "n": [*here.values(), n_all]})

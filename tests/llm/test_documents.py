@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -197,6 +198,43 @@ def test_words_of_ascii_text_are_found_alike(text):
     assert A.tokens_of(text) == same
 
 
+ODD = st.text(st.sampled_from("abzAZ019435$ .-_!\n*ßé÷ÿœжK＊\u200b\ud800aaa..  "), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | ODD, max_size=12), st.sampled_from([1, 20, 1 << 18]))
+def test_words_of_many_texts_are_those_of_each(texts, at_once):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "_LOOK_AT", at_once)
+        got = A.tokens_of_all(texts)
+        lower = [A._lower(t or "") for t in texts]
+        odd = {k for k, t in enumerate(lower) if any(x.search(t) for x in (A._MIXED, A._MAY_BE_APART, A._MAY_BE_REPEATED))}
+        assert A._not_plain(lower) == odd
+    marked = lambda words: ["." if w in A._BREAKS else w for w in words]
+    same = [(A._STARRED if "*" in t else A._TOKEN).findall(A._plain(t)) if t else [] for t in texts]
+    assert [marked(x) for x in got] == [marked(x) for x in same]
+
+
+def test_expressions_see_odd_spelling_only(monkeypatch):
+    """Searching each expression in every text took most of the time of both passes over the documents."""
+    texts, toxic = corpus(300, 1)
+    model = A.fit(A.prepare(texts, toxic))
+    seen = []
+
+    class Watched:
+        def __init__(self, form):
+            self.form = form
+
+        def __getattr__(self, name):
+            return lambda *x: (seen.append(x[-1]), getattr(self.form, name)(*x))[1]
+
+    for name in ("_MIXED", "_MAY_BE_APART", "_MAY_BE_REPEATED", "_TOKEN", "_STARRED"):
+        monkeypatch.setattr(A, name, Watched(getattr(A, name)))
+    odd = ["you are an 1d1ot", "an i d i o t", "you idiooot", "the *worst* id**t of all\n* a list"]
+    model.scores([*texts, *odd])
+    assert set(seen) <= {*odd[:3], "*worst*", "id**t", "*", "you are an idiot", "an idiot"} and len(seen) < 20
+
+
 def corpus(n, seed):
     """Sentences of harmless work, harmless uses of harsh words, mentions of groups, and insults."""
     rng = random.Random(seed)
