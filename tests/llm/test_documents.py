@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -270,6 +271,19 @@ def test_rare_insults_count_at_every_size():
         assert "zorgling" in model.words and known > unknown, n
 
 
+def test_sample_holds_equal_words_once(monkeypatch):
+    texts, toxic = corpus(3000, 1)
+    tracemalloc.start()
+    whole = A.prepare(texts, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = sum(len(A.tokens_of(t)) for t in texts)
+    assert peak / words < 95, peak / words
+    monkeypatch.setattr(A, "_READ_AT_ONCE", 7)
+    parts = A.prepare(texts, toxic)
+    assert parts.words == whole.words and parts.bags == whole.bags and np.array_equal(parts.features.pairs, whole.features.pairs)
+
+
 def test_bar_is_set_by_labelled_documents():
     assert A.fit(A.prepare(["", "you idiot", "you idiot"], [0, 1, 1])).scores(["you idiot"])[0] < 0.01
 
